@@ -10,17 +10,34 @@ from pyspark.sql import DataFrame
 from titleloom.sources.payload import ALPHABET
 
 
+# Characters are filled from their highest bit; the stream is kept lowest bit first.
+_SIX = [ALPHABET[int(f"{v:06b}"[::-1], 2)] for v in range(64)]
+
+
 def compress(text: str) -> str:
     """Greedy dictionary coding of UTF-16 code units; the inverse of ``payload.decompress``."""
     raw = text.encode("utf-16-le", "surrogatepass")
     units = [chr(raw[i] | raw[i + 1] << 8) for i in range(0, len(raw), 2)]
     codes: dict[str, int] = {}
     unseen: set[str] = set()
-    bits: list[str] = []
+    stream, filled = 0, 0  # the bit stream so far, first bit lowest
     width, room = 2, 2
 
     def put(value: int, size: int) -> None:
-        bits.append(format(value, f"0{size}b")[::-1])
+        nonlocal stream, filled
+        stream |= value << filled
+        filled += size
+        if filled > 4096:
+            flush()
+
+    chars: list[str] = []
+
+    def flush() -> None:
+        nonlocal stream, filled
+        while filled >= 6:
+            chars.append(_SIX[stream & 63])
+            stream >>= 6
+            filled -= 6
 
     def used() -> None:
         nonlocal width, room
@@ -54,9 +71,9 @@ def compress(text: str) -> str:
     if phrase:
         emit(phrase)
     put(2, width)
-    stream = "".join(bits)
-    stream += "0" * (-len(stream) % 6 or 6)
-    return "".join(ALPHABET[int(stream[i : i + 6], 2)] for i in range(0, len(stream), 6))
+    flush()
+    chars.append(_SIX[stream & 63])
+    return "".join(chars)
 
 
 def encode_texts(df: DataFrame, text: str, payload: str = "payload") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from titleloom.session import spread_small
+
 AS_OF = "1999-06-01 00:00:00"
 EVENTS_AS_OF = "2024-01-20 12:30:45"
 FRAGMENT_MARKER = '<a href="/'
@@ -78,8 +80,15 @@ def _queue() -> list[str]:
     return [f"{sql} AS {name}" for name, sql in QUEUE.items()]
 
 
+def _spread_orders(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return spread_small(table(spark, sf, "orders").select("o_orderkey", *columns), "o_orderkey")
+
+
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+    orders = _spread_orders(
+        spark, sf, "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
+    )
+    customer = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     return orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
 
 
@@ -117,7 +126,10 @@ def mappings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").selectExpr(
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"
+    )
+    return spread_small(lines, "l_orderkey", "l_suppkey").selectExpr(
         f"{FILE_KEY} AS key",
         f"{FILE_PATH} AS path",
         f"{FILE_SIZE} AS size",
@@ -185,7 +197,7 @@ def json_documents(spark: SparkSession, sf: str) -> DataFrame:
     list_doc = f"""concat('{{"title":"T', cast(o_orderkey AS string), '","list":[', {_entries('size')}, ']}}')"""
     alias_doc = f"""concat('  {{"torrents":[', {_entries('bytes')}, ']}}')"""
     bare_doc = f"""concat(' [', {_entries('bytes')}, ']')"""
-    return table(spark, sf, "orders").selectExpr(
+    return _spread_orders(spark, sf).selectExpr(
         "concat('d', cast(o_orderkey AS string)) AS source",
         f"""CASE WHEN o_orderkey % 17 = 0 THEN '{{"title":"lost"}}'
             WHEN o_orderkey % 19 = 0 THEN concat({bare_doc}, ' x')
@@ -204,7 +216,7 @@ def containers(spark: SparkSession, sf: str) -> DataFrame:
         ELSE concat('d', CASE WHEN j = 0 THEN '' ELSE concat('6:lengthi', cast(o_orderkey * 100 + j AS string), 'e') END,
                     '4:pathl4:dir1', {part.format(name)}, 'ee') END"""
     single = "concat('one', cast(o_orderkey AS string), '.mp4')"
-    return table(spark, sf, "orders").selectExpr(
+    return _spread_orders(spark, sf).selectExpr(
         f"{HASH} AS key",
         f"""encode(CASE WHEN o_orderkey % 17 = 0 THEN 'not bencode'
             WHEN o_orderkey % 4 = 0 THEN concat('d4:infod6:lengthi', cast(o_orderkey + 1 AS string), 'e4:name', {part.format(single)}, 'ee')
@@ -216,7 +228,7 @@ def provider_lists(spark: SparkSession, sf: str) -> DataFrame:
     """key, json: a provider's file list per order; some entries lack a field."""
     entry = """concat('{"id":', CASE WHEN j = 2 AND o_orderkey % 3 = 0 THEN '"x"' ELSE cast(j AS string) END,
         ',"path":"', CASE WHEN j = 1 THEN '/' ELSE '' END, 'd/f', cast(o_orderkey AS string), '.mkv","bytes":', cast(o_orderkey + j AS string), '}')"""
-    return table(spark, sf, "orders").selectExpr(
+    return _spread_orders(spark, sf).selectExpr(
         f"{HASH} AS key",
         f"""CASE WHEN o_orderkey % 17 = 0 THEN '{{"none":1}}' ELSE concat('{{"files":[',
             array_join(transform(sequence(0, cast(o_orderkey % 4 AS int)), j -> {entry}), ','), ']}}') END AS json""",

@@ -457,4 +457,14 @@ ORACLES: dict[str, str] = {
           LEFT JOIN pts p ON p.counter = c.counter AND p.minute = date_trunc('minute', {_E}) - to_minutes(59 - slot)) GROUP BY counter""",
         _POINTS,
     ),
+    "stream_minute_counters": _sql(
+        f"""SELECT counter, {_fmt('minute')} AS minute, cast(n AS bigint) AS n FROM pts
+        WHERE minute + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE""",
+        _POINTS,
+    ),
+    "stream_parse": _sql(
+        """SELECT key AS item_hash, path AS filename, p_title AS title, CASE WHEN p_title IS NOT NULL THEN p_year END AS year, CASE WHEN p_title IS NOT NULL THEN p_season END AS season,
+           CASE WHEN p_title IS NOT NULL THEN p_episode END AS episode, CASE WHEN p_title IS NOT NULL THEN kind END AS content_type FROM pp""",
+        *_parse_ctes("fi", "path", "pp"),
+    ),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ from titleloom.functions import display, matching as M, names as N, predicates a
 from titleloom.operators import catalog, counters, linkage, pages, queue, routing, upsert
 from titleloom.plans import inputs as I, stages
 from titleloom.plans.encode import encode_texts
+from titleloom.session import checkpoint_root
 from titleloom.sources import containers, documents, file_lists
 from titleloom.sources.listing import document_names
+from titleloom.streaming import stages as streaming
+from titleloom.streaming.counters import minute_counters as minute_counters_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -635,3 +639,42 @@ def zero_filled_history(spark, sf):
     return history.select(
         "counter", F.array_join("points", ",").alias("points"), "total", "last"
     )
+
+
+# --- streaming -----------------------------------------------------------------
+
+
+def _stream(spark, sf, name, *columns):
+    """One of the given tables as a file stream."""
+    schema = I.table(spark, sf, name).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return stream.select(*columns) if columns else stream
+
+
+def _new_paths(spark):
+    """A fresh folder next to the session's checkpoints, which the cluster shares."""
+    return streaming.Paths(f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}")
+
+
+@query
+def stream_minute_counters(spark, sf):
+    """Minutes the watermark has closed, through an append sink."""
+    events = _stream(spark, sf, "events").selectExpr(
+        "cast(ts AS timestamp) AS ts", "event_type AS counter", "cast(user_id AS bigint) AS n"
+    )
+    paths = _new_paths(spark)
+    streaming._sink(minute_counters_of(events), paths, "minutes", once=True).awaitTermination()
+    return spark.read.schema("counter string, minute timestamp, n bigint").parquet(
+        paths.log("minutes")
+    ).select("counter", _text("minute"), "n")
+
+
+@query
+def stream_parse(spark, sf):
+    """Names of line item files, parsed by the streaming stage."""
+    names = _stream(spark, sf, "lineitem").selectExpr(
+        f"{I.FILE_KEY} AS item_hash", f"{I.FILE_PATH} AS filename"
+    )
+    paths = _new_paths(spark)
+    streaming.parse(names, paths, once=True).awaitTermination()
+    return spark.read.schema(streaming.PARSED).parquet(paths.log("parsed")).drop("ingested_at")

@@ -14,7 +14,7 @@ def _struct(*fields: tuple[str, T.DataType], queue: bool = False) -> T.StructTyp
     return T.StructType(cols + (_QUEUE if queue else []))
 
 
-S, I, L = T.StringType(), T.IntegerType(), T.LongType()
+S, I, L, TS = T.StringType(), T.IntegerType(), T.LongType(), T.TimestampType()
 
 LISTING = _struct(("path", S), ("type", S))
 DOCUMENTS = _struct(("source", S), ("html", S))
@@ -33,7 +33,7 @@ OUTPUTS = _struct(
     ("file_index", I),
     ("season", I),
     ("episode", I),
-    ("created_at", T.TimestampType()),
+    ("created_at", TS),
 )
 ITEM_FILES = _struct(("key", S), ("path", S), ("size", L), ("file_index", I))
 # One row per candidate an external search returned for a lookup key.
@@ -47,7 +47,32 @@ CANDIDATES = _struct(
     ("year", I),
     ("qid", S),
 )
-COUNTER_EVENTS = _struct(("ts", T.TimestampType()), ("counter", S), ("n", L))
+COUNTER_EVENTS = _struct(("ts", TS), ("counter", S), ("n", L))
+
+# Logs of the streaming stages.
+_ENTRY = _struct(("filename", S), ("item_hash", S), ("size_bytes", L))
+DECODED = _struct(
+    ("source", S), ("title", S), ("entries", T.ArrayType(_ENTRY)), ("error", S), ("ingested_at", TS)
+)
+ITEM_ROWS = _struct(
+    ("batch", TS), ("source", S), ("pos", I), ("item_hash", S), ("filename", S), ("size_bytes", L)
+)
+PARSED_LOG = _struct(
+    ("item_hash", S),
+    ("filename", S),
+    ("title", S),
+    ("year", I),
+    ("season", I),
+    ("episode", I),
+    ("content_type", S),
+    ("ingested_at", TS),
+)
+MAPPED_LOG = _struct(
+    ("item_hash", S), ("catalog_id", S), ("content_type", S), ("season", I), ("episode", I)
+)
+MEMO = _struct(("lookup_key", S), ("catalog_id", S), ("content_type", S))
+MARKS = _struct(("item_hash", S), ("cost", I), ("done", T.BooleanType()), ("ts", TS))
+OUTPUT_ROWS = T.StructType([f for f in OUTPUTS.fields if f.name != "created_at"])
 
 QUEUE_COLUMNS = ["completed", "attempts", "last_processed"]
 

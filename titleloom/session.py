@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,19 +26,35 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names in ``spark.checkpoint.dir``.
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small input over the cores before CPU-heavy work.
+
+    A scan makes at most one split per 4 MiB, so a small file keeps all but a
+    few cores idle. Larger inputs already have enough splits and pass unchanged,
+    without a shuffle; so does a plan whose size Spark cannot estimate.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * 4 * 2**20 else df
+
 
-    The folder must be shared by all executors, so a lost executor does not
-    lose the data. Only a local session without one gets a folder of its own.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    All executors must reach it, so that a lost executor does not lose data.
+    Only a local session without one gets a folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the checkpoint folder and go on from there."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-            named = os.path.join(tempfile.mkdtemp(prefix="titleloom-"), "checkpoints")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint()

@@ -17,6 +17,8 @@ _VALUE = np.full(256, 255, dtype=np.uint8)
 for _i, _ch in enumerate(ALPHABET):
     _VALUE[ord(_ch)] = _i & 63  # the padding sign carries six zero bits
 
+_STEP = 32  # bytes read at a time
+
 LOST = "payload not decodable"
 NOT_TEXT = "payload is not valid UTF-16"
 
@@ -28,59 +30,62 @@ def _bits(payload: str) -> tuple[bytes, int]:
     if (values == 255).any():
         raise ValueError("alphabet")
     bits = np.unpackbits(values[:, None], axis=1)[:, 2:].reshape(-1)
-    return np.packbits(bits, bitorder="little").tobytes() + b"\0" * 8, bits.size
+    return np.packbits(bits, bitorder="little").tobytes(), bits.size
 
 
 def decompress(payload: str) -> str | None:
     """Text of UTF-16 code units, or None for a broken stream."""
     try:
-        data, limit = _bits(payload.replace(" ", "+"))
+        data, left = _bits(payload.replace(" ", "+"))
     except (ValueError, UnicodeEncodeError):
         return None
-    at = 0
-
-    def read(width: int) -> int:
-        nonlocal at
-        if at + width > limit:
-            raise EOFError
-        word = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little")
-        word = (word >> (at & 7)) & ((1 << width) - 1)
-        at += width
-        return word
-
     words: list[str] = ["", "", ""]  # codes 0..2 are control codes
     out: list[str] = []
     width, room = 2, 1  # the first code is two bits and fills the first slot
     last = ""
-    try:
-        while True:
-            code = read(width)
-            if code == 2:
-                return "".join(out)
-            if code < 2:
-                word = chr(read(8 if code == 0 else 16))
-                words.append(word)
-                # The opening character only takes a slot; later ones also use up room.
-                room -= 1 if out else 0
-            elif code < len(words):
-                word = words[code]
-            elif code == len(words) and last:
-                word = last + last[0]
-            else:
+    window, held, at = 0, 0, 0  # bits taken from the stream but not used yet
+    while True:
+        if held < 64:
+            window |= int.from_bytes(data[at : at + _STEP], "little") << held
+            held += 8 * _STEP
+            at += _STEP
+        left -= width
+        if left < 0:
+            return None
+        code = window & ((1 << width) - 1)
+        window >>= width
+        held -= width
+        if code == 2:
+            return "".join(out)
+        if code < 2:
+            size = 16 if code else 8
+            left -= size
+            if left < 0:
                 return None
-            if room == 0:
-                room, width = 1 << width, width + 1
-            out.append(word)
+            word = chr(window & ((1 << size) - 1))
+            window >>= size
+            held -= size
+            words.append(word)
+            # The opening character only takes a slot; later ones also use up room.
             if last:
-                words.append(last + word[0])
                 room -= 1
-                if room == 0:
-                    room, width = 1 << width, width + 1
-            else:
-                width, room = 3, 4
-            last = word
-    except EOFError:
-        return None
+        elif code < len(words):
+            word = words[code]
+        elif code == len(words) and last:
+            word = last + last[0]
+        else:
+            return None
+        if room == 0:
+            room, width = 1 << width, width + 1
+        out.append(word)
+        if last:
+            words.append(last + word[0])
+            room -= 1
+            if room == 0:
+                room, width = 1 << width, width + 1
+        else:
+            width, room = 3, 4
+        last = word
 
 
 def decode_text(payload: str | None) -> tuple[str | None, str | None]:
