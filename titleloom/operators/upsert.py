@@ -51,14 +51,6 @@ def insert_if_absent(
     )
 
 
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], nullable: Sequence[str]) -> Column:
-    tests = [
-        a[k].eqNullSafe(b[k]) if k in nullable else a[k] == b[k]
-        for k in keys
-    ]
-    return reduce(lambda x, y: x & y, tests)
-
-
 def upsert(
     target: DataFrame,
     changes: DataFrame,
@@ -82,14 +74,21 @@ def upsert(
             *keys, *payload, *[v.alias(n) for n, v in defaults.items()]
         )
         return kept.unionByName(extra)
-    old = target.alias("old").withColumn("_old", F.lit(True))
-    new = changes.select(*keys, *payload).withColumn("_new", F.lit(True))
-    joined = old.join(new, _same(old, new, keys, nullable_keys), "full_outer")
-    hit_new, hit_old = new["_new"].isNotNull(), old["_old"].isNotNull()
-    cells = [F.when(hit_old, old[k]).otherwise(new[k]).alias(k) for k in keys]
-    cells += [F.when(hit_new, new[c]).otherwise(old[c]).alias(c) for c in payload]
-    cells += [F.when(hit_old, old[n]).otherwise(v).alias(n) for n, v in defaults.items()]
-    return joined.select(*cells).select(*target.columns)
+    # New columns get names of their own, so a target derived from the same rows is no riddle.
+    old = target.withColumn("_old", F.lit(True))
+    new = changes.select(
+        *[F.col(c).alias(f"_new_{c}") for c in [*keys, *payload]], F.lit(True).alias("_new")
+    )
+    same = [
+        F.col(k).eqNullSafe(F.col(f"_new_{k}")) if k in nullable_keys else F.col(k) == F.col(f"_new_{k}")
+        for k in keys
+    ]
+    joined = old.join(new, reduce(lambda x, y: x & y, same), "full_outer")
+    hit_old, hit_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    cells = {k: F.when(hit_old, F.col(k)).otherwise(F.col(f"_new_{k}")) for k in keys}
+    cells |= {c: F.when(hit_new, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in payload}
+    cells |= {n: F.when(hit_old, F.col(n)).otherwise(v) for n, v in defaults.items()}
+    return joined.select(*[cells[c].alias(c) for c in target.columns])
 
 
 def upsert_items(items: DataFrame, rows: DataFrame, as_of: datetime | str) -> DataFrame:

@@ -31,10 +31,11 @@ def read_containers(spark: SparkSession, path: str, pattern: str = "*") -> DataF
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """HTML files as ``source, html``; one file, one row."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    """HTML files below a folder as ``source, html``; the source is the path inside the folder."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return files.select(
-        F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("source"),
+        F.substring_index(full, path.rstrip("/") + "/", -1).alias("source"),
         F.col("value").alias("html"),
     )
 
