@@ -9,28 +9,33 @@ tries rule 2.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as V
+from titleloom.functions.barrier import pinned
 
 _MARK = "\u0001"
 _SEP = V.NUMBER_SEPARATORS
 _EDGE = r"[\s\-()\[\]]"
 
-_EXTENSION = r"(?iU)\.(?:" + "|".join(V.VIDEO_EXTENSIONS) + r")\z"
+# Patterns for ASCII text; ``_anywhere`` gives the Unicode form.
+_EXTENSION = r"(?i)\.(?:" + "|".join(V.VIDEO_EXTENSIONS) + r")\z"
 _NOISE = (
-    r"(?sU)\A(.*?)(?:"
+    r"(?s)\A(.*?)(?:"
     + r"\b(?:(?i)(?:" + "|".join(V.NOISE_WORDS) + r"))\b"
     + "".join(f"|(?:{p})" for p in V.NOISE_SHAPES)
     + r"|\z)"
 )
-_TITLE_EDGES = rf"(?U)\A{_EDGE}+|\s+{V.YEAR}{_EDGE}*\z|{_EDGE}+\z"
+_YEAR = rf"\s({V.YEAR})\b"
+_TITLE_EDGES = rf"\A{_EDGE}+|\s+{V.YEAR}{_EDGE}*\z|{_EDGE}+\z"
 
 # Groups per rule: prefix, season[, episode]. The NxNN rule looks at its first
 # occurrence only (atomic look-ahead) and gives way when that season is zero.
 _SEASON_EPISODE = (
-    r"(?isU)\A(?:"
+    r"(?is)\A(?:"
     rf"(.*?)\bS(\d{{1,3}}){_SEP}E(\d{{1,3}})\b"
     rf"|(.*?)\bS(\d{{1,3}}){_SEP}E(\d{{1,3}})(?:{_SEP}E\d{{1,3}})+\b"
     rf"|(.*?)\bSeason{_SEP}(\d{{1,3}}){_SEP}Episode{_SEP}(\d{{1,3}})\b"
@@ -43,41 +48,55 @@ _SEASON_EPISODE = (
 _SE_CELLS = f"{_MARK}$2$5$8$11$14$16{_MARK}$3$6$9$12{_MARK}$1$4$7$10$13$15"
 
 
+def _anywhere(pattern: str) -> str:
+    return "(?U)" + pattern
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def _match(plain: Column, act: Callable[[str], Column], pattern: str) -> Column:
+    """Apply a pattern; Unicode classes, several times slower, only where the text needs them."""
+    return F.when(plain, act(pattern)).otherwise(act(_anywhere(pattern)))
+
+
 def normalise_name(name: Column) -> Column:
     """Drop one video extension, then turn dots and underscores into spaces."""
-    return F.translate(F.regexp_replace(name, _EXTENSION, ""), "._", "  ")
+    return F.translate(F.regexp_replace(name, _anywhere(_EXTENSION), ""), "._", "  ")
 
 
-def split_season_episode(text: Column) -> Column:
+def split_season_episode(text: Column, plain: Column) -> Column:
     """['', season, episode, prefix] of the first matching rule, or the text unchanged in one cell."""
-    return F.split(F.regexp_replace(text, _SEASON_EPISODE, _SE_CELLS), _MARK, 4)
+    marked = _match(plain, lambda p: F.regexp_replace(text, p, _SE_CELLS), _SEASON_EPISODE)
+    return F.split(marked, _MARK, 4)
 
 
 def _has_season(text: Column, parts: Column) -> Column:
     # A text that itself starts with the mark is told apart by a second look.
-    return (F.size(parts) == 4) & (parts[0] == "") & (
-        ~text.startswith(_MARK) | text.rlike(_SEASON_EPISODE)
+    return (F.size(parts) == 4) & (F.get(parts, F.lit(0)) == "") & (
+        ~text.startswith(_MARK) | text.rlike(_anywhere(_SEASON_EPISODE))
     )
 
 
-def name_year(text: Column) -> Column:
+def name_year(text: Column, plain: Column) -> Column:
     """First 19xx/20xx that follows white space."""
-    return F.regexp_extract(text, rf"(?U)\s({V.YEAR})\b", 1).try_cast("int")
+    return _match(plain, lambda p: F.regexp_extract(text, p, 1), _YEAR).try_cast("int")
 
 
-def before_noise(text: Column) -> Column:
+def before_noise(text: Column, plain: Column) -> Column:
     """Text before the first noise token, or all of it."""
-    return F.regexp_extract(text, _NOISE, 1)
+    return _match(plain, lambda p: F.regexp_extract(text, p, 1), _NOISE)
 
 
-def trim_title(raw: Column) -> Column:
+def trim_title(raw: Column, plain: Column) -> Column:
     """Trim white space, hyphens and brackets; drop a trailing year."""
-    return F.regexp_replace(raw, _TITLE_EDGES, "")
+    return _match(plain, lambda p: F.regexp_replace(raw, p, ""), _TITLE_EDGES)
 
 
 def clean_title(raw: Column) -> Column:
     """Trimmed title, NULL below two bytes."""
-    title = trim_title(raw)
+    title = trim_title(raw, is_ascii(raw))
     return F.when(F.octet_length(title) >= V.MIN_TITLE_BYTES, title)
 
 
@@ -89,12 +108,13 @@ def type_label(has_season: Column, episode_text: Column) -> Column:
     )
 
 
-def with_season_episode(df: DataFrame, name: Column, prefix: str = "_n_") -> DataFrame:
+def with_season_episode(df: DataFrame, name: Column, prefix: str) -> DataFrame:
     """Add the intermediate columns the name parser and the file parser share."""
-    text, parts = F.col(f"{prefix}text"), F.col(f"{prefix}parts")
+    text, plain, parts = (F.col(f"{prefix}{c}") for c in ("text", "plain", "parts"))
     return (
         df.withColumn(f"{prefix}text", normalise_name(name))
-        .withColumn(f"{prefix}parts", split_season_episode(text))
+        .withColumn(f"{prefix}plain", is_ascii(text))
+        .withColumn(f"{prefix}parts", split_season_episode(text, plain))
         .withColumn(f"{prefix}se", _has_season(text, parts))
     )
 
@@ -103,24 +123,27 @@ def with_parsed_name(df: DataFrame, name: str, struct: str = "parsed") -> DataFr
     """Add ``struct<title,year,season,episode,content_type>``; NULL when no title is left.
 
     Written as stacked projections: Catalyst keeps them apart because each
-    regex result is used more than once, so no regex runs twice per row.
+    regex result is used more than once, so no regex runs twice per row. The
+    struct is pinned, so filters on it do not copy the regexes.
     """
     p = "_n_"
-    text, parts, se = (F.col(f"{p}{c}") for c in ("text", "parts", "se"))
-    out = with_season_episode(df, F.col(name), p).withColumn(
-        f"{p}title", trim_title(F.when(se, parts[3]).otherwise(before_noise(text)))
+    text, plain, parts, se = (F.col(f"{p}{c}") for c in ("text", "plain", "parts", "se"))
+    raw = F.when(se, F.get(parts, F.lit(3))).otherwise(before_noise(text, plain))
+    out = (
+        with_season_episode(df, F.col(name), p)
+        .withColumn(f"{p}raw", raw)
+        .withColumn(f"{p}title", trim_title(F.col(f"{p}raw"), plain))
     )
     title = F.col(f"{p}title")
     value = F.struct(
         title.alias("title"),
-        name_year(text).alias("year"),
-        F.when(se, parts[1].try_cast("int")).alias("season"),
-        F.when(se, parts[2].try_cast("int")).alias("episode"),
-        type_label(se, parts[2]).alias("content_type"),
-    )
-    return out.withColumn(struct, F.when(F.octet_length(title) >= V.MIN_TITLE_BYTES, value)).drop(
-        f"{p}text", f"{p}parts", f"{p}se", f"{p}title"
+        name_year(text, plain).alias("year"),
+        F.when(se, F.get(parts, F.lit(1)).try_cast("int")).alias("season"),
+        F.when(se, F.get(parts, F.lit(2)).try_cast("int")).alias("episode"),
+        type_label(se, F.get(parts, F.lit(2))).alias("content_type"),
     )
+    parsed = F.when(F.octet_length(title) >= V.MIN_TITLE_BYTES, value)
+    return out.select(*df.columns, pinned(parsed).alias(struct))
 
 
 def basename(path: Column) -> Column:
@@ -145,8 +168,8 @@ def with_file_episode(
     p = "_f_"
     parts, se = F.col(f"{p}parts"), F.col(f"{p}se")
     out = with_season_episode(df.withColumn(f"{p}base", basename(F.col(path))), F.col(f"{p}base"), p)
-    own_title = clean_title(parts[3])
-    own = se & (parts[2] != "")
+    own_title = clean_title(F.get(parts, F.lit(3)))
+    own = se & (F.get(parts, F.lit(2)) != "")
     if strict:
         own = own & own_title.isNotNull()
     bare = F.regexp_extract(F.col(f"{p}base"), "(?iU)" + V.BARE_EPISODE, 1)
@@ -157,12 +180,11 @@ def with_file_episode(
 
     parent = F.col(parent_title) if parent_title else None
     own_cell = cell(
-        parts[1].try_cast("int"),
-        parts[2].try_cast("int"),
+        F.get(parts, F.lit(1)).try_cast("int"),
+        F.get(parts, F.lit(2)).try_cast("int"),
         F.coalesce(own_title, parent) if parent is not None else None,
     )
     out = out.withColumn(f"{p}bare", bare)
     bare_cell = cell(F.col(parent_season), F.col(f"{p}bare").try_cast("int"), parent)
-    return out.withColumn(
-        struct, F.when(own, own_cell).when(F.col(f"{p}bare") != "", bare_cell)
-    ).drop(*(f"{p}{c}" for c in ("base", "text", "parts", "se", "bare")))
+    found = F.when(own, own_cell).when(F.col(f"{p}bare") != "", bare_cell)
+    return out.select(*df.columns, pinned(found).alias(struct))

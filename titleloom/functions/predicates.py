@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -35,9 +36,7 @@ def media_file(
     sample_below: int = V.SAMPLE_BELOW_BYTES,
 ) -> Column:
     low = F.lower(path)
-    ending = low.endswith("." + extensions[0])
-    for ext in extensions[1:]:
-        ending = ending | low.endswith("." + ext)
+    ending = low.rlike(r"\.(?:" + "|".join(re.escape(e) for e in extensions) + r")\z")
     return ending & ~(low.contains(V.SAMPLE_WORD) & (size < sample_below))
 
 

@@ -21,8 +21,8 @@ Three observations keep it scalable:
   and the pairs go straight into a combined maximum: pairs are never stored,
   shuffled or de-duplicated.
 
-Years are part of the join key (the query side lists y-1, y, y+1 and "unknown"),
-so blocks stay small. A hot piece is a hot join key; AQE splits it on either side.
+Years are part of the join key (a catalog row is filed under every year it may be
+asked for), so blocks stay small. A hot piece is a hot join key; AQE splits it on either side.
 """
 
 from __future__ import annotations
@@ -42,15 +42,20 @@ _ANY_YEAR, _NO_YEAR = 0, -1
 def reduce_catalog(catalog: DataFrame) -> DataFrame:
     """Lowest (pos, id) per simplified name and year cell.
 
-    ``catalog``: pos, id, name, year. Every row counts under its own year (or
-    "unknown") and under "any", which queries without a year look up.
+    ``catalog``: pos, id, name, year. A row is filed under the years it agrees
+    with, or under "unknown", and always under "any", which queries without a
+    year look up. The catalog carries this fan-out because a query has far more
+    pieces than a catalog name.
     """
-    own = F.coalesce(F.col("year"), F.lit(_NO_YEAR))
+    y = F.col("year")
+    cells = F.when(y.isNull(), F.array(F.lit(_NO_YEAR), F.lit(_ANY_YEAR))).otherwise(
+        F.array(y - 1, y, y + 1, F.lit(_ANY_YEAR))
+    )
     return (
         catalog.where(M.id_ok(F.col("id")))
         .select(
             M.simplify_name(F.col("name")).alias("c"),
-            F.explode(F.array(own, F.lit(_ANY_YEAR))).alias("cell"),
+            F.explode(cells).alias("cell"),
             "pos",
             "id",
         )
@@ -68,7 +73,7 @@ def reduce_queries(queries: DataFrame) -> DataFrame:
 def _with_cells(queries: DataFrame) -> DataFrame:
     y = F.col("qy")
     cells = F.when(y.isNull(), F.array(F.lit(_ANY_YEAR))).otherwise(
-        F.array(y - 1, y, y + 1, F.lit(_NO_YEAR))
+        F.array(y, F.lit(_NO_YEAR))
     )
     return queries.withColumn("cell", F.explode(cells))
 
@@ -262,9 +267,12 @@ def year_similar_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataF
     years on either side take their own cell instead of a nested loop.
     Right columns keep their names; the right year is ``right_year``.
     """
-    cells = _with_cells(left.withColumnRenamed("year", "qy"))
+    y = F.col("year")
+    accepted = F.when(y.isNull(), F.array(F.lit(_ANY_YEAR))).otherwise(
+        F.array(y - 1, y, y + 1, F.lit(_NO_YEAR))
+    )
     own = F.coalesce(F.col("right_year"), F.lit(_NO_YEAR))
     spread = right.withColumnRenamed("year", "right_year").withColumn(
-        "cell", F.explode(F.array(own, F.lit(_ANY_YEAR)))
+        "_cell", F.explode(F.array(own, F.lit(_ANY_YEAR)))
     )
-    return cells.join(spread, [*on, "cell"]).drop("cell").withColumnRenamed("qy", "year")
+    return left.withColumn("_cell", F.explode(accepted)).join(spread, [*on, "_cell"]).drop("_cell")

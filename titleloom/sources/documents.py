@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titleloom.functions.barrier import pinned
 from titleloom.sources.payload import decode_text
 
 
@@ -53,17 +54,19 @@ def _get(value: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
-def _only_document(text: Column) -> Column:
-    """Parse one JSON text as a variant; NULL when malformed, repeated keys, or followed by more text.
+def _framed(text: Column) -> Column:
+    """The JSON text between two known keys, as a variant; NULL when malformed or a key repeats.
 
-    The parser stops after the first value, so the text is set between two
-    known keys: anything behind it breaks the frame.
+    The parser stops after the first value. Set in a frame, anything behind the
+    document breaks the frame (see ``_only_document``).
     """
-    seal = F.xxhash64(text)
-    frame = F.try_parse_json(
-        F.concat(F.lit('{"d":'), text, F.lit(',"seal":'), seal.cast("string"), F.lit("}"))
-    )
-    sound = (_get(frame, "$.seal", "bigint") == seal) & (
+    seal = F.xxhash64(text).cast("string")
+    return F.try_parse_json(F.concat(F.lit('{"d":'), text, F.lit(',"seal":'), seal, F.lit("}")))
+
+
+def _only_document(frame: Column, text: Column) -> Column:
+    """The framed document, NULL when the frame is not intact."""
+    sound = (_get(frame, "$.seal", "bigint") == F.xxhash64(text)) & (
         F.size(frame.cast("map<string,variant>")) == 2
     )
     return F.when(sound, _get(frame, "$.d"))
@@ -99,8 +102,10 @@ def with_entries(df: DataFrame, json: str = "json") -> DataFrame:
     bare array. Unknown fields are ignored, an empty list is valid.
     """
     trimmed = F.regexp_replace(F.col(json), r"(?U)\A\s+", "")
-    out = df.withColumn("_v", _only_document(F.col(json))).withColumn(
-        "_bare", trimmed.startswith("[")
+    out = (
+        df.withColumn("_frame", _framed(F.col(json)))
+        .withColumn("_v", _only_document(F.col("_frame"), F.col(json)))
+        .withColumn("_bare", trimmed.startswith("["))
     )
     v = F.col("_v")
     a, b = _get(v, "$.list"), _get(v, "$.torrents")
@@ -110,11 +115,13 @@ def with_entries(df: DataFrame, json: str = "json") -> DataFrame:
     out = out.withColumn("_list", F.when(title_ok, shaped).try_cast("array<variant>"))
     out = out.withColumn("_rows", F.transform("_list", _entry))
     sound = F.col("_list").isNotNull() & F.forall("_rows", lambda e: e.isNotNull())
-    return out.select(
-        *df.columns,
+    read = F.struct(
         F.when(sound & ~F.col("_bare"), _get(F.col("_v"), "$.title", "string")).alias("title"),
         F.when(sound, F.col("_rows")).alias("entries"),
     )
+    return out.select(*df.columns, pinned(read).alias("_read")).select(
+        *df.columns, "_read.title", "_read.entries"
+    )
 
 
 def explode_entries(df: DataFrame, *keep: str) -> DataFrame:

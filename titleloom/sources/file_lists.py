@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from titleloom.functions.barrier import pinned
+
 
 def _whole(value, path: str):
     """A non-negative whole number under a path, else NULL."""
@@ -35,7 +37,7 @@ def with_files(df: DataFrame, json: str = "json") -> DataFrame:
         F.transform("_list", _shape),
         lambda f: f["path"].isNotNull() & f["size"].isNotNull() & f["id"].isNotNull(),
     )
-    return out.withColumn("files", rows).drop("_list")
+    return out.select(*df.columns, pinned(rows).alias("files"))
 
 
 def file_rows(listed: DataFrame, key: str = "key") -> DataFrame:

@@ -8,46 +8,36 @@ end.
 
 from __future__ import annotations
 
-import numpy as np
+import re
 
-# Fixed value: the alphabet of the URI-safe encoding.
+# Fixed value: the alphabet of the URI-safe encoding. The last sign pads with zero bits.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-$"
 
-_VALUE = np.full(256, 255, dtype=np.uint8)
-for _i, _ch in enumerate(ALPHABET):
-    _VALUE[ord(_ch)] = _i & 63  # the padding sign carries six zero bits
-
-_STEP = 32  # bytes read at a time
+_KNOWN = re.compile(r"[A-Za-z0-9+$-]*")
+# Per character its six bits, first bit lowest, as two octal digits.
+_OCTAL = {ord(c): format(int(f"{v & 63:06b}"[::-1], 2), "02o") for v, c in enumerate(ALPHABET)}
+_STEP = 64  # characters taken from the payload at a time
 
 LOST = "payload not decodable"
 NOT_TEXT = "payload is not valid UTF-16"
 
 
-def _bits(payload: str) -> tuple[bytes, int]:
-    """The stream packed so that a code is a plain shift and mask of little-endian bytes."""
-    raw = np.frombuffer(payload.encode("latin-1"), dtype=np.uint8)
-    values = _VALUE[raw]
-    if (values == 255).any():
-        raise ValueError("alphabet")
-    bits = np.unpackbits(values[:, None], axis=1)[:, 2:].reshape(-1)
-    return np.packbits(bits, bitorder="little").tobytes(), bits.size
-
-
 def decompress(payload: str) -> str | None:
     """Text of UTF-16 code units, or None for a broken stream."""
-    try:
-        data, left = _bits(payload.replace(" ", "+"))
-    except (ValueError, UnicodeEncodeError):
+    payload = payload.replace(" ", "+")
+    if not _KNOWN.fullmatch(payload):
         return None
+    left = 6 * len(payload)
     words: list[str] = ["", "", ""]  # codes 0..2 are control codes
     out: list[str] = []
     width, room = 2, 1  # the first code is two bits and fills the first slot
     last = ""
     window, held, at = 0, 0, 0  # bits taken from the stream but not used yet
     while True:
-        if held < 64:
-            window |= int.from_bytes(data[at : at + _STEP], "little") << held
-            held += 8 * _STEP
+        if held < 64 and at < len(payload):
+            chunk = payload[at : at + _STEP]
+            window |= int(chunk[::-1].translate(_OCTAL), 8) << held
+            held += 6 * len(chunk)
             at += _STEP
         left -= width
         if left < 0:
