@@ -46,6 +46,12 @@ def test_scores(spark, a, b, sim, almost):
     assert tuple(got) == (sim, almost)
 
 
+@pytest.mark.parametrize("parts", [("the x", 2001, "series"), ("a|b|0|any", None, None), ("", 1999, None)])
+def test_key_parts(spark, parts):
+    key = "|".join([parts[0], str(parts[1] or 0), parts[2] or "any"])
+    assert tuple(one(spark, F.struct(*M.key_parts(F.col("k"))), k=key)) == parts
+
+
 def test_small_functions(spark):
     assert one(spark, M.lookup_key(F.col("t"), F.col("y").cast("int"), F.col("h")), t=" The X ", y=None, h=None) == "the x|0|any"
     assert one(spark, M.lookup_key(F.col("t"), F.col("y"), F.col("h")), t="The X", y=2001, h="series") == "the x|2001|series"
@@ -163,7 +169,7 @@ def test_cascade_and_memo(spark):
         [("show|2020|series", "tt9", "series"), ("film|2001|any", None, None)],
         "lookup_key string, catalog_id string, content_type string",
     )
-    results, fresh = linkage.link_items(parsed, frame, memo)
+    results, fresh = linkage.link_items(parsed, frame, memo, prune=True)
     got = {r.item_hash: r.catalog_id for r in results.collect()}
     assert (got["h1"], got["h2"], got["h3"], got["h5"]) == ("tt9", "tt9", None, "tt5")
     assert {r.lookup_key for r in fresh.collect()} == {"lost|0|any", "odd|2001|series", "late|0|any"}

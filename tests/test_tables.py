@@ -197,6 +197,8 @@ def test_pages(spark):
     assert names(pages.page(df, ["name"], 2, 30)) == want[30:60]
     assert names(pages.page(df, ["name"], 4, 30)) == want[90:]
     assert names(pages.page(df, ["name"], 9, 30)) == []
+    for number in range(1, 12):
+        assert names(pages.deep_page(df, ["name"], number, 10, accuracy=50)) == want[number * 10 - 10 : number * 10]
     last = {"name": "k029", "last_processed": before(14)}
     assert names(pages.page_after(df, ["name"], last, 30)) == want[30:60]
     assert tuple(pages.page_total(df, 2, 30).first()) == (101, 2, 30)

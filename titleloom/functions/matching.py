@@ -79,3 +79,14 @@ def lookup_key(title: Column, year: Column, hint: Column) -> Column:
         F.coalesce(year, F.lit(0)).cast("string"),
         F.coalesce(hint, F.lit("any")),
     )
+
+
+def key_parts(key: Column) -> tuple[Column, Column, Column]:
+    """Title, year and hint a lookup key was made of. The title may hold bars itself."""
+    tail = F.substring_index(key, "|", -2)
+    year, hint = F.substring_index(tail, "|", 1), F.substring_index(tail, "|", -1)
+    return (
+        F.substring(key, F.lit(1), F.length(key) - F.length(tail) - 1),
+        F.when(year != "0", year.try_cast("int")),
+        F.when(hint != "any", hint),
+    )

@@ -35,7 +35,7 @@ from titleloom.functions import matching as M
 from titleloom.session import cut_lineage
 
 # Edit-distance share of the longer name per tier; the last one is the goal itself.
-TIERS = (0.0, 0.15, 0.3, 1 - V.SIMILARITY_GOAL)
+TIERS = (0.0, 0.08, 0.2, 1 - V.SIMILARITY_GOAL)
 _ANY_YEAR, _NO_YEAR = 0, -1
 
 

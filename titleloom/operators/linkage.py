@@ -99,19 +99,30 @@ def pick_matches(candidates: DataFrame, by: list[str], last_resort: bool = False
     )
 
 
-def resolve(keys: DataFrame, candidates: DataFrame) -> DataFrame:
+def resolve(keys: DataFrame, candidates: DataFrame, prune: bool = False) -> DataFrame:
     """Cascade over the candidate lists of each key; keys without a match stay, with NULLs.
 
-    ``keys``: lookup_key, lookup_title, lookup_year, hint, one row per key.
-    ``candidates``: see ``schemas.CANDIDATES``. Stages in order:
+    ``keys``: lookup_key, one row per key. ``candidates``: ``schemas.CANDIDATES``.
+    Stages in order:
     0-1 provider A lists (series first under a series hint, type = the list's);
     2-3 provider B under the hint ("title year" only when there is a year);
     4-5 provider B without the hint, type forced to the hint.
-    All stages come from one scoring pass and two combined aggregates.
+
+    The key carries title, year and hint, so candidates are scored and combined
+    where they lie; only one row per key and list is shuffled, and a key with
+    very many candidates is no hot spot. ``prune`` drops candidates of other
+    keys first, for small batches against a large candidate table.
     """
-    hint, year = F.col("hint"), F.col("lookup_year")
-    joined = candidates.join(keys, "lookup_key")
-    scored = _with_scores(joined, F.col("lookup_title"), F.col("name"))
+    if prune:
+        candidates = candidates.join(keys.select("lookup_key"), "lookup_key", "left_semi")
+    title, key_year, key_hint = M.key_parts(F.col("lookup_key"))
+    year, hint = F.col("_year"), F.col("hint")
+    parts = (
+        candidates.withColumn("_title", title)
+        .withColumn("_year", key_year)
+        .withColumn("hint", key_hint)
+    )
+    scored = _with_scores(parts, F.col("_title"), F.col("name"))
     base = M.id_ok(F.col("id")) & M.year_similar(year, F.col("year"))
     is_b = F.col("list").isin(PROVIDER_B)
     usable = F.col("list").isin(PROVIDER_A) | (F.col("list") == "b_plain") | (
@@ -120,8 +131,7 @@ def resolve(keys: DataFrame, candidates: DataFrame) -> DataFrame:
     typed = base & (
         ~is_b | hint.isNull() | F.coalesce(M.type_allowed(hint, F.col("qid")), F.lit(True))
     )
-    picked = scored.where(usable).groupBy("lookup_key", "list").agg(
-        F.first("hint").alias("hint"),
+    picked = scored.where(usable).groupBy("lookup_key", "list", "hint").agg(
         *_picks(typed, "t_", is_b),
         *_picks(base & is_b & hint.isNotNull(), "u_", is_b),
     )
@@ -173,15 +183,18 @@ def fan_out(keyed: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def link_items(
-    parsed_items: DataFrame, candidates: DataFrame, memo: DataFrame | None = None
+    parsed_items: DataFrame,
+    candidates: DataFrame,
+    memo: DataFrame | None = None,
+    prune: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(item results incl. misses, new memo rows). Memo hits and memo misses are not looked up again."""
     keyed = link_keys(parsed_items)
     keys = unique_keys(keyed)
     if memo is None:
-        fresh = resolve(keys, candidates).select("lookup_key", "catalog_id", "content_type")
+        fresh = resolve(keys, candidates, prune).select("lookup_key", "catalog_id", "content_type")
         return fan_out(keyed, fresh), fresh
     known = memo.select("lookup_key", "catalog_id", "content_type")
     todo = keys.join(known.select("lookup_key"), "lookup_key", "left_anti")
-    fresh = resolve(todo, candidates).select("lookup_key", "catalog_id", "content_type")
+    fresh = resolve(todo, candidates, prune).select("lookup_key", "catalog_id", "content_type")
     return fan_out(keyed, fresh.unionByName(known)), fresh

@@ -49,27 +49,20 @@ def apply_marks(
 ) -> DataFrame:
     """Touch, complete and fail keys in one pass over the table.
 
-    Each argument holds keys. They are reduced to one row per key before the
-    join, so the three marks cost one join, not three.
+    Each argument holds keys, any number of times. One aggregate with map-side
+    combine reduces all of them to one row per key, and one join applies them.
     """
-    zero = [F.lit(0).alias("_cost"), F.lit(False).alias("_done")]
-    parts = []
-    if touched is not None:
-        parts.append(
-            touched.select(key).distinct().select(key, F.lit(touch_cost).alias("_cost"), zero[1])
-        )
-    if failed is not None:
-        parts.append(
-            failed.select(key).distinct().select(key, F.lit(failure_cost).alias("_cost"), zero[1])
-        )
-    if completed is not None:
-        parts.append(completed.select(key).select(key, zero[0], F.lit(True).alias("_done")))
-    marks = parts[0]
-    for part in parts[1:]:
-        marks = marks.unionByName(part)
-    marks = marks.groupBy(key).agg(
-        F.sum("_cost").cast("int").alias("_cost"), F.max("_done").alias("_done")
-    )
+    given = {"_touched": touched, "_failed": failed, "_done": completed}
+    marks = None
+    for name, keys in given.items():
+        if keys is None:
+            continue
+        part = keys.select(key, *[F.lit(name == n).alias(n) for n in given])
+        marks = part if marks is None else marks.unionByName(part)
+    cost = F.when(F.max("_touched"), touch_cost).otherwise(0) + F.when(
+        F.max("_failed"), failure_cost
+    ).otherwise(0)
+    marks = marks.groupBy(key).agg(cost.cast("int").alias("_cost"), F.max("_done").alias("_done"))
     hit = F.col("_cost").isNotNull()
     out = table.join(marks, key, "left")
     new: dict[str, Column] = {

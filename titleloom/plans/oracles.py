@@ -429,6 +429,7 @@ ORACLES: dict[str, str] = {
         _OUT,
     ),
     "items_page": _sql(f"SELECT item_hash, filename, size_bytes, {_STATE} FROM (SELECT * FROM it ORDER BY last_processed DESC, item_hash LIMIT 50)"),
+    "deep_page": _sql(f"SELECT name, {_STATE} FROM (SELECT * FROM src ORDER BY last_processed DESC, name LIMIT 200 OFFSET 1000)"),
     "page_total": _sql("SELECT count(*) AS total, 2 AS page, 200 AS per_page FROM it"),
     "page_after": _sql(f"SELECT name, {_STATE} FROM (SELECT * FROM src ORDER BY last_processed DESC, name LIMIT 200 OFFSET 200)"),
     "record_counts": _sql(

@@ -582,6 +582,11 @@ def items_page(spark, sf):
     return _state(pages.page(I.items(spark, sf), ["item_hash"], 0, None))
 
 
+@query
+def deep_page(spark, sf):
+    return _state(pages.deep_page(I.sources(spark, sf), ["name"], 6, 200, accuracy=100))
+
+
 @query
 def page_total(spark, sf):
     return pages.page_total(I.items(spark, sf), 2, 500)

@@ -117,7 +117,7 @@ def _log_links(
     ts: Column,
 ) -> None:
     """Link parsed items; append mappings, memo rows and queue marks under the batch id."""
-    results, fresh = linkage.link_items(parsed, candidates, memo)
+    results, fresh = linkage.link_items(parsed, candidates, memo, prune=True)
     results = results.persist()  # three writes below read it
     try:
         if memo is None:
