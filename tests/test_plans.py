@@ -6,7 +6,7 @@ import tempfile
 import pytest
 
 from titleloom.operators import queue, routing, upsert
-from titleloom.plans import inputs as I
+from titleloom.plans import inputs as I, stages
 from titleloom.plans.queries import QUERIES
 from titleloom.sources.tables import write_bucketed
 
@@ -78,5 +78,8 @@ def test_bucketed_tables_join_and_upsert_without_moving_the_target(spark, no_bro
 
 
 def test_name_parser_is_one_codegen_stage(spark):
-    text = plan(QUERIES["stream_parse"].__globals__["stages"].parse_items(I.items(spark, SF)))
+    parsed = stages.parse_items(I.items(spark, SF))
+    # A filter on the result must not copy the regexes below it.
+    assert plan(parsed.where("parsed IS NULL")).count("regexp_") == plan(parsed).count("regexp_")
+    text = plan(stages.parse_items(I.items(spark, SF)))
     assert text.count("Project") >= 4 and "Python" not in text

@@ -115,7 +115,7 @@ def test_minute_counters_equal_batch_once_closed(spark, paths):
     src = f"{paths.root}/events"
     put(events, src)
     stream = minute_counters(spark.readStream.schema(schemas.COUNTER_EVENTS).parquet(src), "5 minutes")
-    S._sink(stream, paths, "minutes", once=True).awaitTermination()
+    S.append_sink(stream, paths, "minutes", once=True).awaitTermination()
     got = spark.read.parquet(paths.log("minutes"))
     closed = base + timedelta(seconds=37 * 399) - timedelta(minutes=5)
     want = counters.minute_points(events).where(

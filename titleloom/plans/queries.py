@@ -668,7 +668,7 @@ def stream_minute_counters(spark, sf):
         "cast(ts AS timestamp) AS ts", "event_type AS counter", "cast(user_id AS bigint) AS n"
     )
     paths = _new_paths(spark)
-    streaming._sink(minute_counters_of(events), paths, "minutes", once=True).awaitTermination()
+    streaming.append_sink(minute_counters_of(events), paths, "minutes", once=True).awaitTermination()
     return spark.read.schema("counter string, minute timestamp, n bigint").parquet(
         paths.log("minutes")
     ).select("counter", _text("minute"), "n")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titleloom import fixed_values as V
 from titleloom.functions.barrier import pinned
 from titleloom.sources.payload import decode_text
 
@@ -74,7 +75,7 @@ def _only_document(frame: Column, text: Column) -> Column:
 
 def _entry(e: Column) -> Column:
     """Struct of one list entry, NULL when any field is missing, repeated under its alias, or mistyped."""
-    size, other = _get(e, "$.size"), _get(e, "$.bytes")
+    size, other = (_get(e, f"$.{k}") for k in V.SIZE_KEYS)
     one = size.isNull() != other.isNull()
     number = F.coalesce(size, other)
     value = number.try_cast("bigint")
@@ -98,8 +99,8 @@ def _entry(e: Column) -> Column:
 def with_entries(df: DataFrame, json: str = "json") -> DataFrame:
     """Add ``title`` and ``entries``; entries are NULL when the document is invalid as a whole.
 
-    Shapes: an object with ``list`` or ``torrents`` and an optional title, or a
-    bare array. Unknown fields are ignored, an empty list is valid.
+    Shapes: an object with one of the list keys and an optional title, or a bare
+    array. Unknown fields are ignored, an empty list is valid.
     """
     trimmed = F.regexp_replace(F.col(json), r"(?U)\A\s+", "")
     out = (
@@ -108,7 +109,7 @@ def with_entries(df: DataFrame, json: str = "json") -> DataFrame:
         .withColumn("_bare", trimmed.startswith("["))
     )
     v = F.col("_v")
-    a, b = _get(v, "$.list"), _get(v, "$.torrents")
+    a, b = (_get(v, f"$.{k}") for k in V.LIST_KEYS)
     shaped = F.when(F.col("_bare"), v).when(a.isNull() != b.isNull(), F.coalesce(a, b))
     title = _get(v, "$.title")
     title_ok = F.col("_bare") | title.isNull() | _is(title, "STRING") | _is(title, "VOID")

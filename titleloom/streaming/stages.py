@@ -57,7 +57,7 @@ def _start(df: DataFrame, paths: Paths, name: str, handler: Callable, once: bool
     return writer.foreachBatch(handler).start()
 
 
-def _sink(df: DataFrame, paths: Paths, name: str, once: bool) -> StreamingQuery:
+def append_sink(df: DataFrame, paths: Paths, name: str, once: bool) -> StreamingQuery:
     writer = (
         df.writeStream.queryName(name)
         .format("parquet")
@@ -87,7 +87,7 @@ def discover(listing: DataFrame, paths: Paths, once: bool = False) -> StreamingQ
 def extract(documents: DataFrame, marker: str, paths: Paths, once: bool = False) -> StreamingQuery:
     """Documents to decoded documents, errors included. Items are an explode of this log."""
     decoded = D.read_documents(documents, marker).withColumn("ingested_at", F.current_timestamp())
-    return _sink(decoded, paths, "decoded", once)
+    return append_sink(decoded, paths, "decoded", once)
 
 
 def item_rows(decoded: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def parse(items: DataFrame, paths: Paths, once: bool = False) -> StreamingQuery:
         "parsed.*",
         F.current_timestamp().alias("ingested_at"),
     )
-    return _sink(parsed, paths, "parsed", once)
+    return append_sink(parsed, paths, "parsed", once)
 
 
 def _log_links(
