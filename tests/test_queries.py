@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from titleloom.plans.oracles import ORACLES
+from titleloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -27,13 +29,15 @@ def normal(names, rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    df = entry.queries()[name](spark, SF)
-    result = con.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    result = con.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     want = normal(columns, result.fetchall())
     assert sorted(df.columns) == sorted(columns)
