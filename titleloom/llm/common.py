@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
     if batch.num_rows == 0:
         return
     array = batch.column(column)
-    lengths = np.asarray(pa.compute.binary_length(array).fill_null(0)).astype(np.int64)
+    lengths = np.asarray(pc.binary_length(array).fill_null(0)).astype(np.int64)
     end = np.cumsum(lengths)
     start = 0
     while start < batch.num_rows:

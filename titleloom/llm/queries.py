@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titleloom.llm import mixing, sharding, simhash
+from titleloom.llm import decontaminate, mixing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     sharded = sharding.shuffle_to_shards(_table(spark, sf, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -25,4 +29,4 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op6_sharding, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_decontamination, op6_sharding, op10_simhash)}
