@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titleloom.llm import decontaminate, mixing, sharding, simhash
+from titleloom.llm import decontaminate, mixing, sharding, simhash, tokencount
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,8 +25,14 @@ def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_decontamination, op6_sharding, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_decontamination, op6_sharding, op8_token_counts, op10_simhash)}
