@@ -30,6 +30,7 @@ from titleloom.llm.common import kept_names, packed, store, text_of, unpacked
 SHARDS = 24
 SEED = 29
 BUCKET_BYTES = 16 << 20
+LEAST_BUCKETS = 256  # so that small inputs spread over a cluster too
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 LAW = "rows"
 
@@ -58,7 +59,7 @@ def shuffle_to_shards(
     names = kept_names(docs, *ADDED)
     text = text_of()
     total = docs.agg(F.sum(record_bytes(text))).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
+    buckets = max(LEAST_BUCKETS, math.ceil(total / bucket_bytes))
     mark = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
     bucket = F.pmod(mark, F.lit(buckets)).cast("int").alias("bucket")
     rows = docs.select(
