@@ -26,7 +26,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -218,8 +217,7 @@ def hits(
                     for w, h in zip(first[near].tolist(), hashes[near].view(np.int64).tolist()):
                         owner = words.text[w]
                         spans[owner].append({"place": w - begin[owner], "length": length, "hash": h, "text": words.span(w, length)})
-                clean = pa.array([not s for s in spans])
-                keys = pc.if_else(clean, pa.scalar(None, pa.string()), part.column("key"))
+                keys = pa.array([k if s else None for k, s in zip(part.column("key").to_pylist(), spans)], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), keys, pa.array(count.astype(np.int64)), pa.array(spans, span)],
                     ["doc_id", "key", "n_words", "spans"],
