@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titleloom.llm import decontaminate, mixing, sharding, simhash, tokencount
+from titleloom.llm import decontaminate, mixing, sharding, simhash, tokencount, topk
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,8 +31,12 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_decontamination, op6_sharding, op8_token_counts, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_decontamination, op6_sharding, op8_token_counts, op9_topk, op10_simhash)}
