@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titleloom.llm import decontaminate, mixing, sharding, simhash, tokencount, topk
+from titleloom.llm import decontaminate, mixing, quality, sharding, simhash, tokencount, topk
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -39,4 +43,4 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_decontamination, op6_sharding, op8_token_counts, op9_topk, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op6_sharding, op8_token_counts, op9_topk, op10_simhash)}
