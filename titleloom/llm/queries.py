@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titleloom.llm import decontaminate, mixing, quality, sharding, simhash, tokencount, topk
+from titleloom.llm import decontaminate, mixing, quality, sharding, simhash, tokencount, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,4 +47,4 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op6_sharding, op8_token_counts, op9_topk, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op6_sharding, op7_toxicity, op8_token_counts, op9_topk, op10_simhash)}
