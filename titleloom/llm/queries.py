@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titleloom.llm import decontaminate, mixing, quality, sharding, simhash, tokencount, topk, toxicity
+from titleloom.llm import chat, decontaminate, mixing, quality, sharding, simhash, tokencount, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
+    talks = chat.probe(_table(spark, sf, "conversations"), "</s>[INST] ok [/INST]")
+    return chat.read_back(chat.format_turns(chat.events_of(talks)))
+
+
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     sharded = sharding.shuffle_to_shards(_table(spark, sf, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -47,4 +52,4 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op6_sharding, op7_toxicity, op8_token_counts, op9_topk, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_chat, op6_sharding, op7_toxicity, op8_token_counts, op9_topk, op10_simhash)}

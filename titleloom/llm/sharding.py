@@ -53,13 +53,17 @@ def shuffled_positions(counts: DataFrame, seed: int, parts: int) -> DataFrame:
 
 
 def shuffle_to_shards(
-    docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
+    docs: DataFrame,
+    shards: int = SHARDS,
+    seed: int = SEED,
+    bucket_bytes: int = BUCKET_BYTES,
+    least_buckets: int = LEAST_BUCKETS,
 ) -> DataFrame:
     """The documents with size, text_crc32, law, shard, slot and grown_shard (NULL under this law)."""
     names = kept_names(docs, *ADDED)
     text = text_of()
     total = docs.agg(F.sum(record_bytes(text))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, math.ceil(total / bucket_bytes))
+    buckets = max(least_buckets, math.ceil(total / bucket_bytes))
     mark = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
     bucket = F.pmod(mark, F.lit(buckets)).cast("int").alias("bucket")
     rows = docs.select(

@@ -1,3 +1,89 @@
 """Reference SQL of the registered queries, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+from titleloom.llm import chat, decontaminate, mixing, topk
+
+_RESERVED = "|".join(
+    c[0].replace("[", "\\[") + "\\\\*" + "".join("\\" + x if x in "|[]/<>" else x for x in c[1:]) for c in chat.CONTROL_STRINGS
+)
+
+OP4 = f"""
+WITH talks AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, len(regexp_extract_all(text, '{_RESERVED}')) + len(regexp_extract_all(role, '{_RESERVED}')) AS extra FROM talks
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, r NULLS FIRST, t NULLS FIRST)) AS loss_sha256,
+  sum(length(role) + length(text) + extra + {len(chat.TURN + chat.TEXT + chat.END) + 1})::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+OP2 = f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+), sums AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [{", ".join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight,
+    source_size * {mixing.MOST} AS cap FROM sums
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER below, 0))::DOUBLE / (sum(weight) OVER above)::DOUBLE AS level FROM weighed
+  WINDOW below AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         above AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), targets AS (
+  SELECT source, source_size,
+    least(cap::DOUBLE, coalesce(max(CASE WHEN cap > level * weight THEN level END) OVER () * weight, cap::DOUBLE)) AS target FROM levels
+), rated AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 13))::BIGINT / {float(1 << 52)} AS u
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+), drawn AS (
+  SELECT *, (floor(rate) + (u < rate - floor(rate))::INT)::BIGINT AS copies FROM rated
+)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM drawn
+"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_W = decontaminate.WINDOW
+
+OP3 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents
+), i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item, least(len(w), {_W}) AS n, array_to_string(w[p:p + least(len(w), {_W}) - 1], ' ') AS x
+  FROM i, unnest(range(1, len(w) - least(len(w), {_W}) + 2)) AS t(p) WHERE len(w) > 0
+), doc_windows AS (
+  SELECT row, p, n, array_to_string(w[p:p + n - 1], ' ') AS x
+  FROM d, (SELECT DISTINCT n FROM item_windows) AS lengths, unnest(range(1, len(w) - n + 2)) AS t(p)
+), found AS (
+  SELECT row, p, n, item FROM doc_windows JOIN item_windows USING (n, x)
+), hit AS (
+  SELECT row, count(DISTINCT q)::BIGINT AS n_hit FROM found, unnest(range(p, p + n)) AS t(q) GROUP BY row
+), named AS (
+  SELECT row, count(DISTINCT item)::BIGINT AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+"""
+
+OP9 = f"""
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM ints q JOIN ints c ON q.vec_id % {topk.QUERY_EVERY} = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.K}
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_decontamination": OP3, "op4_chat": OP4, "op9_topk": OP9}
