@@ -161,10 +161,10 @@ def top_k(
 
     asked = taken.filter(F.col("id") % every == 0).groupBy("id").agg(F.max(F.struct("v", "length")).alias("q"))
     groups = max(1, -(-rows // every // queries))
-    asked = store(asked.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"), "id", "q.v", "q.length"), "topk-queries")
+    asked = store(asked.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"), "id", "q.v", "q.length", F.lit(0).alias("block")), "topk-queries")
 
     nothing = F.lit(float("-inf"))
-    opening = _scored(dealt, asked.withColumn("block", F.lit(0)).withColumn("floor", nothing), axes, width, k, steps)
+    opening = _scored(dealt, asked.withColumn("floor", nothing), axes, width, k, steps)
     opening = store(opening, "topk-opening")
     lows = opening.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("low"))
     floors = asked.join(lows.withColumnRenamed("query_id", "id"), "id", "left")
