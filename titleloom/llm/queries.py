@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titleloom.llm import chat, decontaminate, mixing, quality, sharding, simhash, tokencount, topk, toxicity
+from titleloom.llm import chat, decontaminate, licenses, mixing, quality, sharding, simhash, tokencount, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.events_of(talks)))
 
 
+def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     sharded = sharding.shuffle_to_shards(_table(spark, sf, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -52,4 +56,4 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_chat, op6_sharding, op7_toxicity, op8_token_counts, op9_topk, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_chat, op5_licenses, op6_sharding, op7_toxicity, op8_token_counts, op9_topk, op10_simhash)}
