@@ -134,6 +134,15 @@ def test_broken_documents_fail_as_a_whole(spark):
     assert [g[2] for g in entries(spark, bad)] == [True] * len(bad)
 
 
+def test_documents_of_any_size(spark):
+    """A string of 40 MB, and a document of 60 MB in many short entries, are valid."""
+    long = "x" * (40 << 20)
+    many = ",".join(['{"filename":"%s","hash":"h","size":1}' % ("f" * 100)] * 400_000)
+    df = spark.createDataFrame([(0, '[{"filename":"%s","hash":"h","size":1}]' % long), (1, f'{{"list":[{many}]}}')], "i int, json string")
+    got = documents.with_entries(df).selectExpr("i", "size(entries) AS n", "length(entries[0].filename) AS m").collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 40 << 20), (1, 400_000, 100)]
+
+
 def test_documents_end_to_end(spark):
     rows = [
         ("one", page(SINGLE)),
@@ -191,6 +200,12 @@ def test_wrapped_containers(spark):
             b"",
             b"d4:infod4:name1:ae",
             b"l" * 5000,
+            # an unused list of any depth does no harm
+            b"d4:infod4:name1:a6:lengthi5ee4:more" + b"l" * 3000 + b"e" * 3001,
+            b"d4:infod4:name1:a6:lengthi1_0eee",
+            b"d4:infod4:name1:a6:lengthi +7 eee",
+            b"d4:infod4:name1:a6:lengthi-0eee",
+            b"d4:infod4:name\xd9\xa1:a6:lengthi1eee",
         ],
     )
     assert got["0"] == [("movie.mkv", 1073741824, 0)]
@@ -199,6 +214,9 @@ def test_wrapped_containers(spark):
     assert got["5"] == [("a", 0, 2), ("b", 0, 3)]
     assert got["4"] == "empty"
     assert all(got[k] == "error" for k in "236789")
+    assert got["10"] == [("a", 5, 0)]
+    assert got["11"] == got["12"] == got["14"] == "error"
+    assert got["13"] == [("a", 0, 0)]
 
 
 def test_bare_containers(spark):
@@ -223,5 +241,5 @@ def test_json_file_lists(spark):
     ]
     listed = file_lists.with_files(spark.createDataFrame(rows, "key string, json string"))
     got = sorted(tuple(r) for r in file_lists.file_rows(listed).collect())
-    assert got == [("a", "/z", 7, 2), ("a", "d/x.mkv", 5, 0), ("a", "y", 6, 0)]
+    assert got == [("a", "/z", 7, 2, 2), ("a", "d/x.mkv", 5, 0, 0), ("a", "y", 6, 0, 1)]
     assert sorted(r.key for r in file_lists.list_errors(listed).collect()) == ["c", "d"]

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from titleloom import schemas
 from titleloom.functions import display, predicates as P
 from titleloom.operators import counters, pages, queue, routing, upsert
 from titleloom.plans import stages
@@ -198,12 +199,39 @@ def test_pages(spark):
     assert names(pages.page(df, ["name"], 4, 30)) == want[90:]
     assert names(pages.page(df, ["name"], 9, 30)) == []
     for number in range(1, 12):
-        assert names(pages.deep_page(df, ["name"], number, 10, accuracy=50)) == want[number * 10 - 10 : number * 10]
+        assert names(pages.deep_page(df, ["name"], number, 10, partitions=7)) == want[number * 10 - 10 : number * 10]
     last = {"name": "k029", "last_processed": before(14)}
     assert names(pages.page_after(df, ["name"], last, 30)) == want[30:60]
     assert tuple(pages.page_total(df, 2, 30).first()) == (101, 2, 30)
 
 
+def test_pages_with_null_keys_and_times(spark):
+    """Every page behind every row, NULLs and ties included; deep pages give the same rows."""
+    times = [before(1), before(1), before(1), before(1), before(2), None, None, None]
+    data = [("x", None), ("x", 0), ("x", 1), ("y", None), ("x", None), ("a", None), ("a", 0), (None, None)]
+    df = spark.createDataFrame([(*d, t) for d, t in zip(data, times)], "k string, i int, created_at timestamp")
+    first = lambda v: (v is not None, v if v is not None else 0)
+    order = sorted(df.collect(), key=lambda r: (r.created_at is None, -(r.created_at.timestamp() if r.created_at else 0), r.k is not None, r.k or "", first(r.i)))
+    same = lambda rows: sorted(map(str, rows))
+    for at, row in enumerate(order):
+        got = pages.page_after(df, ["k", "i"], row.asDict(), 3, "created_at").collect()
+        assert same(got) == same(order[at + 1 : at + 4])
+    for number in (1, 2, 3, 4):
+        assert same(pages.deep_page(df, ["k", "i"], number, 3, "created_at", partitions=3).collect()) == same(order[number * 3 - 3 : number * 3])
+
+
+def test_repeated_keys_in_changes_are_stored_once(spark):
+    out = spark.createDataFrame([("h", "c", "series", 1, 0, 1, 1, before(5))], schemas.OUTPUTS)
+    names = ["item_hash", "catalog_id", "output_type", "size_bytes", "file_index", "season", "episode", "pos"]
+    new = [("h", "c", "series", 7, 0, 1, 1, 1), ("h", "c", "series", 9, 0, 1, 1, 0), ("n", "c", "movie", 3, None, None, None, 0), ("n", "c", "movie", 4, None, None, None, 1)]
+    rows = spark.createDataFrame(new, "item_hash string, catalog_id string, output_type string, size_bytes bigint, file_index int, season int, episode int, pos int")
+    assert rows.columns == names
+    got = sorted((r.item_hash, r.size_bytes) for r in upsert.upsert_outputs(out, rows, before(0)).collect())
+    assert got == [("h", 7), ("n", 4)]
+    apart = upsert.upsert_outputs(out, rows, before(0), nulls_distinct=True).collect()
+    assert sorted((r.item_hash, r.size_bytes) for r in apart) == [("h", 7), ("n", 3), ("n", 4)]
+
+
 @pytest.mark.parametrize(
     "size,want",
     [
@@ -240,6 +268,8 @@ def test_history(spark):
     assert (out["c"].total, len(out["c"].points), set(out["c"].points)) == (0, 60, {0})
     got = {r.counter: tuple(r)[1:] for r in counters.last_n_minutes(points, at(3)).collect()}
     assert got == {"a": (5, 8, 8, 8), "b": (0, 0, 9, 9)}
+    silent = {r.counter: tuple(r)[1:] for r in counters.last_n_minutes(points, at(200)).collect()}
+    assert silent == {"a": (0, 0, 0, 0), "b": (0, 0, 0, 0)}
     rolling = {(r.counter, r.minute.minute): r.rolling for r in counters.rolling_sum(points, 4).collect()}
     assert rolling[("a", 3)] == 8 and rolling[("a", 0)] == 3 and len(rolling) == 4
 

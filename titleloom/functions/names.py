@@ -18,7 +18,6 @@ from titleloom import fixed_values as V
 from titleloom.functions.barrier import pinned
 
 _MARK = "\u0001"
-_SEP = V.NUMBER_SEPARATORS
 _EDGE = r"[\s\-()\[\]]"
 
 # Patterns for ASCII text; ``_anywhere`` gives the Unicode form.
@@ -34,15 +33,11 @@ _TITLE_EDGES = rf"\A{_EDGE}+|\s+{V.YEAR}{_EDGE}*\z|{_EDGE}+\z"
 
 # Groups per rule: prefix, season[, episode]. The NxNN rule looks at its first
 # occurrence only (atomic look-ahead) and gives way when that season is zero.
+_NO_ZERO_SEASON = r"(?!(?>.*?(?=\b\d{1,2}x\d{2,3}\b))0+x)"
 _SEASON_EPISODE = (
     r"(?is)\A(?:"
-    rf"(.*?)\bS(\d{{1,3}}){_SEP}E(\d{{1,3}})\b"
-    rf"|(.*?)\bS(\d{{1,3}}){_SEP}E(\d{{1,3}})(?:{_SEP}E\d{{1,3}})+\b"
-    rf"|(.*?)\bSeason{_SEP}(\d{{1,3}}){_SEP}Episode{_SEP}(\d{{1,3}})\b"
-    r"|(?!(?>.*?(?=\b\d{1,2}x\d{2,3}\b))0+x)(.*?)\b(\d{1,2})x(\d{2,3})\b"
-    r"|(.*?)\bS(\d{1,3})\b"
-    rf"|(.*?)\bSeason{_SEP}(\d{{1,3}})\b"
-    r").*\z"
+    + "|".join((_NO_ZERO_SEASON if "x(" in rule else "") + "(.*?)" + rule for rule in V.SEASON_EPISODE)
+    + r").*\z"
 )
 # Season, episode and prefix groups of the six rules; unmatched groups are empty.
 _SE_CELLS = f"{_MARK}$2$5$8$11$14$16{_MARK}$3$6$9$12{_MARK}$1$4$7$10$13$15"

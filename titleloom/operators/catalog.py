@@ -36,7 +36,12 @@ from titleloom.session import cut_lineage
 
 # Edit-distance share of the longer name per tier; the last one is the goal itself.
 TIERS = (0.0, 0.08, 0.2, 1 - V.SIMILARITY_GOAL)
-_ANY_YEAR, _NO_YEAR = 0, -1
+# Year cells: four times the year, so that the two special cells are no year's.
+_ANY_YEAR, _NO_YEAR = 1, 2
+
+
+def _cell(year: Column) -> Column:
+    return year.cast("bigint") * 4
 
 
 def reduce_catalog(catalog: DataFrame) -> DataFrame:
@@ -47,10 +52,9 @@ def reduce_catalog(catalog: DataFrame) -> DataFrame:
     year look up. The catalog carries this fan-out because a query has far more
     pieces than a catalog name.
     """
-    y = F.col("year")
-    cells = F.when(y.isNull(), F.array(F.lit(_NO_YEAR), F.lit(_ANY_YEAR))).otherwise(
-        F.array(y - 1, y, y + 1, F.lit(_ANY_YEAR))
-    )
+    y = _cell(F.col("year"))
+    special = [F.lit(c).cast("bigint") for c in (_NO_YEAR, _ANY_YEAR)]
+    cells = F.when(y.isNull(), F.array(*special)).otherwise(F.array(y - 4, y, y + 4, special[1]))
     return (
         catalog.where(M.id_ok(F.col("id")))
         .select(
@@ -71,9 +75,9 @@ def reduce_queries(queries: DataFrame) -> DataFrame:
 
 
 def _with_cells(queries: DataFrame) -> DataFrame:
-    y = F.col("qy")
-    cells = F.when(y.isNull(), F.array(F.lit(_ANY_YEAR))).otherwise(
-        F.array(y, F.lit(_NO_YEAR))
+    y = _cell(F.col("qy"))
+    cells = F.when(y.isNull(), F.array(F.lit(_ANY_YEAR).cast("bigint"))).otherwise(
+        F.array(y, F.lit(_NO_YEAR).cast("bigint"))
     )
     return queries.withColumn("cell", F.explode(cells))
 
@@ -101,22 +105,15 @@ def first_almost_similar(queries: DataFrame, reduced: DataFrame) -> DataFrame:
     )
     by_catalog = wanted.join(longer, ["q", "cell"]).select("q", "qy", "low")
     # Catalog names the query starts or ends with: affixes of queries, one row per
-    # distinct affix on the catalog side.
+    # distinct affix on the catalog side. The empty affix finds names that simplify to
+    # nothing, which are almost similar to everything.
     shorter = (
-        wanted.where(F.col("q") != "")
-        .select("q", "qy", "cell", F.explode(F.array_distinct(_affixes(F.col("q"))["part"])).alias("c"))
-        .where(F.col("c") != "")
+        wanted.select("q", "qy", "cell", F.explode(F.array_distinct(_affixes(F.col("q"))["part"])).alias("c"))
         .join(reduced, ["c", "cell"])
         .select("q", "qy", "low")
     )
-    # Names that simplify to '' are almost similar to everything: at most one row
-    # per year cell, so they are joined on the cell alone.
-    blank = wanted.join(reduced.where(F.col("c") == "").select("cell", "low"), "cell").select(
-        "q", "qy", "low"
-    )
     return (
         by_catalog.unionByName(shorter)
-        .unionByName(blank)
         .groupBy("q", "qy")
         .agg(F.min("low").alias("second"))
     )
@@ -267,12 +264,11 @@ def year_similar_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataF
     years on either side take their own cell instead of a nested loop.
     Right columns keep their names; the right year is ``right_year``.
     """
-    y = F.col("year")
-    accepted = F.when(y.isNull(), F.array(F.lit(_ANY_YEAR))).otherwise(
-        F.array(y - 1, y, y + 1, F.lit(_NO_YEAR))
-    )
-    own = F.coalesce(F.col("right_year"), F.lit(_NO_YEAR))
+    y = _cell(F.col("year"))
+    none, any_year = (F.lit(c).cast("bigint") for c in (_NO_YEAR, _ANY_YEAR))
+    accepted = F.when(y.isNull(), F.array(any_year)).otherwise(F.array(y - 4, y, y + 4, none))
+    own = F.coalesce(_cell(F.col("right_year")), none)
     spread = right.withColumnRenamed("year", "right_year").withColumn(
-        "_cell", F.explode(F.array(own, F.lit(_ANY_YEAR)))
+        "_cell", F.explode(F.array(own, any_year))
     )
     return left.withColumn("_cell", F.explode(accepted)).join(spread, [*on, "_cell"]).drop("_cell")

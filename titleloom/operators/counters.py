@@ -38,6 +38,13 @@ def pack_tally(status: DataFrame) -> DataFrame:
     )
 
 
+def stage_counters(df: DataFrame, as_of: datetime | str, **counts: Column) -> DataFrame:
+    """(ts, counter, n) rows of a stage, one per named aggregate of its result."""
+    one = df.agg(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for n, c in counts.items()])
+    pairs = F.array(*[F.struct(F.lit(n).alias("counter"), F.col(n).alias("n")) for n in counts])
+    return one.select(at(as_of).alias("ts"), F.inline(pairs))
+
+
 def counter_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("counter").agg(F.sum("n").alias("total"))
 
@@ -60,16 +67,15 @@ def _slot(minute: Column, as_of: datetime | str) -> Column:
 
 
 def last_n_minutes(points: DataFrame, as_of: datetime | str, windows=(1, 5, 30, 60)) -> DataFrame:
-    """Sum of the last 1, 5, 30 and 60 points per counter: conditional sums, no window sort."""
+    """Sum of the last 1, 5, 30 and 60 points per counter: conditional sums, no window sort.
+
+    A counter silent in all of them stays, with zeros.
+    """
     slot = _slot(F.col("minute"), as_of)
-    return (
-        points.where((slot >= 0) & (slot < max(windows)))
-        .groupBy("counter")
-        .agg(*[
-            F.coalesce(F.sum(F.when(slot < n, F.col("n"))), F.lit(0)).alias(f"last_{n}")
-            for n in windows
-        ])
-    )
+    return points.groupBy("counter").agg(*[
+        F.coalesce(F.sum(F.when((slot >= 0) & (slot < n), F.col("n"))), F.lit(0)).alias(f"last_{n}")
+        for n in windows
+    ])
 
 
 def rolling_sum(points: DataFrame, minutes: int) -> DataFrame:

@@ -8,6 +8,8 @@ candidate position is part of every struct, so ties always fall the same way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,14 +189,18 @@ def link_items(
     candidates: DataFrame,
     memo: DataFrame | None = None,
     prune: bool = False,
+    keep: Callable[[DataFrame], DataFrame] = lambda fresh: fresh,
 ) -> tuple[DataFrame, DataFrame]:
-    """(item results incl. misses, new memo rows). Memo hits and memo misses are not looked up again."""
+    """(item results incl. misses, new memo rows). Memo hits and memo misses are not looked up again.
+
+    ``keep`` stores the looked-up keys (one row each), so that both results come from one lookup.
+    """
     keyed = link_keys(parsed_items)
     keys = unique_keys(keyed)
     if memo is None:
-        fresh = resolve(keys, candidates, prune).select("lookup_key", "catalog_id", "content_type")
+        fresh = keep(resolve(keys, candidates, prune).select("lookup_key", "catalog_id", "content_type"))
         return fan_out(keyed, fresh), fresh
     known = memo.select("lookup_key", "catalog_id", "content_type")
     todo = keys.join(known.select("lookup_key"), "lookup_key", "left_anti")
-    fresh = resolve(todo, candidates, prune).select("lookup_key", "catalog_id", "content_type")
+    fresh = keep(resolve(todo, candidates, prune).select("lookup_key", "catalog_id", "content_type"))
     return fan_out(keyed, fresh.unionByName(known)), fresh

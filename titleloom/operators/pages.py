@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as V
+from titleloom.session import cut_lineage
 
 
 def clamp(page: int | None, per_page: int | None) -> tuple[int, int]:
@@ -36,31 +37,30 @@ def deep_page(
     number: int,
     per_page: int | None = None,
     order: str = "last_processed",
-    accuracy: int = 10_000,
+    partitions: int = 200,
 ) -> DataFrame:
     """The same rows as ``page``, for page numbers whose top-k would not fit one task.
 
-    A cut in ``order`` a little above the page is estimated, rows above it are
-    counted exactly, and only rows below are ranked. What is left to skip is
-    about total / accuracy rows, plus rows sharing the cut's own time. Three
-    small jobs; the cut reaches the scan as a filter.
+    The sort columns are range-partitioned in page order and stored, so a place in the
+    whole order is the rows of the partitions before plus the place inside one. Counts per
+    partition tell which partitions reach the page; only those are ranked. Rows
+    sharing one time are spread by their keys. ``keys`` must tell rows apart.
     """
     number, size = clamp(number, per_page)
     skip = (number - 1) * size
-    total = table.count()
-    share = 1 - skip / total + 2 / accuracy if total else 1
-    if share >= 1:
-        return page(table, keys, number, per_page, order)
-    cut = table.agg(F.percentile_approx(order, max(share, 0.0), accuracy)).first()[0]
-    above = table.where(F.col(order) > F.lit(cut)).count()
-    if above > skip:
-        return page(table, keys, number, per_page, order)
-    return (
-        table.where(F.col(order) <= F.lit(cut))
-        .orderBy(F.col(order).desc(), *[F.col(k).asc_nulls_first() for k in keys])
-        .offset(skip - above)
-        .limit(size)
-    )
+    wanted = [F.col(order).desc_nulls_last(), *[F.col(k).asc_nulls_first() for k in keys]]
+    slim = table.select(order, *keys)
+    dealt = cut_lineage(slim.repartitionByRange(partitions, *wanted).withColumn("_part", F.spark_partition_id()))
+    behind = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # one row per partition
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(behind), F.lit(0)))
+    reach = counts.where((F.col("_before") < skip + size) & (F.col("_before") + F.col("_rows") > skip))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*wanted))
+    placed = dealt.join(reach, "_part").withColumn("_place", F.col("_before") + inside)
+    names = [order, *keys]
+    chosen = placed.where((F.col("_place") > skip) & (F.col("_place") <= skip + size)).select(*[F.col(c).alias(f"_{c}") for c in names])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    return table.join(chosen, same, "left_semi")
 
 
 def page_total(table: DataFrame, number: int | None = None, per_page: int | None = None) -> DataFrame:
@@ -80,10 +80,13 @@ def page_after(
 ) -> DataFrame:
     """The page behind a known last row: the filter reaches the scan, so depth costs nothing."""
     if last is not None:
-        behind = F.col(order) < F.lit(last[order])
-        same = F.col(order) == F.lit(last[order])
+        at = last[order]
+        # Times descend with NULL last, keys ascend with NULL first.
+        behind = F.lit(False) if at is None else F.col(order).isNull() | (F.col(order) < F.lit(at))
+        same = F.col(order).eqNullSafe(F.lit(at))
         for k in keys:
-            behind = behind | (same & (F.col(k) > F.lit(last[k])))
+            later = F.col(k).isNotNull() if last[k] is None else F.col(k) > F.lit(last[k])
+            behind = behind | (same & later)
             same = same & F.col(k).eqNullSafe(F.lit(last[k]))
         table = table.where(behind)
     return page(table, keys, 1, per_page, order)

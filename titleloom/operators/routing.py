@@ -102,10 +102,11 @@ def expand_packs(routed: DataFrame, files: DataFrame, strict: bool = False) -> D
     """One output per media file of a pack, under the file's own episode or the pack's season.
 
     ``files`` comes from ``first_nonempty_source``. Files are filtered before
-    the join, so only media rows are shuffled.
+    the join, so only media rows are shuffled. A ``pos`` of the files (place in their
+    list) stays with the rows; ``upsert_outputs`` goes by it where an index repeats.
     """
     media = files.where(P.media_file(F.col("path"), F.col("size"))).select(
-        F.col("key").alias("item_hash"), "path", "size", "file_index"
+        F.col("key").alias("item_hash"), "path", "size", "file_index", *[c for c in ("pos",) if c in files.columns]
     )
     joined = media.join(routed.select("item_hash", "catalog_id", "season"), "item_hash")
     named = with_file_episode(joined, "path", "season", "_fe", strict)
@@ -118,7 +119,8 @@ def expand_packs(routed: DataFrame, files: DataFrame, strict: bool = False) -> D
         "file_index",
         F.when(own, F.col("_fe.season")).otherwise(F.col("season")).alias("season"),
         F.col("_fe.episode").alias("episode"),
-    ).select(*_OUTPUT)
+        *[c for c in ("pos",) if c in files.columns],
+    ).select(*_OUTPUT, *[c for c in ("pos",) if c in files.columns])
 
 
 def pack_status(routed: DataFrame, files: DataFrame) -> DataFrame:

@@ -59,21 +59,23 @@ def upsert(
     defaults: Mapping[str, Column],
     nullable_keys: Sequence[str] = (),
     nulls_distinct: bool = False,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Replace ``payload`` where the key exists, insert with ``defaults`` where it does not.
 
-    ``changes`` holds one row per key (see ``latest_per_key``). Columns outside
-    the payload keep the target's values: an updated row is not queued again.
+    Changes may repeat a key: the last by ``order`` counts, of equals the greatest
+    payload. Columns outside the payload keep the target's values: an updated row is not queued again.
     A NULL in a nullable key equals NULL, unless ``nulls_distinct``, which
     appends such rows instead.
     """
     if nulls_distinct and nullable_keys:
         null_key = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in nullable_keys])
-        kept = upsert(target, changes.where(~null_key), keys, payload, defaults)
+        kept = upsert(target, changes.where(~null_key), keys, payload, defaults, order=order)
         extra = changes.where(null_key).select(
             *keys, *payload, *[v.alias(n) for n, v in defaults.items()]
         )
         return kept.unionByName(extra)
+    changes = latest_per_key(changes.select(*keys, *payload, *order), keys, order)
     # New columns get names of their own, so a target derived from the same rows is no riddle.
     old = target.withColumn("_old", F.lit(True))
     new = changes.select(
@@ -93,9 +95,13 @@ def upsert(
 
 def upsert_items(items: DataFrame, rows: DataFrame, as_of: datetime | str) -> DataFrame:
     """``rows``: batch, source, pos, item_hash, filename, size_bytes. Later position wins."""
-    last = latest_per_key(rows, ["item_hash"], ["batch", "source", "pos"])
     return upsert(
-        items, last, ["item_hash"], ["filename", "size_bytes"], new_queue_columns(as_of)
+        items,
+        rows,
+        ["item_hash"],
+        ["filename", "size_bytes"],
+        new_queue_columns(as_of),
+        order=["batch", "source", "pos"],
     )
 
 
@@ -118,7 +124,10 @@ def upsert_mappings(mappings: DataFrame, rows: DataFrame, as_of: datetime | str)
 def upsert_outputs(
     outputs: DataFrame, rows: DataFrame, as_of: datetime | str, nulls_distinct: bool = False
 ) -> DataFrame:
-    """Key (item_hash, file_index) with a NULL index for singles; created_at survives updates."""
+    """Key (item_hash, file_index) with a NULL index for singles; created_at survives updates.
+
+    Of rows with one key the last by ``pos`` counts, where the rows carry that column.
+    """
     return upsert(
         outputs,
         rows,
@@ -127,4 +136,5 @@ def upsert_outputs(
         {"created_at": at(as_of)},
         nullable_keys=["file_index"],
         nulls_distinct=nulls_distinct,
+        order=[c for c in ("pos",) if c in rows.columns],
     )

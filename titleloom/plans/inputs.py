@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleloom.session import spread_small
-
 AS_OF = "1999-06-01 00:00:00"
 EVENTS_AS_OF = "2024-01-20 12:30:45"
 FRAGMENT_MARKER = '<a href="/'
@@ -37,7 +35,23 @@ FILENAME = f"""CASE o_orderkey % 10
   WHEN 6 THEN concat({_WORDS}, '.S', {_SEASON}, 'E15E16.720p')
   WHEN 7 THEN '1080p.BluRay.x264'
   WHEN 8 THEN concat('[', c_mktsegment, '] (', cast(year(o_orderdate) as string), ') 1.5GB 0x12 S0', {_SEASON})
-  ELSE concat({_WORDS}, ' - ', cast(year(o_orderdate) as string)) END"""
+  ELSE CASE cast(floor(o_orderkey / 10) as bigint) % 16
+    WHEN 0 THEN concat({_WORDS}, ' - ', cast(year(o_orderdate) as string))
+    WHEN 1 THEN concat({_WORDS}, '.AAC2.0.tail')
+    WHEN 2 THEN concat({_WORDS}, '.DTS-HD.MA.more')
+    WHEN 3 THEN concat({_WORDS}, '.HDR10Plus.more')
+    WHEN 4 THEN concat({_WORDS}, '.Dolby.Vision.tail')
+    WHEN 5 THEN concat({_WORDS}, '.10bit.more')
+    WHEN 6 THEN concat({_WORDS}, ' 25fps tail')
+    WHEN 7 THEN concat({_WORDS}, '.Half-SBS.more')
+    WHEN 8 THEN concat({_WORDS}, '.8.5 GB.more')
+    WHEN 9 THEN concat({_WORDS}, '.4K.more')
+    WHEN 10 THEN concat({_WORDS}, '.DIRECTORS.CUT.more')
+    WHEN 11 THEN concat({_WORDS}, '-GRP2')
+    WHEN 12 THEN concat({_WORDS}, ' more [tag]')
+    WHEN 13 THEN concat({_WORDS}, '.more.srt')
+    WHEN 14 THEN concat({_WORDS}, '.HEVC.TrueHD.Atmos.REMASTERED')
+    ELSE concat({_WORDS}, '.UNRATED.MPEG4.BRRip.Opus.HLG') END END"""
 ITEM_SIZE = "cast(round(o_totalprice * 100000) as bigint)"
 
 # Parsed items by formula, for the stages behind the parser.
@@ -65,7 +79,7 @@ CATALOG_NAME = "concat(p_name, ' ', p_brand, ' ', p_type)"
 CATALOG_YEAR = "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 1950 + p_size END"
 QUERY_NAME = f"""CASE p_partkey % 5
   WHEN 0 THEN {CATALOG_NAME}
-  WHEN 1 THEN concat(substring({CATALOG_NAME}, 1, 2), substring({CATALOG_NAME}, 4, 100))
+  WHEN 1 THEN concat(substring({CATALOG_NAME}, 1, 2), substring({CATALOG_NAME}, 4))
   WHEN 2 THEN concat(replace({CATALOG_NAME}, 'a', 'e'), ' (x)')
   WHEN 3 THEN p_name
   ELSE concat(p_type, ' ', p_name) END"""
@@ -80,12 +94,12 @@ def _queue() -> list[str]:
     return [f"{sql} AS {name}" for name, sql in QUEUE.items()]
 
 
-def _spread_orders(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return spread_small(table(spark, sf, "orders").select("o_orderkey", *columns), "o_orderkey")
+def _order_rows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", *columns)
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    orders = _spread_orders(
+    orders = _order_rows(
         spark, sf, "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
     )
     customer = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
@@ -129,7 +143,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"
     )
-    return spread_small(lines, "l_orderkey", "l_suppkey").selectExpr(
+    return lines.selectExpr(
         f"{FILE_KEY} AS key",
         f"{FILE_PATH} AS path",
         f"{FILE_SIZE} AS size",
@@ -146,10 +160,10 @@ SELECT lookup_key, lookup_title, lookup_year, hint, j AS pos,
   CASE (k + j) % 6
     WHEN 0 THEN lookup_title
     WHEN 1 THEN concat(lookup_title, ' returns (', cast(k AS string), ')')
-    WHEN 2 THEN concat('the ', substring(lookup_title, 2, 100))
+    WHEN 2 THEN concat('the ', substring(lookup_title, 2))
     WHEN 3 THEN concat(substring(lookup_title, 1, 5), 'ing & else')
     WHEN 4 THEN '###'
-    ELSE concat(substring(lookup_title, 1, 6), 'q', substring(lookup_title, 8, 100)) END AS name,
+    ELSE concat(substring(lookup_title, 1, 6), 'q', substring(lookup_title, 8)) END AS name,
   CASE WHEN (k + j) % 7 = 0 THEN NULL ELSE coalesce(lookup_year, 2000) + cast((k + j) % 4 AS int) - 1 END AS year,
   CASE (k * 3 + j) % 7 WHEN 0 THEN 'movie' WHEN 1 THEN 'tvSeries' WHEN 2 THEN 'tvMovie'
     WHEN 3 THEN 'tvMiniSeries' WHEN 4 THEN 'feature' WHEN 5 THEN 'game' ELSE NULL END AS qid
@@ -197,7 +211,7 @@ def json_documents(spark: SparkSession, sf: str) -> DataFrame:
     list_doc = f"""concat('{{"title":"T', cast(o_orderkey AS string), '","list":[', {_entries('size')}, ']}}')"""
     alias_doc = f"""concat('  {{"torrents":[', {_entries('bytes')}, ']}}')"""
     bare_doc = f"""concat(' [', {_entries('bytes')}, ']')"""
-    return _spread_orders(spark, sf).selectExpr(
+    return _order_rows(spark, sf).selectExpr(
         "concat('d', cast(o_orderkey AS string)) AS source",
         f"""CASE WHEN o_orderkey % 17 = 0 THEN '{{"title":"lost"}}'
             WHEN o_orderkey % 19 = 0 THEN concat({bare_doc}, ' x')
@@ -216,7 +230,7 @@ def containers(spark: SparkSession, sf: str) -> DataFrame:
         ELSE concat('d', CASE WHEN j = 0 THEN '' ELSE concat('6:lengthi', cast(o_orderkey * 100 + j AS string), 'e') END,
                     '4:pathl4:dir1', {part.format(name)}, 'ee') END"""
     single = "concat('one', cast(o_orderkey AS string), '.mp4')"
-    return _spread_orders(spark, sf).selectExpr(
+    return _order_rows(spark, sf).selectExpr(
         f"{HASH} AS key",
         f"""encode(CASE WHEN o_orderkey % 17 = 0 THEN 'not bencode'
             WHEN o_orderkey % 4 = 0 THEN concat('d4:infod6:lengthi', cast(o_orderkey + 1 AS string), 'e4:name', {part.format(single)}, 'ee')
@@ -224,11 +238,21 @@ def containers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def bare_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """key, content: the dictionary of one file per order, or a list, which is none."""
+    name = "concat('one', cast(o_orderkey AS string), '.mp4')"
+    return _order_rows(spark, sf).selectExpr(
+        f"{HASH} AS key",
+        f"""encode(CASE WHEN o_orderkey % 7 = 0 THEN 'l3:fooe' ELSE concat('d6:lengthi', cast(o_orderkey AS string),
+            'e4:name', cast(length({name}) AS string), ':', {name}, 'e') END, 'UTF-8') AS content""",
+    )
+
+
 def provider_lists(spark: SparkSession, sf: str) -> DataFrame:
     """key, json: a provider's file list per order; some entries lack a field."""
     entry = """concat('{"id":', CASE WHEN j = 2 AND o_orderkey % 3 = 0 THEN '"x"' ELSE cast(j AS string) END,
         ',"path":"', CASE WHEN j = 1 THEN '/' ELSE '' END, 'd/f', cast(o_orderkey AS string), '.mkv","bytes":', cast(o_orderkey + j AS string), '}')"""
-    return _spread_orders(spark, sf).selectExpr(
+    return _order_rows(spark, sf).selectExpr(
         f"{HASH} AS key",
         f"""CASE WHEN o_orderkey % 17 = 0 THEN '{{"none":1}}' ELSE concat('{{"files":[',
             array_join(transform(sequence(0, cast(o_orderkey % 4 AS int)), j -> {entry}), ','), ']}}') END AS json""",

@@ -5,6 +5,7 @@ It shares with the queries only the snippets that derive inputs.
 
 from __future__ import annotations
 
+from titleloom import fixed_values as V
 from titleloom.plans import inputs as I
 
 AS_OF = f"TIMESTAMP '{I.AS_OF}'"
@@ -35,26 +36,10 @@ def _sql(body: str, *ctes: str) -> str:
 
 # --- names -----------------------------------------------------------------
 
-_SEPARATORS = r"[\s._-]*"
-_RULES = [
-    rf"(?i)\bS(\d{{1,3}}){_SEPARATORS}E(\d{{1,3}})\b",
-    rf"(?i)\bS(\d{{1,3}}){_SEPARATORS}E(\d{{1,3}})(?:{_SEPARATORS}E\d{{1,3}})+\b",
-    rf"(?i)\bSeason{_SEPARATORS}(\d{{1,3}}){_SEPARATORS}Episode{_SEPARATORS}(\d{{1,3}})\b",
-    r"(?i)\b(\d{1,2})x(\d{2,3})\b",
-    r"(?i)\bS(\d{1,3})\b()",
-    rf"(?i)\bSeason{_SEPARATORS}(\d{{1,3}})\b()",
-]
-_NOISE = [
-    r"(?i)\b(?:2160|1080|720|480|360|240)[pi]\b",
-    r"(?i)\b4[Kk]\b",
-    r"(?i)\b(?:WEB[-. ]?DL|WEB[-. ]?Rip|WEBRip|HDTV|BDRip|BRRip|BluRay|Blu[-. ]?Ray|DVDRip|DVD(?:Scr)?|HDRip|PDTV|SDTV|CAM|TS|TC|TELESYNC|TELECINE|SCR|R5|HQ)\b",
-    r"(?i)\b(?:x264|x265|[Hh]\.?264|[Hh]\.?265|HEVC|AVC|XviD|DivX|VP9|AV1|MPEG[24]?)\b",
-    r"(?i)\b(?:PROPER|REPACK|EXTENDED|COMPLETE|REMUX)\b",
-    r"-[A-Za-z0-9]{2,10}(?:\[[^\]]*\])?$",
-    r"\[[^\]]*\]$",
-    r"(?i)\b\d+(?:\.\d+)?\s*(?:GB|MB|TB)\b",
-    r"\s(?:19|20)\d{2}\b",
-]
+# Rules with a season alone get an empty episode group.
+_RULES = ["(?i)" + r + ("" if r.count(r"(\d") == 2 else "()") for r in V.SEASON_EPISODE]
+# RE2 has no \z; the queries' names hold no line breaks, so $ is the same place.
+_NOISE = [rf"(?i)\b(?:{w})\b" for w in V.NOISE_WORDS] + [p.replace(r"\z", "$") for p in V.NOISE_SHAPES]
 
 
 def _parse_ctes(source: str, name: str, tag: str) -> list[str]:
@@ -286,7 +271,9 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT {I.HASH}, concat('dir1/f', o_orderkey, '-', j, '.mkv'), CASE WHEN j = 0 THEN 0 ELSE o_orderkey * 100 + j END, cast(j AS int), false
           FROM (SELECT o_orderkey, unnest(range(0, o_orderkey % 4 + 1)) AS j FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 4 <> 0)
           WHERE NOT (j = 1 AND o_orderkey % 5 = 0) AND NOT (j = 2 AND o_orderkey % 5 = 1))""",
-    "json_file_lists": f"""SELECT {I.HASH} AS key, concat('d/f', o_orderkey, '.mkv') AS path, o_orderkey + j AS size, cast(greatest(j - 1, 0) AS int) AS file_index
+    "bare_containers": f"""SELECT {I.HASH} AS key, CASE WHEN o_orderkey % 7 <> 0 THEN concat('one', o_orderkey, '.mp4') END AS path,
+        CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS size, CASE WHEN o_orderkey % 7 <> 0 THEN 0 END AS file_index, o_orderkey % 7 = 0 AS failed FROM orders""",
+    "json_file_lists": f"""SELECT {I.HASH} AS key, concat('d/f', o_orderkey, '.mkv') AS path, o_orderkey + j AS size, cast(greatest(j - 1, 0) AS int) AS file_index, cast(j AS int) AS pos
         FROM (SELECT o_orderkey, unnest(range(0, o_orderkey % 4 + 1)) AS j FROM orders WHERE o_orderkey % 17 <> 0) WHERE NOT (j = 2 AND o_orderkey % 3 = 0)""",
     "first_nonempty_source": _sql("SELECT key, rank, path, size, file_index FROM won"),
     "insert_if_absent": _sql(
@@ -309,6 +296,33 @@ ORACLES: dict[str, str] = {
     ),
     "upsert_nullable_key": _upsert_outputs("o.file_index IS NOT DISTINCT FROM n.file_index"),
     "upsert_nulls_distinct": _upsert_outputs("o.file_index = n.file_index"),
+    "upsert_repeated_key": _sql(
+        f"""SELECT key AS item_hash, 'tt1' AS catalog_id, 'series' AS output_type, size AS size_bytes, cast(file_index % 2 AS int) AS file_index, 1 AS season,
+          cast(NULL AS int) AS episode, {_fmt(AS_OF)} AS created_at FROM fi QUALIFY row_number() OVER (PARTITION BY key, file_index % 2 ORDER BY file_index DESC, size DESC) = 1"""
+    ),
+    "stage_extract": _sql(
+        f"""SELECT name, completed OR ({_ELIGIBLE} AND NOT bad) AS completed, attempts + cast({_ELIGIBLE} AS int) AS attempts,
+          {_fmt(f'CASE WHEN {_ELIGIBLE} THEN {AS_OF} ELSE last_processed END')} AS last_processed
+        FROM src JOIN (SELECT source, k % 31 = 0 OR shape IN ('lost', 'tail') OR (hole AND shape <> 'empty') AS bad FROM docs) d ON d.source = src.name""",
+        _DOCS,
+    ),
+    "stage_parse": _sql(
+        f"""SELECT item_hash, size_bytes, completed OR ({_ELIGIBLE}) AS completed, attempts + cast({_ELIGIBLE} AS int) AS attempts,
+          {_fmt(f'CASE WHEN {_ELIGIBLE} THEN {AS_OF} ELSE last_processed END')} AS last_processed FROM it"""
+    ),
+    "stage_route": _sql(
+        f"""SELECT m.item_hash, m.catalog_id, m.content_type, m.completed OR s.item_hash IS NOT NULL OR coalesce(k.completed, false) AS completed,
+          m.attempts + cast(s.item_hash IS NOT NULL OR k.item_hash IS NOT NULL AS int) AS attempts,
+          {_fmt(f'CASE WHEN s.item_hash IS NOT NULL OR k.item_hash IS NOT NULL THEN {AS_OF} ELSE m.last_processed END')} AS last_processed
+        FROM ma m LEFT JOIN singles s ON s.item_hash = m.item_hash LEFT JOIN status k ON k.item_hash = m.item_hash""",
+        _SINGLES, _PACKS, _STATUS,
+    ),
+    "page_after_outputs": _sql(
+        f"""SELECT item_hash, catalog_id, output_type, size_bytes, file_index, season, episode, {_fmt('created_at')} AS created_at
+        FROM (SELECT * FROM out WHERE created_at < TIMESTAMP '1995-06-15' OR (created_at = TIMESTAMP '1995-06-15' AND item_hash > repeat('0', 40))
+              ORDER BY created_at DESC, item_hash, file_index NULLS FIRST LIMIT 200)""",
+        _OUT,
+    ),
     "pending_rows": _sql(f"SELECT name, {_STATE} FROM src WHERE {_ELIGIBLE}"),
     "pending_batch": _sql(f"SELECT name, {_STATE} FROM (SELECT * FROM src WHERE {_ELIGIBLE} ORDER BY last_processed, name LIMIT 5000)"),
     "touch": _marks("CASE WHEN c.name IS NULL THEN 0 ELSE 1 END", "false"),
@@ -398,7 +412,7 @@ ORACLES: dict[str, str] = {
         *_pick("scored", "query_id", "false", "pk"),
     ),
     "year_similar_join": _sql(
-        """SELECT query_id, count(*) AS n, min(pos) AS first_pos FROM qry JOIN cat ON split_part(qry.title, ' ', 1) = split_part(cat.name, ' ', 1)
+        """SELECT query_id, count(*) AS n, min(pos) AS first_pos FROM qry JOIN cat ON qry.title = cat.name
         AND (qry.year IS NULL OR cat.year IS NULL OR abs(qry.year - cat.year) <= 1) GROUP BY query_id""",
         _CAT, _QRY,
     ),
@@ -441,9 +455,9 @@ ORACLES: dict[str, str] = {
     "last_n_minutes": _sql(
         "SELECT counter, "
         + ", ".join(
-            f"cast(coalesce(sum(n) FILTER (minute > date_trunc('minute', {_E}) - INTERVAL {n} MINUTE), 0) AS bigint) AS last_{n}" for n in (1, 5, 30, 60)
+            f"cast(coalesce(sum(n) FILTER (minute <= {_E} AND minute > date_trunc('minute', {_E}) - INTERVAL {n} MINUTE), 0) AS bigint) AS last_{n}" for n in (1, 5, 30, 60)
         )
-        + f" FROM pts WHERE minute <= {_E} AND minute > date_trunc('minute', {_E}) - INTERVAL 60 MINUTE GROUP BY counter",
+        + " FROM pts GROUP BY counter",
         _POINTS,
     ),
     "rolling_sum": _sql(
@@ -458,6 +472,14 @@ ORACLES: dict[str, str] = {
           LEFT JOIN pts p ON p.counter = c.counter AND p.minute = date_trunc('minute', {_E}) - to_minutes(59 - slot)) GROUP BY counter""",
         _POINTS,
     ),
+    "named_history": _sql(
+        f"""SELECT counter, string_agg(cast(coalesce(n, 0) AS string), ',' ORDER BY slot) AS points, cast(any_value(coalesce(total, 0)) AS bigint) AS total,
+          cast(coalesce(sum(n) FILTER (slot = 59), 0) AS bigint) AS last
+        FROM (SELECT c.counter, slot, cast(p.n AS bigint) AS n, (SELECT sum(q.n) FROM pts q WHERE q.counter = c.counter AND q.minute <= {_E}) AS total FROM
+          (SELECT unnest(['click', 'never seen']) AS counter) c CROSS JOIN (SELECT unnest(range(0, 60)) AS slot) s
+          LEFT JOIN pts p ON p.counter = c.counter AND p.minute = date_trunc('minute', {_E}) - to_minutes(59 - slot)) GROUP BY counter""",
+        _POINTS,
+    ),
     "stream_minute_counters": _sql(
         f"""SELECT counter, {_fmt('minute')} AS minute, cast(n AS bigint) AS n FROM pts
         WHERE minute + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE""",
@@ -469,3 +491,23 @@ ORACLES: dict[str, str] = {
         *_parse_ctes("fi", "path", "pp"),
     ),
 }
+
+
+# --- stages over link results -------------------------------------------------
+
+_LINKED = f"""(SELECT pi.*, {_ELIGIBLE} AS due, f.catalog_id FROM pi JOIN ({ORACLES['link_fan_out']}) f ON f.item_hash = pi.item_hash)"""
+ORACLES["stage_link"] = _sql(
+    f"""SELECT item_hash, completed OR (due AND catalog_id IS NOT NULL) AS completed,
+      attempts + CASE WHEN NOT due THEN 0 WHEN catalog_id IS NULL THEN 2 ELSE 1 END AS attempts,
+      {_fmt(f'CASE WHEN due THEN {AS_OF} ELSE last_processed END')} AS last_processed FROM {_LINKED}"""
+)
+ORACLES["stage_counters"] = _sql(
+    f"""SELECT 'names_parsed' AS counter, count(*) AS total FROM pn WHERE {_ELIGIBLE} AND p_title IS NOT NULL
+    UNION ALL SELECT 'names_unparsed', count(*) FROM pn WHERE {_ELIGIBLE} AND p_title IS NULL
+    UNION ALL SELECT 'links_found', count(*) FROM {_LINKED} WHERE due AND catalog_id IS NOT NULL
+    UNION ALL SELECT 'links_missed', count(*) FROM {_LINKED} WHERE due AND catalog_id IS NULL
+    UNION ALL SELECT 'pack_outputs', cast(coalesce(sum(outputs), 0) AS bigint) FROM status
+    UNION ALL SELECT 'packs_done', count(*) FILTER (completed) FROM status
+    UNION ALL SELECT 'packs_waiting', count(*) FILTER (NOT completed) FROM status""",
+    *_PARSED, _PACKS, _STATUS,
+)

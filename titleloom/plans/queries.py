@@ -120,6 +120,14 @@ def container_files(spark, sf):
     )
 
 
+@query
+def bare_containers(spark, sf):
+    """Containers that are the file dictionary itself."""
+    return containers.container_files(I.bare_containers(spark, sf), wrapped=False).select(
+        "key", "path", "size", "file_index", F.col("error").isNotNull().alias("failed")
+    )
+
+
 @query
 def json_file_lists(spark, sf):
     listed = file_lists.with_files(I.provider_lists(spark, sf))
@@ -211,6 +219,16 @@ def upsert_nulls_distinct(spark, sf):
     )
 
 
+@query
+def upsert_repeated_key(spark, sf):
+    """Line items as outputs of a pack whose list numbers files twice: the later place wins."""
+    rows = I.files(spark, sf).selectExpr(
+        "key AS item_hash", "'tt1' AS catalog_id", "'series' AS output_type", "size AS size_bytes",
+        "cast(file_index % 2 AS int) AS file_index", "1 AS season", "cast(NULL AS int) AS episode", "file_index AS pos",
+    )
+    return _state(upsert.upsert_outputs(_outputs(spark, sf).limit(0), rows, I.AS_OF))
+
+
 # --- queue -------------------------------------------------------------------
 
 
@@ -388,6 +406,57 @@ def rfc3339(spark, sf):
     )
 
 
+# --- stages --------------------------------------------------------------------
+
+
+def _retry():
+    return stages.Retry(max_attempts=3, cooldown_minutes=1440)
+
+
+@query
+def stage_extract(spark, sf):
+    """Source queue after the extract stage."""
+    out = stages.extract(
+        I.sources(spark, sf), _documents(spark, sf), I.items(spark, sf), I.DOCUMENT_MARKER, I.AS_OF, retry=_retry()
+    )
+    return _state(out["sources"])
+
+
+@query
+def stage_parse(spark, sf):
+    """Item queue after the parse stage."""
+    return _state(stages.parse(I.items(spark, sf), I.parsed_items(spark, sf), I.AS_OF, _retry())["items"]).drop("filename")
+
+
+@query
+def stage_link(spark, sf):
+    """Queue of parsed items after the link stage: a miss costs two attempts."""
+    out = stages.link(
+        I.parsed_items(spark, sf), _candidate_table(spark, sf), I.mappings(spark, sf), I.AS_OF, retry=_retry()
+    )
+    return _state(out["parsed_items"]).select("item_hash", "completed", "attempts", "last_processed")
+
+
+@query
+def stage_route(spark, sf):
+    """Mapping queue after singles and packs."""
+    m, i, p = _tables(spark, sf)
+    none = _outputs(spark, sf).limit(0)
+    first = stages.route_singles(m, i, p, none, I.AS_OF, _retry())["mappings"]
+    second = stages.route_packs(first, i, p, none, _won(spark, sf), I.AS_OF, _retry())["mappings"]
+    return _state(second)
+
+
+@query
+def stage_counters(spark, sf):
+    """Counters of the parse, link and pack stages, added up."""
+    m, i, p = _tables(spark, sf)
+    parsed = stages.parse(i, p, I.AS_OF, _retry())["counters"]
+    linked = stages.link(p, _candidate_table(spark, sf), m, I.AS_OF, retry=_retry())["counters"]
+    packed = stages.route_packs(m, i, p, _outputs(spark, sf).limit(0), _won(spark, sf), I.AS_OF, _retry())["counters"]
+    return counters.counter_totals(parsed.unionByName(linked).unionByName(packed))
+
+
 # --- linkage -----------------------------------------------------------------
 
 
@@ -489,12 +558,13 @@ def link_catalog(spark, sf):
 
 @query
 def year_similar_join(spark, sf):
-    left = I.catalog_queries(spark, sf).withColumn("w", F.substring_index("title", " ", 1))
-    right = I.catalog(spark, sf).select(
-        F.substring_index("name", " ", 1).alias("w"), "year", "pos"
-    )
-    pairs = catalog.year_similar_join(left, right, ["w"])
-    return pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    """Catalog rows of the same name in a similar year, counted. The catalog comes reduced to one row
+    per name and year, so pairs grow with the names, not with their repeats."""
+    right = I.catalog(spark, sf).groupBy("name", "year").agg(
+        F.count("*").alias("rows"), F.min("pos").alias("pos")
+    ).withColumnRenamed("name", "title")
+    pairs = catalog.year_similar_join(I.catalog_queries(spark, sf), right, ["title"])
+    return pairs.groupBy("query_id").agg(F.sum("rows").alias("n"), F.min("pos").alias("first_pos"))
 
 
 # --- routing -----------------------------------------------------------------
@@ -584,7 +654,7 @@ def items_page(spark, sf):
 
 @query
 def deep_page(spark, sf):
-    return _state(pages.deep_page(I.sources(spark, sf), ["name"], 6, 200, accuracy=100))
+    return _state(pages.deep_page(I.sources(spark, sf), ["name"], 6, 200))
 
 
 @query
@@ -602,6 +672,22 @@ def page_after(spark, sf):
     return _state(pages.page_after(table, ["name"], first.asDict(), 200))
 
 
+@query
+def page_after_outputs(spark, sf):
+    """The page behind a single, whose index is NULL: both NULL and numbered indexes follow."""
+    table = _outputs(spark, sf)
+    last = {"created_at": "1995-06-15 00:00:00", "item_hash": "0" * 40, "file_index": None}
+    return _state(pages.page_after(table, ["item_hash", "file_index"], last, 200, "created_at"))
+
+
+@query
+def named_history(spark, sf):
+    """History of named counters, one of which never occurred."""
+    points = counters.minute_points(I.counter_events(spark, sf))
+    history = counters.zero_filled_history(points, I.EVENTS_AS_OF, ["click", "never seen"])
+    return history.select("counter", F.array_join("points", ",").alias("points"), "total", "last")
+
+
 @query
 def record_counts(spark, sf):
     m, i, p = _tables(spark, sf)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,29 +28,19 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over the cores before CPU-heavy work.
-
-    A scan makes at most one split per 4 MiB, so a small file keeps all but a
-    few cores idle. Larger inputs already have enough splits and pass unchanged,
-    without a shuffle; so does a plan whose size Spark cannot estimate.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * 4 * 2**20 else df
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     All executors must reach it, so that a lost executor does not lose data.
-    Only a local session without one gets a folder of its own.
+    Only a session that runs inside one process gets a folder of its own where
+    the setting is missing; any session with separate executors is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -9,39 +10,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _CHUNK = 8192
+_DIGITS, _SIGNED = re.compile(rb"[0-9]+"), re.compile(rb"-?[0-9]+")
 _MOST, _LEAST = 2**63 - 1, -(2**63)
 
 
-def _parse(data: bytes, at: int, depth: int = 0) -> tuple[Any, int]:
-    """One bencoded value and the offset behind it: int, bytes, list or dict."""
-    if depth > 200:
-        raise ValueError("nested too deep")
-    head = data[at : at + 1]
-    if head == b"i":
-        end = data.index(b"e", at)
-        number = int(data[at + 1 : end])
-        if not _LEAST <= number <= _MOST:
-            raise ValueError("number out of range")
-        return number, end + 1
-    if head.isdigit():
-        colon = data.index(b":", at)
-        size = int(data[at:colon])
-        text = data[colon + 1 : colon + 1 + size]
-        if len(text) != size:
-            raise ValueError("text cut short")
-        return text, colon + 1 + size
-    if head not in (b"l", b"d"):
-        raise ValueError("unknown value")
-    values, at = [], at + 1
-    while data[at : at + 1] != b"e":
-        value, at = _parse(data, at, depth + 1)
-        values.append(value)
-    if head == b"l":
-        return values, at + 1
-    keys = values[::2]
-    if len(values) % 2 or not all(isinstance(k, bytes) for k in keys):
-        raise ValueError("bad dictionary")
-    return dict(zip(keys, values[1::2])), at + 1
+def _number(digits: bytes, signed: bool) -> int:
+    """ASCII digits, nothing else; Python's own conversion takes blanks, signs and underscores."""
+    if not (_SIGNED if signed else _DIGITS).fullmatch(digits) or len(digits) > 20:
+        raise ValueError("not a number")
+    return int(digits)
+
+
+def _parse(data: bytes, at: int = 0) -> tuple[Any, int]:
+    """One bencoded value and the offset behind it: int, bytes, list or dict. Any depth: open lists
+    and dictionaries wait on a stack of their own."""
+    open_values: list[tuple[bytes, list]] = []
+    while True:
+        head = data[at : at + 1]
+        if head in (b"l", b"d"):
+            open_values.append((head, []))
+            at += 1
+            continue
+        if head == b"i":
+            end = data.index(b"e", at)
+            value: Any = _number(data[at + 1 : end], True)
+            if not _LEAST <= value <= _MOST:
+                raise ValueError("number out of range")
+            at = end + 1
+        elif head.isdigit():
+            colon = data.index(b":", at)
+            size = _number(data[at:colon], False)
+            value = data[colon + 1 : colon + 1 + size]
+            if len(value) != size:
+                raise ValueError("text cut short")
+            at = colon + 1 + size
+        elif head == b"e" and open_values:
+            kind, values = open_values.pop()
+            value, at = values, at + 1
+            if kind == b"d":
+                keys = values[::2]
+                if len(values) % 2 or not all(isinstance(k, bytes) for k in keys):
+                    raise ValueError("bad dictionary")
+                value = dict(zip(keys, values[1::2]))
+        else:
+            raise ValueError("unknown value")
+        if not open_values:
+            return value, at
+        open_values[-1][1].append(value)
 
 
 def _text(value: Any) -> str | None:
@@ -53,7 +68,7 @@ def _text(value: Any) -> str | None:
 
 def _files(content: bytes, wrapped: bool) -> Iterator[tuple[str, int, int]]:
     """(path, size, position). Entries without a path are dropped but keep their position."""
-    top, _ = _parse(content, 0)
+    top, _ = _parse(content)
     info = top.get(b"info") if wrapped and isinstance(top, dict) else top
     if not isinstance(info, dict):
         raise ValueError("no file dictionary")
@@ -104,7 +119,7 @@ def container_files(containers: DataFrame, wrapped: bool = True) -> DataFrame:
                         if len(rows) >= _CHUNK:
                             yield pack(rows)
                             rows = []
-                except (ValueError, RecursionError) as problem:
+                except ValueError as problem:
                     rows.append((key, None, None, None, str(problem)))
         if rows:
             yield pack(rows)

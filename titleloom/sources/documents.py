@@ -1,19 +1,22 @@
 """HTML documents with an encoded fragment to item rows.
 
-Fragment and JSON work is done in Catalyst. Only the payload codec needs
-Python; it runs over Arrow batches inside the tasks that hold the documents.
+Fragments are cut in Catalyst. The payload codec and the JSON parser run over
+Arrow batches inside the tasks that hold the documents; Catalyst's own JSON
+parsers limit the size of a value and would file large documents as broken.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as V
-from titleloom.functions.barrier import pinned
+from titleloom.sources import strict_json
 from titleloom.sources.payload import decode_text
 
 
@@ -47,82 +50,63 @@ def decode_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _is(value: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value) == kind, F.lit(False))
+_ENTRY = "struct<filename:string,item_hash:string,size_bytes:bigint>"
 
 
-def _get(value: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(value, path, kind)
+def _entry(value: Any) -> tuple[str, str, int] | None:
+    """One list entry, None when any field is missing, given under both names, or mistyped."""
+    if not isinstance(value, dict):
+        return None
+    sizes = [value[k] for k in V.SIZE_KEYS if k in value]
+    name, item = strict_json.text_of(value.get("filename")), strict_json.text_of(value.get("hash"))
+    size = strict_json.whole_of(sizes[0]) if len(sizes) == 1 else None
+    return None if name is None or item is None or size is None else (name, item, size)
 
 
-def _framed(text: Column) -> Column:
-    """The JSON text between two known keys, as a variant; NULL when malformed or a key repeats.
-
-    The parser stops after the first value. Set in a frame, anything behind the
-    document breaks the frame (see ``_only_document``).
-    """
-    seal = F.xxhash64(text).cast("string")
-    return F.try_parse_json(F.concat(F.lit('{"d":'), text, F.lit(',"seal":'), seal, F.lit("}")))
-
-
-def _only_document(frame: Column, text: Column) -> Column:
-    """The framed document, NULL when the frame is not intact."""
-    sound = (_get(frame, "$.seal", "bigint") == F.xxhash64(text)) & (
-        F.size(frame.cast("map<string,variant>")) == 2
-    )
-    return F.when(sound, _get(frame, "$.d"))
-
-
-def _entry(e: Column) -> Column:
-    """Struct of one list entry, NULL when any field is missing, repeated under its alias, or mistyped."""
-    size, other = (_get(e, f"$.{k}") for k in V.SIZE_KEYS)
-    one = size.isNull() != other.isNull()
-    number = F.coalesce(size, other)
-    value = number.try_cast("bigint")
-    good = (
-        _is(_get(e, "$.filename"), "STRING")
-        & _is(_get(e, "$.hash"), "STRING")
-        & one
-        & _is(number, "BIGINT")
-        & (value >= 0)
-    )
-    return F.when(
-        good,
-        F.struct(
-            _get(e, "$.filename", "string").alias("filename"),
-            _get(e, "$.hash", "string").alias("item_hash"),
-            value.alias("size_bytes"),
-        ),
-    )
+def read_entries(text: str | None) -> tuple[str | None, list[tuple[str, str, int]]] | None:
+    """(title, entries) of a document, None when it is invalid as a whole."""
+    try:
+        value = strict_json.parse(text)
+    except ValueError:
+        return None
+    title, rows = None, value
+    if isinstance(value, dict):
+        lists = [value[k] for k in V.LIST_KEYS if k in value]
+        title, rows = value.get("title"), lists[0] if len(lists) == 1 else None
+        if title is not None and strict_json.text_of(title) is None:
+            return None
+    if not isinstance(rows, list):
+        return None
+    entries = [_entry(r) for r in rows]
+    return None if None in entries else (title, entries)
 
 
 def with_entries(df: DataFrame, json: str = "json") -> DataFrame:
     """Add ``title`` and ``entries``; entries are NULL when the document is invalid as a whole.
 
     Shapes: an object with one of the list keys and an optional title, or a bare
-    array. Unknown fields are ignored, an empty list is valid.
+    array. Unknown fields are ignored, an empty list is valid, a key that repeats
+    in an object is not. Documents and strings may have any length.
     """
-    trimmed = F.regexp_replace(F.col(json), r"(?U)\A\s+", "")
-    out = (
-        df.withColumn("_frame", _framed(F.col(json)))
-        .withColumn("_v", _only_document(F.col("_frame"), F.col(json)))
-        .withColumn("_bare", trimmed.startswith("["))
-    )
-    v = F.col("_v")
-    a, b = (_get(v, f"$.{k}") for k in V.LIST_KEYS)
-    shaped = F.when(F.col("_bare"), v).when(a.isNull() != b.isNull(), F.coalesce(a, b))
-    title = _get(v, "$.title")
-    title_ok = F.col("_bare") | title.isNull() | _is(title, "STRING") | _is(title, "VOID")
-    out = out.withColumn("_list", F.when(title_ok, shaped).try_cast("array<variant>"))
-    out = out.withColumn("_rows", F.transform("_list", _entry))
-    sound = F.col("_list").isNotNull() & F.forall("_rows", lambda e: e.isNotNull())
-    read = F.struct(
-        F.when(sound & ~F.col("_bare"), _get(F.col("_v"), "$.title", "string")).alias("title"),
-        F.when(sound, F.col("_rows")).alias("entries"),
-    )
-    return out.select(*df.columns, pinned(read).alias("_read")).select(
-        *df.columns, "_read.title", "_read.entries"
-    )
+    names = df.columns
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"title string, entries array<{_ENTRY}>"])
+    fields = [("filename", pa.string()), ("item_hash", pa.string()), ("size_bytes", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [read_entries(t) for t in batch.column(json).to_pylist()]
+            rows = [e for r in read if r for e in r[1]]
+            columns = [pa.array([e[i] for e in rows], t) for i, (_, t) in enumerate(fields)]
+            counts = np.cumsum([0, *(len(r[1]) if r else 0 for r in read)])
+            lists = pa.ListArray.from_arrays(
+                pa.array(counts, pa.int32()),
+                pa.StructArray.from_arrays(columns, [n for n, _ in fields]),
+                mask=pa.array([r is None for r in read], pa.bool_()),
+            )
+            titles = pa.array([r[0] if r else None for r in read], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, titles, lists], [*names, "title", "entries"])
+
+    return df.mapInArrow(run, schema)
 
 
 def explode_entries(df: DataFrame, *keep: str) -> DataFrame:

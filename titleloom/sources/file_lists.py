@@ -2,49 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titleloom.functions.barrier import pinned
-
-
-def _whole(value, path: str):
-    """A non-negative whole number under a path, else NULL."""
-    cell = F.try_variant_get(value, path, "variant")
-    number = cell.try_cast("bigint")
-    return F.when((F.schema_of_variant(cell) == "BIGINT") & (number >= 0), number)
+from titleloom.sources import strict_json
 
 
-def _shape(f):
-    path = F.try_variant_get(f, "$.path", "variant")
-    return F.struct(
-        F.when(
-            F.schema_of_variant(path) == "STRING",
-            F.regexp_replace(path.cast("string"), r"\A/", ""),
-        ).alias("path"),
-        _whole(f, "$.bytes").alias("size"),
-        _whole(f, "$.id").alias("id"),
-    )
+def read_files(text: str | None) -> list[tuple[str, int, int, int]] | None:
+    """(path, size, id, place in the list) of well-formed entries; None without a ``files`` array."""
+    try:
+        value = strict_json.parse(text)
+    except ValueError:
+        return None
+    listed = value.get("files") if isinstance(value, dict) else None
+    if not isinstance(listed, list):
+        return None
+    out = []
+    for place, entry in enumerate(listed):
+        if isinstance(entry, dict):
+            path, size, number = strict_json.text_of(entry.get("path")), strict_json.whole_of(entry.get("bytes")), strict_json.whole_of(entry.get("id"))
+            if path is not None and size is not None and number is not None:
+                out.append((path.removeprefix("/"), size, number, place))
+    return out
 
 
 def with_files(df: DataFrame, json: str = "json") -> DataFrame:
     """Add ``files``: well-formed entries of ``$.files``; NULL without such an array."""
-    out = df.withColumn(
-        "_list",
-        F.try_variant_get(F.try_parse_json(json), "$.files", "variant").try_cast("array<variant>"),
-    )
-    rows = F.filter(
-        F.transform("_list", _shape),
-        lambda f: f["path"].isNotNull() & f["size"].isNotNull() & f["id"].isNotNull(),
-    )
-    return out.select(*df.columns, pinned(rows).alias("files"))
+    names = df.columns
+    fields = [("path", pa.string()), ("size", pa.int64()), ("id", pa.int64()), ("pos", pa.int32())]
+    entry = "struct<path:string,size:bigint,id:bigint,pos:int>"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"files array<{entry}>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [read_files(t) for t in batch.column(json).to_pylist()]
+            rows = [e for r in read if r for e in r]
+            columns = [pa.array([e[i] for e in rows], t) for i, (_, t) in enumerate(fields)]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *(len(r or ()) for r in read)]), pa.int32()),
+                pa.StructArray.from_arrays(columns, [n for n, _ in fields]),
+                mask=pa.array([r is None for r in read], pa.bool_()),
+            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, "files"])
+
+    return df.mapInArrow(run, schema)
 
 
 def file_rows(listed: DataFrame, key: str = "key") -> DataFrame:
-    """Row per file; the provider counts from 1, rows from 0."""
-    return listed.select(key, F.inline("files")).select(
-        key, "path", "size", F.greatest(F.col("id") - 1, F.lit(0)).cast("int").alias("file_index")
-    )
+    """Row per file with its place in the list; the provider counts from 1, rows from 0.
+
+    Numbers 0 and 1 both give index 0; the later place wins where rows are stored.
+    """
+    index = F.greatest(F.col("id") - 1, F.lit(0)).cast("int").alias("file_index")
+    return listed.select(key, F.inline("files")).select(key, "path", "size", index, "pos")
 
 
 def list_errors(listed: DataFrame, key: str = "key") -> DataFrame:
