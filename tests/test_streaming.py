@@ -100,13 +100,80 @@ def test_documents_to_outputs(spark, paths):
 
 
 def test_route_expands_packs(spark, paths):
-    put(spark.createDataFrame([("p", "tt1", "series", 2, None), ("x", "tt2", "series", None, None)], schemas.MAPPED_LOG), f"{paths.log('mappings')}/batch_id=0")
+    t = datetime(2024, 1, 1)
+    put(spark.createDataFrame([("p", "tt1", "series", 2, None, t), ("x", "tt2", "series", None, None, t)], schemas.MAPPED_LOG), f"{paths.log('mappings')}/batch_id=0")
     files = spark.createDataFrame([("p", "E03.mkv", 9, 0), ("p", "i.nfo", 9, 1)], schemas.ITEM_FILES)
     sizes = spark.createDataFrame([("p", 1), ("x", 1)], "item_hash string, size_bytes bigint")
     S.route(S.stream_changes(spark, paths.log("mappings"), schemas.MAPPED_LOG), sizes, files, paths, once=True).awaitTermination()
     assert rows(S.outputs(spark, paths), "item_hash", "file_index", "season", "episode") == [("p", 0, 2, 3)]
 
 
+def test_route_retry_waits_for_lists_and_items(spark, paths):
+    """A pack whose list, and a single whose item, arrive after its batch end in outputs."""
+    t = datetime(2024, 1, 1)
+    mapped = [("p", "tt1", "series", 2, None, t), ("s", "tt2", "movie", None, None, t)]
+    put(spark.createDataFrame(mapped, schemas.MAPPED_LOG), f"{paths.log('mappings')}/batch_id=0")
+    sizes = lambda *names: spark.createDataFrame([(n, 1) for n in names], "item_hash string, size_bytes bigint")
+    no_files = spark.createDataFrame([], schemas.ITEM_FILES)
+    stream = S.stream_changes(spark, paths.log("mappings"), schemas.MAPPED_LOG)
+    S.route(stream, sizes("p"), no_files, paths, once=True).awaitTermination()
+    state = lambda: rows(S.route_queue(spark, paths), "item_hash", "completed", "attempts")
+    assert state() == [("p", False, 1), ("s", False, 0)]
+    assert S.outputs(spark, paths).count() == 0
+    files = spark.createDataFrame(
+        [("p", "E03.mkv", 9, 0, 0), ("p", "E04.mkv", 8, 0, 1)], "key string, path string, size bigint, file_index int, pos int"
+    )
+    later = datetime.now() + timedelta(days=1)
+    for _ in range(2):
+        S.retry_routes(sizes("p", "s"), files, paths, later, -1)
+        assert state() == [("p", True, 2), ("s", True, 1)]
+        assert rows(S.outputs(spark, paths), "item_hash", "file_index", "episode") == [("p", 0, 4), ("s", None, None)]
+
+
+def test_document_retry(spark, paths):
+    src = f"{paths.root}/documents"
+    put(spark.createDataFrame(chain_documents(), schemas.DOCUMENTS), src)
+    stream = spark.readStream.schema(schemas.DOCUMENTS).parquet(src)
+    S.extract(stream, CHAIN_MARKER, paths, once=True).awaitTermination()
+    state = lambda: rows(S.document_queue(S.all_decoded(spark, paths)), "source", "completed", "attempts")
+    assert state() == [("a.html", True, 1), ("b.html", False, 1), ("c.html", False, 1)]
+    good = chain_documents()[0][1]
+    now = spark.createDataFrame([("b.html", good), ("c.html", "x"), ("a.html", "x")], schemas.DOCUMENTS)
+    later = datetime.now() + timedelta(days=1)
+    for _ in range(2):
+        S.retry_documents(now, CHAIN_MARKER, paths, later, -1)
+        assert state() == [("a.html", True, 1), ("b.html", True, 2), ("c.html", False, 2)]
+
+
+def test_memo_hit_of_a_retry_beats_the_old_miss(spark, paths):
+    parsed = [("h1", "f", "Film", 2001, None, None, "movie", datetime(2024, 1, 1))]
+    put(spark.createDataFrame(parsed, schemas.PARSED_LOG), paths.log("parsed"))
+    none = spark.createDataFrame([], schemas.CANDIDATES)
+    run = lambda c: S.link(S.stream_log(spark, paths.log("parsed"), schemas.PARSED_LOG), c, paths, once=True).awaitTermination()
+    run(none)
+    found = spark.createDataFrame([("film|2001|any", "a_movie", 0, "tt2", "Film", 2001, None)], schemas.CANDIDATES)
+    ready = spark.createDataFrame(parsed, schemas.PARSED_LOG).select("item_hash", "title", "year", "season", "episode")
+    S.retry_links(ready, found, paths, datetime.now() + timedelta(days=2), -1)
+    put(spark.createDataFrame([("h2", "f", "Film", 2001, None, None, "movie", datetime(2024, 1, 2))], schemas.PARSED_LOG), paths.log("parsed"))
+    run(none)  # answered by the memo
+    assert rows(S.mappings(spark, paths), "item_hash", "catalog_id") == [("h1", "tt2"), ("h2", "tt2")]
+
+
+def test_compaction_changes_no_fold(spark, paths):
+    t = lambda d: datetime(2024, 1, d)
+    log = paths.log("link_marks")
+    for batch, data in {0: [("a", 2, False, t(1)), ("b", 1, True, t(1))], 1: [("a", 2, False, t(2))], -1: [("a", 1, True, t(3))], 2: [("c", 1, True, t(4))]}.items():
+        tables.append_changes(spark.createDataFrame(data, schemas.MARKS), log, batch)
+    want = rows(S.link_queue(spark, paths))
+    tables.compact(spark, log, schemas.MARKS, S.fold_marks, -1, 1)
+    assert rows(S.link_queue(spark, paths)) == want
+    shutil.rmtree(f"{log}/batch_id=0")
+    tables.append_changes(spark.createDataFrame([("d", 2, False, t(5))], schemas.MARKS), log, -2)
+    assert rows(S.link_queue(spark, paths)) == sorted([*want, ("d", False, 2, t(5))], key=str)
+    tables.compact(spark, log, schemas.MARKS, S.fold_marks, -2, 2)
+    assert rows(S.link_queue(spark, paths)) == sorted([*want, ("d", False, 2, t(5))], key=str)
+
+
 def test_minute_counters_equal_batch_once_closed(spark, paths):
     base = datetime(2024, 1, 1)
     events = spark.createDataFrame(

@@ -511,3 +511,26 @@ ORACLES["stage_counters"] = _sql(
     UNION ALL SELECT 'packs_waiting', count(*) FILTER (NOT completed) FROM status""",
     *_PARSED, _PACKS, _STATUS,
 )
+
+
+# --- streams: no row is too young or too old to be taken ------------------------
+
+_ANY = [x.replace(_elig("m"), "true") for x in (_SINGLES, _PACKS)]
+_BAD = "k % 31 = 0 OR shape IN ('lost', 'tail') OR (hole AND shape <> 'empty')"
+ORACLES |= {
+    "stream_discover": f"SELECT DISTINCT name, false AS completed, cast(0 AS int) AS attempts FROM ({ORACLES['listing_filter']})",
+    "stream_extract": _sql(f"SELECT source, NOT ({_BAD}) AS completed, cast(1 + cast({_BAD} AS int) AS int) AS attempts FROM docs", _DOCS),
+    "stream_link": f"""SELECT item_hash, catalog_id IS NOT NULL AS completed, cast(CASE WHEN catalog_id IS NULL THEN 2 ELSE 1 END AS int) AS attempts
+        FROM ({ORACLES['link_fan_out']})""",
+    "stream_link_retry": f"SELECT lookup_key, catalog_id FROM ({ORACLES['link_cascade']})",
+    "stream_route": _sql(
+        """SELECT item_hash, file_index, catalog_id, output_type, size_bytes, season, episode FROM (SELECT * FROM singles UNION ALL SELECT * FROM expanded)
+        QUALIFY row_number() OVER (PARTITION BY item_hash, file_index ORDER BY size_bytes DESC, season DESC NULLS LAST, episode DESC NULLS LAST) = 1""",
+        *_ANY, *_WON_PARSED, _EXPANDED,
+    ),
+    "stream_route_retry": _sql(
+        """SELECT item_hash, true AS completed, cast(1 AS int) AS attempts FROM singles
+        UNION ALL SELECT item_hash, completed, cast(2 AS int) FROM status""",
+        *_ANY, _STATUS,
+    ),
+}

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from titleloom import schemas
 from titleloom.functions import display, matching as M, names as N, predicates as P
 from titleloom.operators import catalog, counters, linkage, pages, queue, routing, upsert
 from titleloom.plans import inputs as I, stages
@@ -15,6 +16,7 @@ from titleloom.plans.encode import encode_texts
 from titleloom.session import checkpoint_root
 from titleloom.sources import containers, documents, file_lists
 from titleloom.sources.listing import document_names
+from titleloom.sources.tables import append_changes, read_changes
 from titleloom.streaming import stages as streaming
 from titleloom.streaming.counters import minute_counters as minute_counters_of
 
@@ -769,3 +771,92 @@ def stream_parse(spark, sf):
     paths = _new_paths(spark)
     streaming.parse(names, paths, once=True).awaitTermination()
     return spark.read.schema(streaming.PARSED).parquet(paths.log("parsed")).drop("ingested_at")
+
+
+def _derived(df, paths, name):
+    """Rows derived from the given tables, stored and read back as a file stream."""
+    folder = f"{paths.root}/derived/{name}"
+    df.write.parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+
+
+_LATER = "2999-01-01 00:00:00"
+
+
+@query
+def stream_discover(spark, sf):
+    """Source names of a listing stream."""
+    listing = _stream(spark, sf, "pages").selectExpr(
+        "CASE WHEN page_id % 50 = 0 THEN 'index.html' ELSE url END AS path",
+        "CASE WHEN page_id % 5 = 1 THEN 'tree' ELSE 'blob' END AS type",
+    )
+    paths = _new_paths(spark)
+    streaming.discover(listing, paths, once=True).awaitTermination()
+    return read_changes(spark, paths.log("sources"), schemas.SOURCES).select("name", "completed", "attempts")
+
+
+@query
+def stream_extract(spark, sf):
+    """Document queue after the stream and one retry: what failed twice has two attempts."""
+    paths, docs = _new_paths(spark), _documents(spark, sf)
+    streaming.extract(_derived(docs, paths, "documents"), I.DOCUMENT_MARKER, paths, once=True).awaitTermination()
+    now = spark.read.schema(docs.schema).parquet(f"{paths.root}/derived/documents")
+    streaming.retry_documents(now, I.DOCUMENT_MARKER, paths, _LATER, -1)
+    return streaming.document_queue(streaming.all_decoded(spark, paths)).drop("last_processed")
+
+
+def _parsed_log(spark, sf):
+    return I.parsed_items(spark, sf).selectExpr(
+        "item_hash", "'f' AS filename", "title", "year", "season", "episode", "'x' AS content_type", "last_processed AS ingested_at"
+    )
+
+
+@query
+def stream_link(spark, sf):
+    """Link queue of a stream of parsed items."""
+    paths = _new_paths(spark)
+    stream = _derived(_parsed_log(spark, sf), paths, "parsed")
+    streaming.link(stream, _candidate_table(spark, sf), paths, once=True).awaitTermination()
+    return streaming.link_queue(spark, paths).drop("last_processed")
+
+
+@query
+def stream_link_retry(spark, sf):
+    """Memo after a stream that found no candidates and a retry that did: hits replace the misses."""
+    paths = _new_paths(spark)
+    parsed = _parsed_log(spark, sf)
+    found = _candidate_table(spark, sf)
+    streaming.link(_derived(parsed, paths, "parsed"), found.limit(0), paths, once=True).awaitTermination()
+    ready = spark.read.schema(parsed.schema).parquet(f"{paths.root}/derived/parsed")
+    ready = ready.select("item_hash", "title", "year", "season", "episode")
+    streaming.retry_links(ready, found, paths, _LATER, -1)
+    return streaming.known_links(read_changes(spark, paths.log("memo"), schemas.MEMO)).select("lookup_key", "catalog_id")
+
+
+def _routed_stream(spark, sf, first_files):
+    m, i, p = _tables(spark, sf)
+    mapped = m.select("item_hash", "catalog_id", "content_type").join(
+        p.select("item_hash", "season", "episode"), "item_hash"
+    ).withColumn("ts", F.lit(I.AS_OF).cast("timestamp")).select(*schemas.MAPPED_LOG.fieldNames())
+    paths = _new_paths(spark)
+    append_changes(mapped, paths.log("mappings"), 0)
+    stream = streaming.stream_changes(spark, paths.log("mappings"), schemas.MAPPED_LOG)
+    sizes = i.select("item_hash", "size_bytes")
+    streaming.route(stream, sizes, first_files, paths, once=True).awaitTermination()
+    return paths, sizes
+
+
+@query
+def stream_route(spark, sf):
+    """Outputs of a stream of mappings, singles and packs."""
+    paths, _ = _routed_stream(spark, sf, _won(spark, sf))
+    return streaming.outputs(spark, paths)
+
+
+@query
+def stream_route_retry(spark, sf):
+    """Route queue when file lists come only after the stream: a retry completes the packs."""
+    won = _won(spark, sf)
+    paths, sizes = _routed_stream(spark, sf, won.limit(0))
+    streaming.retry_routes(sizes, won, paths, _LATER, -1)
+    return streaming.route_queue(spark, paths).drop("last_processed")

@@ -68,11 +68,14 @@ PARSED_LOG = _struct(
     ("ingested_at", TS),
 )
 MAPPED_LOG = _struct(
-    ("item_hash", S), ("catalog_id", S), ("content_type", S), ("season", I), ("episode", I)
+    ("item_hash", S), ("catalog_id", S), ("content_type", S), ("season", I), ("episode", I), ("ts", TS)
 )
-MEMO = _struct(("lookup_key", S), ("catalog_id", S), ("content_type", S))
+MEMO = _struct(("lookup_key", S), ("catalog_id", S), ("content_type", S), ("ts", TS))
 MARKS = _struct(("item_hash", S), ("cost", I), ("done", T.BooleanType()), ("ts", TS))
-OUTPUT_ROWS = T.StructType([f for f in OUTPUTS.fields if f.name != "created_at"])
+OUTPUT_LOG = T.StructType(
+    [f for f in OUTPUTS.fields if f.name != "created_at"]
+    + [T.StructField("pos", I), T.StructField("ts", TS)]
+)
 
 QUEUE_COLUMNS = ["completed", "attempts", "last_processed"]
 

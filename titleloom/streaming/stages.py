@@ -5,9 +5,11 @@ exactly-once by itself. Stages that look at other tables (discover, link,
 route) use ``foreachBatch`` and append to change logs under the batch id, so a
 replayed batch replaces its own rows and nothing else.
 
-``as_of`` inside a batch is the batch's own timestamp, which the offset log
-keeps for replays. Retry is a batch pass over the folded marks, see
-``retry_links``.
+The time of a batch is a column of the stream, set before ``foreachBatch``: the offset
+log keeps it, so a replay writes the same times. Queue states are folded from
+what the stages logged, by sums and maxima; a retry is a batch pass over the
+rows that are due. Passes take negative ids, which keep clear of the stream's own, and a
+repeated pass replaces its rows. ``sources.tables.compact`` bounds what a fold reads.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from titleloom.sources.tables import append_changes, read_changes
 
 DECODED, ITEM_ROWS, PARSED = schemas.DECODED, schemas.ITEM_ROWS, schemas.PARSED_LOG
 MAPPED, MEMO, MARKS = schemas.MAPPED_LOG, schemas.MEMO, schemas.MARKS
-OUTPUT_ROWS = schemas.OUTPUT_ROWS
+OUTPUT_LOG = schemas.OUTPUT_LOG
+TIME = "_batch_time"
 
 
 @dataclass(frozen=True)
@@ -51,7 +54,8 @@ class Paths:
 
 
 def _start(df: DataFrame, paths: Paths, name: str, handler: Callable, once: bool) -> StreamingQuery:
-    writer = df.writeStream.queryName(name).option("checkpointLocation", paths.checkpoint(name))
+    timed = df.withColumn(TIME, F.current_timestamp())
+    writer = timed.writeStream.queryName(name).option("checkpointLocation", paths.checkpoint(name))
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.foreachBatch(handler).start()
@@ -71,15 +75,16 @@ def discover(listing: DataFrame, paths: Paths, once: bool = False) -> StreamingQ
     """Listing entries to new source names; a name already logged by an earlier batch is skipped."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = read_changes(spark, paths.log("sources"), schemas.SOURCES)
-        new = upsert.insert_if_absent(
-            known.where(F.col("batch_id") < batch_id),
-            document_names(batch),
-            "name",
-            {**upsert.new_queue_columns("1970-01-01"), "last_processed": F.current_timestamp()},
+        known = read_changes(batch.sparkSession, paths.log("sources"), schemas.SOURCES)
+        found = document_names(batch.drop(TIME)).distinct()
+        new = found.where(F.col("name").isNotNull()).join(
+            known.where(F.col("batch_id") < batch_id).select("name"), "name", "left_anti"
         )
-        append_changes(new, paths.log("sources"), batch_id)
+        # One time per batch; a batch without new names has no row to take it from.
+        time = batch.agg(F.max(TIME).alias("last_processed"))
+        queued = new.join(F.broadcast(time), how="inner")
+        columns = [v.alias(n) for n, v in upsert.new_queue_columns("1970-01-01").items() if n != "last_processed"]
+        append_changes(queued.select("name", *columns, "last_processed"), paths.log("sources"), batch_id)
 
     return _start(listing, paths, "discover", handle, once)
 
@@ -90,6 +95,48 @@ def extract(documents: DataFrame, marker: str, paths: Paths, once: bool = False)
     return append_sink(decoded, paths, "decoded", once)
 
 
+def all_decoded(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Decoded documents of the stream and of the retry passes: one row per attempt."""
+    # The file sink's folder appears with the first batch, as a log's does.
+    try:
+        first = spark.read.schema(DECODED).parquet(paths.log("decoded"))
+    except Exception as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        first = spark.createDataFrame([], DECODED)
+    again = read_changes(spark, paths.log("decoded_retries"), DECODED).drop("batch_id")
+    return first.unionByName(again)
+
+
+def document_queue(decoded: DataFrame) -> DataFrame:
+    """Queue triple per source, folded from the attempts in the decoded log."""
+    return decoded.groupBy("source").agg(
+        F.max(F.col("error").isNull()).alias("completed"),
+        F.count(F.lit(1)).cast("int").alias("attempts"),
+        F.max("ingested_at").alias("last_processed"),
+    )
+
+
+def retry_documents(
+    documents: DataFrame,
+    marker: str,
+    paths: Paths,
+    as_of: datetime | str,
+    pass_id: int,
+    max_attempts: int = V.MAX_ATTEMPTS,
+    cooldown_minutes: int = V.COOLDOWN_MINUTES,
+) -> None:
+    """Decode failed documents again once they are past their cooldown. ``documents`` holds their present text."""
+    spark = documents.sparkSession
+    before = read_changes(spark, paths.log("decoded_retries"), DECODED).where(F.col("batch_id") != pass_id)
+    first = spark.read.schema(DECODED).parquet(paths.log("decoded"))
+    state = document_queue(first.unionByName(before.drop("batch_id")))
+    due = queue.pending(state, as_of, max_attempts, cooldown_minutes).select("source")
+    read = D.read_documents(documents.join(due, "source", "left_semi"), marker)
+    again = read.withColumn("ingested_at", at(as_of)).select(*DECODED.fieldNames())
+    append_changes(again, paths.log("decoded_retries"), pass_id)
+
+
 def item_rows(decoded: DataFrame) -> DataFrame:
     """Item rows of a decoded log (batch or stream) with their order columns."""
     return D.explode_entries(decoded, "source", "ingested_at").select(
@@ -116,49 +163,63 @@ def _log_links(
     batch_id: int,
     ts: Column,
 ) -> None:
-    """Link parsed items; append mappings, memo rows and queue marks under the batch id."""
-    results, fresh = linkage.link_items(parsed, candidates, memo, prune=True)
-    results = results.persist()  # three writes below read it
-    try:
-        if memo is None:
-            fresh = fresh.where(F.col("catalog_id").isNotNull())
-        append_changes(fresh, paths.log("memo"), batch_id)
-        hit = F.col("catalog_id").isNotNull()
-        own = parsed.select("item_hash", "season", "episode")
-        found = results.where(hit).join(own, "item_hash")
-        append_changes(found.select(*MAPPED.fieldNames()), paths.log("mappings"), batch_id)
-        # The touch costs one attempt and a failed link another one.
-        marks = results.select(
-            "item_hash", F.when(hit, 1).otherwise(2).alias("cost"), hit.alias("done"), ts.alias("ts")
-        )
-        append_changes(marks, paths.log("link_marks"), batch_id)
-    finally:
-        results.unpersist()
+    """Link parsed items; append memo rows, mappings and queue marks under the batch id.
+
+    Looked-up keys go to the memo's log first and are read back from there, so the
+    mappings and marks come from the same lookup, done once.
+    """
+    spark = parsed.sparkSession
+    logged = f"{paths.log('memo')}/batch_id={int(batch_id)}"
+
+    def keep(fresh: DataFrame) -> DataFrame:
+        append_changes(fresh.withColumn("ts", ts), paths.log("memo"), batch_id)
+        return spark.read.schema(MEMO).parquet(logged).drop("ts")
+
+    results, _ = linkage.link_items(parsed, candidates, memo, prune=True, keep=keep)
+    hit = F.col("catalog_id").isNotNull()
+    own = parsed.select("item_hash", "season", "episode")
+    found = results.where(hit).join(own, "item_hash").withColumn("ts", ts)
+    append_changes(found.select(*MAPPED.fieldNames()), paths.log("mappings"), batch_id)
+    # The touch costs one attempt and a failed link another one.
+    marks = results.select(
+        "item_hash", F.when(hit, 1).otherwise(2).alias("cost"), hit.alias("done"), ts.alias("ts")
+    )
+    append_changes(marks, paths.log("link_marks"), batch_id)
+
+
+def known_links(memo: DataFrame) -> DataFrame:
+    """The memo folded to one row per key: a hit beats any miss, of hits the latest counts."""
+    hit = F.col("catalog_id").isNotNull().alias("hit")
+    return upsert.latest_per_key(memo.select("*", hit), ["lookup_key"], ["hit", "ts", "batch_id"]).drop("hit")
 
 
 def link(parsed: DataFrame, candidates: DataFrame, paths: Paths, once: bool = False) -> StreamingQuery:
-    """Parsed rows to mappings. ``candidates`` is a static table, read anew by every batch."""
+    """Parsed rows to mappings. ``candidates`` is a static table; a batch reads the lists of its own keys."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         ready = upsert.latest_per_key(
             batch.where(F.col("title").isNotNull()).select(
-                "item_hash", "ingested_at", "title", "year", "season", "episode"
+                "item_hash", "ingested_at", TIME, "title", "year", "season", "episode"
             ),
             ["item_hash"],
-            ["ingested_at"],
+            ["ingested_at", TIME],
         )
         memo = read_changes(batch.sparkSession, paths.log("memo"), MEMO)
-        # Two batches may have looked up the same key; the later answer counts.
-        memo = upsert.latest_per_key(
-            memo.where(F.col("batch_id") != batch_id), ["lookup_key"], ["batch_id"]
-        ).drop("batch_id")
-        _log_links(
-            ready.drop("ingested_at"), candidates, memo, paths, batch_id, F.current_timestamp()
-        )
+        memo = known_links(memo.where(F.col("batch_id") != batch_id)).drop("batch_id", "ts")
+        # The batch's one time, kept by the offset log.
+        stamp = batch.agg(F.max(TIME)).first()[0]
+        if stamp is not None:
+            _log_links(ready.drop("ingested_at", TIME), candidates, memo, paths, batch_id, F.lit(stamp))
 
     return _start(parsed, paths, "link", handle, once)
 
 
+def mappings(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Mapped items folded from their log: the latest link of an item counts."""
+    log = read_changes(spark, paths.log("mappings"), MAPPED)
+    return upsert.latest_per_key(log, ["item_hash"], ["ts", "batch_id"]).drop("batch_id", "ts")
+
+
 def _fold(marks: DataFrame) -> DataFrame:
     return marks.groupBy("item_hash").agg(
         F.max("done").alias("completed"),
@@ -167,6 +228,13 @@ def _fold(marks: DataFrame) -> DataFrame:
     )
 
 
+def fold_marks(marks: DataFrame) -> DataFrame:
+    """For ``tables.compact``: marks of an item added up, so that adding later marks gives the same."""
+    return marks.groupBy("item_hash").agg(
+        F.sum("cost").cast("int").alias("cost"), F.max("done").alias("done"), F.max("ts").alias("ts"), F.max("batch_id").alias("batch_id")
+    )
+
+
 def link_queue(spark: SparkSession, paths: Paths) -> DataFrame:
     """Queue triple per item, folded from the marks: sums and maxima, so order does not matter."""
     return _fold(read_changes(spark, paths.log("link_marks"), MARKS))
@@ -194,33 +262,79 @@ def retry_links(
     _log_links(again, candidates, None, paths, pass_id, at(as_of))
 
 
+def _log_routes(
+    mapped: DataFrame, items: DataFrame, files: DataFrame, paths: Paths, batch_id: int, ts: Column
+) -> None:
+    """Route mapped items; append outputs and queue marks under the batch id.
+
+    A pack without a file list costs an attempt and stays pending. An item that has not
+    arrived yet stays pending without one. Mappings neither branch takes get no mark.
+    """
+    kind, season, episode = F.col("content_type"), F.col("season"), F.col("episode")
+    linked = mapped.join(items.select("item_hash", "size_bytes"), "item_hash")
+    single, pack = is_single(kind, season, episode), is_pack(kind, season, episode)
+    packs = linked.where(pack)
+    names = [c for c in OUTPUT_LOG.fieldNames() if c != "ts"]
+    one = routing.emit_singles(linked.where(single)).withColumn("pos", F.lit(0))
+    many = routing.expand_packs(packs, files)
+    if "pos" not in many.columns:
+        many = many.withColumn("pos", F.lit(0))
+    rows = one.select(*names).unionByName(many.select(*names)).withColumn("ts", ts)
+    append_changes(rows, paths.log("outputs"), batch_id)
+    routed = linked.where(single).select("item_hash", F.lit(1).alias("cost"), F.lit(True).alias("done"))
+    status = routing.pack_status(packs, files).select("item_hash", F.lit(1).alias("cost"), F.col("completed").alias("done"))
+    late = mapped.where(single | pack).join(items.select("item_hash"), "item_hash", "left_anti")
+    waiting = late.select("item_hash", F.lit(0).alias("cost"), F.lit(False).alias("done"))
+    marks = routed.unionByName(status).unionByName(waiting).withColumn("ts", ts)
+    append_changes(marks, paths.log("route_marks"), batch_id)
+
+
 def route(
-    mappings: DataFrame, items: DataFrame, files: DataFrame, paths: Paths, once: bool = False
+    mapped: DataFrame, items: DataFrame, files: DataFrame, paths: Paths, once: bool = False
 ) -> StreamingQuery:
     """Mapped rows to output rows, singles and packs in one pass per batch.
 
-    ``items`` (item_hash, size_bytes) and ``files`` are static tables. Packs
-    without a file list give no rows here and stay out of ``outputs``.
+    ``items`` (item_hash, size_bytes) and ``files`` are static tables, read anew by every batch.
+    What they lack is left to ``retry_routes``.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        kind, season, episode = F.col("content_type"), F.col("season"), F.col("episode")
-        linked = batch.join(items.select("item_hash", "size_bytes"), "item_hash")
-        singles = routing.emit_singles(linked.where(is_single(kind, season, episode)))
-        packs = routing.expand_packs(batch.where(is_pack(kind, season, episode)), files)
-        append_changes(
-            singles.unionByName(packs).select(*OUTPUT_ROWS.fieldNames()),
-            paths.log("outputs"),
-            batch_id,
-        )
+        stamp = batch.agg(F.max(TIME)).first()[0]
+        if stamp is not None:
+            last = upsert.latest_per_key(batch.drop(TIME, "batch_id"), ["item_hash"], ["ts"]).drop("ts")
+            _log_routes(last, items, files, paths, batch_id, F.lit(stamp))
+
+    return _start(mapped, paths, "route", handle, once)
 
-    return _start(mappings, paths, "route", handle, once)
+
+def route_queue(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Queue triple per mapped item, folded from the marks of routing."""
+    return _fold(read_changes(spark, paths.log("route_marks"), MARKS))
+
+
+def retry_routes(
+    items: DataFrame,
+    files: DataFrame,
+    paths: Paths,
+    as_of: datetime | str,
+    pass_id: int,
+    max_attempts: int = V.MAX_ATTEMPTS,
+    cooldown_minutes: int = V.COOLDOWN_MINUTES,
+) -> None:
+    """Route mapped items again that wait for their file list or their item, past the cooldown."""
+    spark = items.sparkSession
+    marks = read_changes(spark, paths.log("route_marks"), MARKS)
+    state = _fold(marks.where(F.col("batch_id") != pass_id))
+    due = queue.pending(state, as_of, max_attempts, cooldown_minutes).select("item_hash")
+    again = mappings(spark, paths).join(due, "item_hash", "left_semi")
+    _log_routes(again, items, files, paths, pass_id, at(as_of))
 
 
 def outputs(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Output table folded from its log: the last batch wins per (item, file index)."""
-    log = read_changes(spark, paths.log("outputs"), OUTPUT_ROWS)
-    return upsert.latest_per_key(log, ["item_hash", "file_index"], ["batch_id"]).drop("batch_id")
+    """Output table folded from its log: the latest row wins per (item, file index), then the later file."""
+    log = read_changes(spark, paths.log("outputs"), OUTPUT_LOG)
+    last = upsert.latest_per_key(log, ["item_hash", "file_index"], ["ts", "batch_id", "pos"])
+    return last.drop("batch_id", "pos", "ts")
 
 
 def stream_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
