@@ -518,6 +518,8 @@ ORACLES["stage_counters"] = _sql(
 _ANY = [x.replace(_elig("m"), "true") for x in (_SINGLES, _PACKS)]
 _BAD = "k % 31 = 0 OR shape IN ('lost', 'tail') OR (hole AND shape <> 'empty')"
 ORACLES |= {
+    "link_text_years": ORACLES["link_provider_b"],
+    "snapshot_pending": _sql(f"SELECT item_hash, filename, size_bytes, {_STATE} FROM it WHERE {_ELIGIBLE}"),
     "stream_discover": f"SELECT DISTINCT name, false AS completed, cast(0 AS int) AS attempts FROM ({ORACLES['listing_filter']})",
     "stream_extract": _sql(f"SELECT source, NOT ({_BAD}) AS completed, cast(1 + cast({_BAD} AS int) AS int) AS attempts FROM docs", _DOCS),
     "stream_link": f"""SELECT item_hash, catalog_id IS NOT NULL AS completed, cast(CASE WHEN catalog_id IS NULL THEN 2 ELSE 1 END AS int) AS attempts

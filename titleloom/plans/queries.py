@@ -16,7 +16,7 @@ from titleloom.plans.encode import encode_texts
 from titleloom.session import checkpoint_root
 from titleloom.sources import containers, documents, file_lists
 from titleloom.sources.listing import document_names
-from titleloom.sources.tables import append_changes, read_changes
+from titleloom.sources.tables import append_changes, read_changes, read_table, write_snapshot
 from titleloom.streaming import stages as streaming
 from titleloom.streaming.counters import minute_counters as minute_counters_of
 
@@ -307,6 +307,15 @@ def queue_depths(spark, sf):
     )
 
 
+@query
+def snapshot_pending(spark, sf):
+    """A stored item table, read back by its explicit schema: the pending rows."""
+    path = f"{_new_paths(spark).root}/items"
+    write_snapshot(I.items(spark, sf), path, ["completed"])
+    table = read_table(spark, "items", path)
+    return _state(queue.pending(table, I.AS_OF, max_attempts=3, cooldown_minutes=1440))
+
+
 # --- names -------------------------------------------------------------------
 
 
@@ -515,6 +524,16 @@ def link_provider_b(spark, sf):
     return linkage.pick_matches(rows, ["lookup_key"], last_resort=True)
 
 
+@query
+def link_text_years(spark, sf):
+    """The provider B pick from candidates whose year is text, or stands in their release note."""
+    rows = _pick_input(spark, sf, F.col("hint"))
+    text = F.when(F.col("pos") % 2 == 0, F.col("year").cast("string"))
+    note = F.concat(F.lit("since "), F.col("year").cast("string"), F.lit("-"))
+    dated = rows.withColumn("year", M.candidate_year(text, note))
+    return linkage.pick_matches(dated, ["lookup_key"], last_resort=True)
+
+
 def _candidate_table(spark, sf):
     return linkage_rows(spark, sf).select("lookup_key", "list", "pos", "id", "name", "year", "qid")
 
