@@ -8,7 +8,8 @@ dictionary, and the normalised differences of the compressed sizes
 
 say which dictionary knows the text better. The differences of a document (over the
 whole text, mean and least piece) become a probability through a logistic curve fitted on
-labelled documents that no dictionary saw.
+labelled documents that no dictionary saw; it also knows how long a text is, as short
+ones say little.
 
 Bounded samples are used for fitting only: ``DICTIONARY_DOCS`` documents per class and
 ``PIECES`` pieces of them for the dictionaries, ``CALIBRATION_DOCS`` for the curve, all
@@ -40,6 +41,7 @@ DICTIONARY_DOCS = 2_000  # per class
 PIECES = 8_000  # per class
 CALIBRATION_DOCS = 8_000
 LEVEL = 3
+EVIDENCE = 400  # bytes at which a text has half the weight of a long one
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 
@@ -81,7 +83,7 @@ class Sizer:
 
 
 def features(text: str, good: Sizer, bad: Sizer) -> list[float]:
-    """Differences of compressed sizes; positive: the good dictionary fits better."""
+    """Differences of compressed sizes (positive: the good dictionary fits better), and the length's weight."""
     parts = pieces(text.encode("utf-8", "surrogatepass"))
     g, b = good.sizes(parts), bad.sizes(parts)
     n = np.array([max(1, len(p)) for p in parts], np.float64)
@@ -96,14 +98,20 @@ def features(text: str, good: Sizer, bad: Sizer) -> list[float]:
         float((np.clip(per_byte, -0.15, 0.15) * share).sum()),
         float(np.clip(per_byte, -0.15, 0.15).min()),
         float((share * (per_byte < 0.02)).sum()),
+        float(n.sum() / (n.sum() + EVIDENCE)),
     ]
 
 
 def design(rows: np.ndarray) -> np.ndarray:
-    """Features, their squares, and a constant."""
+    """Differences and their squares, the same weighted by how much text there was, and a constant.
+
+    A few words are weak evidence; the weighted columns let the fit say so.
+    """
     scale = np.array([0.1, 0.1, 0.1, 0.05, 0.05, 0.05, 0.5])
-    x = rows.reshape(-1, len(scale)) / scale
-    return np.concatenate([x, x * x, np.ones((len(x), 1))], axis=1)
+    rows = rows.reshape(-1, len(scale) + 1)
+    x, trust = rows[:, :-1] / scale, rows[:, -1:]
+    x = np.concatenate([x, x * x], axis=1)
+    return np.concatenate([x, x * trust, trust, np.ones((len(x), 1))], axis=1)
 
 
 def predict(model: Model, rows: np.ndarray) -> np.ndarray:
