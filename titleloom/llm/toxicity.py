@@ -35,10 +35,10 @@ DOCS = 5_000  # per class
 FEATURES = 512
 PAIRS = 10_000
 STRENGTH = 10.8  # least chi-square of a feature with the label (one in a thousand by chance)
-SEEN = 4  # least number of documents of a feature
-RIDGE = 0.1
+SEEN = 2  # least number of documents of a feature
+RIDGE = 2.0  # on a feature of least strength; stronger ones are held less, in proportion
 PENALTY = 20.0
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.5
 FOLDS, HELD_OUT = 5, 0
 
@@ -158,9 +158,9 @@ def _pairs(texts: DataFrame, names: list[str], terms: tuple[tuple[str, ...], ...
     return texts.select("text").mapInArrow(run, "gone array<int>, come array<int>")
 
 
-def solve(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float = RIDGE, penalty: float = PENALTY) -> np.ndarray:
-    """Newton steps on the logistic loss, a ridge, and the squared score changes of swaps; the last column of x is the constant."""
-    pull = np.diag(np.append(np.full(x.shape[1] - 1, ridge), 1e-6))
+def solve(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """Newton steps on the logistic loss, a ridge per feature, and the squared score changes of swaps; the last column of x is the constant."""
+    pull = np.diag(np.append(ridge, 1e-6))
     pull[:-1, :-1] += penalty * (swaps.T @ swaps)
     w = np.zeros(x.shape[1])
     for _ in range(60):
@@ -196,7 +196,8 @@ def fit(
     chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * (a + b) * (n1 + n0 - a - b))
     strong = _counts(texts).filter((a + b >= SEEN) & (a + b < n1 + n0)).withColumn("strength", F.when((n1 > 0) & (n0 > 0), chi))
     strong = strong.filter(F.col("strength") >= STRENGTH)
-    names = [r[0] for r in strong.orderBy(F.col("strength").desc(), "feature").limit(FEATURES).select("feature").collect()]
+    best = strong.orderBy(F.col("strength").desc(), "feature").limit(FEATURES).select("feature", "strength").collect()
+    names = [r[0] for r in best]
     # Repeated documents of one id may exceed the number of ids; the same bound holds again.
     rows = _indexed(texts, names).orderBy(F.xxhash64("_id"), "_id", "on").limit(2 * DOCS).collect()
     y = np.array([float(r["label"]) for r in rows])
@@ -211,7 +212,8 @@ def fit(
     for i, r in enumerate(pairs):
         swaps[i, r["gone"]] = 1
         swaps[i, r["come"]] = -1
-    w = solve(x, y, swaps, penalty=penalty)
+    ridge = np.array([RIDGE * STRENGTH / r[1] for r in best])
+    w = solve(x, y, swaps, ridge, penalty)
     # The sample is dealt by class; the constant goes back to the classes' shares among all labels.
     shift = np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return Model(dict(zip(names, w[:-1].tolist())), float(w[-1] + shift))
