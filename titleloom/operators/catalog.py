@@ -92,30 +92,33 @@ def _affixes(text: Column) -> Column:
 
 
 def first_almost_similar(queries: DataFrame, reduced: DataFrame) -> DataFrame:
-    """Lowest position almost similar to each query, as (q, qy, second)."""
+    """Per query with an almost similar name: the lowest position of one, and the similarity of the
+    closest one, as (q, qy, second, closest). Of two such names one begins or ends the other,
+    so their distance is the difference of their lengths."""
     wanted = _with_cells(queries)
     # Catalog names that start or end with the query: affixes of catalog names,
     # reduced to one row each before they meet the queries.
     longer = (
         reduced.where(F.col("c") != "")
-        .select("cell", "low", F.inline(_affixes(F.col("c"))))
+        .select("c", "cell", "low", F.inline(_affixes(F.col("c"))))
         .groupBy("part", "cell")
-        .agg(F.min("low").alias("low"))
+        .agg(F.min("low").alias("low"), F.min(F.length("c")).alias("n"))
         .withColumnRenamed("part", "q")
     )
-    by_catalog = wanted.join(longer, ["q", "cell"]).select("q", "qy", "low")
+    near = lambda short, long: (F.lit(1.0) - (long - short) / F.greatest(long, F.lit(1))).alias("near")
+    by_catalog = wanted.join(longer, ["q", "cell"]).select("q", "qy", "low", near(F.length("q"), F.col("n")))
     # Catalog names the query starts or ends with: affixes of queries, one row per
     # distinct affix on the catalog side. The empty affix finds names that simplify to
     # nothing, which are almost similar to everything.
     shorter = (
         wanted.select("q", "qy", "cell", F.explode(F.array_distinct(_affixes(F.col("q"))["part"])).alias("c"))
         .join(reduced, ["c", "cell"])
-        .select("q", "qy", "low")
+        .select("q", "qy", "low", near(F.length("c"), F.length("q")))
     )
     return (
         by_catalog.unionByName(shorter)
         .groupBy("q", "qy")
-        .agg(F.min("low").alias("second"))
+        .agg(F.min("low").alias("second"), F.max("near").alias("closest"))
     )
 
 
@@ -235,8 +238,13 @@ def link_catalog(queries: DataFrame, catalog: DataFrame, tiers=TIERS) -> DataFra
     """``queries`` (title, year, any other columns) with ``catalog_id``, NULL on a miss."""
     reduced = cut_lineage(reduce_catalog(catalog))
     distinct = cut_lineage(reduce_queries(queries))
-    second = first_almost_similar(distinct, reduced)
-    best = best_similar(distinct, reduced, tiers)
+    second = cut_lineage(first_almost_similar(distinct, reduced))
+    # With an almost similar name none of which is above the goal, that name wins whatever else
+    # is found: such queries need no search.
+    decided = second.where(F.col("closest") <= V.SIMILARITY_GOAL).select(F.col("q").alias("_q"), F.col("qy").alias("_qy"))
+    searched = distinct.join(decided, (F.col("q") == F.col("_q")) & F.col("qy").eqNullSafe(F.col("_qy")), "left_anti")
+    best = best_similar(searched, reduced, tiers)
+    second = second.drop("closest")
     merged = (
         best.withColumn("second", F.lit(None).cast(second.schema["second"].dataType))
         .unionByName(second.withColumn("best", F.lit(None).cast(best.schema["best"].dataType)))
