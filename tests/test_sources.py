@@ -2,25 +2,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from fixed_vectors import BARE, EMPTY, MINIMAL, SINGLE
 from titleloom.plans.encode import compress
 from titleloom.sources import containers, documents, file_lists
 from titleloom.sources.listing import document_names
 from titleloom.sources.payload import decode_text, decompress
 
-# Payloads made with the public JavaScript encoder.
-EMPTY = "N4IgNglgzgLiBcBtAugXyA"
-MINIMAL = (
-    "N4IgNglgzgLiBcBtUAzCYCmA7AhgWwwRBg1gDo8BrANxABoQALHKRonAIwGMATDFAIwAmAMwAWAKwA2AOwAOAJwAGTr37Dx0"
-    "+ctV9BQ+iCgQAXoXgClSgL4Bda0A"
-)
-SINGLE = (
-    "N4IgNglgzgLiBcBtUAzCYCmA7AhgWwwRACEIBzAOmIFcBjAayuqywE8KAmABi4A4KAjHy4AHKmGoAlHOwAeHAGwAWEABoQACxxQNRACZ7"
-    "eHAKzGMtPbQDstHKZQAjLg4cpeAgMwcPhq1wUceg4CKAp6ArRqIFAQAF6E8AJKCrwKSQrGCgC+ALpZQA"
-)
-BARE = (
-    "NobwRAZglgNgpgOwIYFs5gFxgMoAskBOcAJgHQCyA9gG5RykBMADAwCykoDW1YANGPgDOuTGACMDAMysArADYA7AA4AnEyQAjAMbE4ECd"
-    "PnK1mnXoOzFSvmA0BPAC5xBmGU3cf3AXwC6QA"
-)
 MARKER = "example.com/list#"
 
 
