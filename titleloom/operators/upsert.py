@@ -78,8 +78,14 @@ def upsert(
     changes = latest_per_key(changes.select(*keys, *payload, *order), keys, order)
     # New columns get names of their own, so a target derived from the same rows is no riddle.
     old = target.withColumn("_old", F.lit(True))
+    # The first key is written anew, so that Spark does not shuffle a bucketed target to the
+    # partitions the reduced changes happen to have: the small side moves, the target stays.
+    first = F.col(keys[0])
+    moved = F.concat(first, F.lit("")) if dict(changes.dtypes)[keys[0]] == "string" else first
     new = changes.select(
-        *[F.col(c).alias(f"_new_{c}") for c in [*keys, *payload]], F.lit(True).alias("_new")
+        moved.alias(f"_new_{keys[0]}"),
+        *[F.col(c).alias(f"_new_{c}") for c in [*keys[1:], *payload]],
+        F.lit(True).alias("_new"),
     )
     same = [
         F.col(k).eqNullSafe(F.col(f"_new_{k}")) if k in nullable_keys else F.col(k) == F.col(f"_new_{k}")
