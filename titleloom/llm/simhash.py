@@ -272,11 +272,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One document per component: the smallest doc_id (NULL last), of equal ids the smallest text mark.
+    """One document per component."""
+    return keep_first(docs, *classes(docs, radius, shingle, block))
 
-    Rows alike in id and text count as one document, of which one row stays.
+
+def keep_first(docs: DataFrame, fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each component the smallest doc_id (NULL last), of equal ids the smallest text mark.
+
+    ``fps`` and ``roots`` are as ``classes`` gives them. Rows alike in id and text count as
+    one document, of which one row stays.
     """
-    fps, roots = classes(docs, radius, shingle, block)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("mark"))
     per_row = fps.groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("rows"))
     best = per_row.groupBy("fp").agg(F.min_by(F.struct(order.alias("order"), "rows"), order).alias("best"))
