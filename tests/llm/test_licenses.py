@@ -87,3 +87,28 @@ def test_scan_agrees_with_alignment_at_every_place():
                 assert found.get(u.name, 0) >= 0.8
             if u.name in found:
                 assert found[u.name] <= lcs(words, u.words) / len(u.words)
+
+
+def test_notice_without_the_rarest_word_of_its_neighbourhood():
+    text = "Distributed under the Apache License, Version 2.0 " + "x " * 20 + "licensed"
+    found = [n for n in L.notices(text, HELD) if n.name == "Apache-2.0"]
+    assert found == [L.Notice("Apache-2.0", 0.875, 1, 7)]
+
+
+def test_notices_at_the_least_coverage_among_stray_telling_words():
+    """Brute force: align each template from every start; strays are telling words of the template itself."""
+    rng = random.Random(9)
+    planted = 0
+    for _ in range(60):
+        t = rng.choice(HELD)
+        words = rng.choices(["the", "of", "lorem", "ipsum", "x", *sorted(t.telling)[:3]], [4, 4, 6, 6, 6, 1, 1, 1], k=90)
+        drop = set(rng.sample(range(len(t.words)), len(t.words) - L.needed(t, 0.8)))
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = [w for i, w in enumerate(t.words) if i not in drop]
+        size = len(t.words) + L.SLACK
+        best = max(len(L.align(words[s : s + size], t.words)) for s in range(len(words)))
+        found = {n.name: n.coverage for n in L.notices(" ".join(words), HELD)}
+        if best >= L.needed(t, 0.8):
+            planted += 1
+            assert found.get(t.name, 0) >= 0.8, (t.name, " ".join(words))
+    assert planted > 40

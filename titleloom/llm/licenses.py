@@ -7,8 +7,11 @@ of the template's words that are aligned.
 
 A long text is not aligned as a whole, where every common word repeats. Places of a
 template's telling words (those not among the common ones) mark the stretches
-that may hold it, with room for insertions; each stretch is aligned around each
-occurrence of its rarest telling word, so notices that repeat in a text are found too. The
+that may hold it, with room for insertions. A notice of the least coverage lacks so many words
+at most, so it holds one of any telling words that are one more: stretches are taken around every
+occurrence of that many, the rarest of the text, at each of their places in the template.
+Stretches with too few words of the template are skipped. Where stray words spoil the patience
+alignment of a stretch, its longest common subsequence decides, which no part of it exceeds. The
 best-covered stretch counts, the earliest of equals.
 
 Whole texts are scanned, in one pass without a shuffle.
@@ -21,6 +24,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -73,7 +77,7 @@ class Template(NamedTuple):
     name: str
     words: tuple[str, ...]
     telling: frozenset[str]
-    place: dict[str, int]  # first place of each telling word
+    place: dict[str, list[int]]  # places of each word
 
 
 def compiled(templates: dict[str, str] = TEMPLATES, common: frozenset[str] = COMMON) -> list[Template]:
@@ -81,7 +85,7 @@ def compiled(templates: dict[str, str] = TEMPLATES, common: frozenset[str] = COM
     for name, text in templates.items():
         words = tuple(_WORD.findall(text.lower()))
         telling = frozenset(words) - common or frozenset(words)
-        out.append(Template(name, words, telling, {w: words.index(w) for w in telling}))
+        out.append(Template(name, words, telling, {w: [i for i, x in enumerate(words) if x == w] for w in words}))
     return out
 
 
@@ -137,45 +141,63 @@ class Notice(NamedTuple):
     last: int
 
 
-def best_notice(words: list[str], places: dict[str, list[int]], template: Template, slack: int = SLACK) -> Notice | None:
-    """The best-covered stretch for one template; ``places`` holds where telling words stand."""
-    room = slack + len(template.words) // 2
-    spans = sorted((p - template.place[w] - room, p - template.place[w] + len(template.words) + room, p, w) for w in template.telling for p in places.get(w, ()))
+def needed(template: Template, least: float) -> int:
+    """Words a notice of the least coverage has."""
+    return max(1, math.ceil(least * len(template.words) - 1e-9))
+
+
+def marking(template: Template, least: float) -> frozenset[str]:
+    """Words that mark stretches: the telling ones, or all where a notice might lack every telling one."""
+    return template.telling if len(template.telling) > len(template.words) - needed(template, least) else frozenset(template.words)
+
+
+def longest(text: list[str], template: Template) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence: the longest increasing run over all equal words."""
+    equal = [(i, j) for i, w in enumerate(text) for j in reversed(template.place.get(w, ()))]
+    return [equal[k] for k in increasing([j for _, j in equal])]
+
+
+def best_notice(words: list[str], places: dict[str, list[int]], template: Template, least: float = COVERAGE, slack: int = SLACK) -> Notice | None:
+    """The best-covered stretch for one template; ``places`` holds where its marking words stand."""
+    size, need = len(template.words), needed(template, least)
+    room = slack + size // 2
+    cost = lambda w: (len(places.get(w, ())) * len(template.place[w]), template.place[w][0])
+    chosen = sorted(marking(template, least), key=cost)[: size - need + 1]
+    others = Counter(template.words)
     best: Notice | None = None
-    i = 0
-    while i < len(spans):
-        stop, j = spans[i][1], i + 1
-        while j < len(spans) and spans[j][0] <= stop:
-            stop, j = max(stop, spans[j][1]), j + 1
-        group = spans[i:j]
-        seen = Counter(w for *_, w in group)
-        rarest = min(seen, key=lambda w: (seen[w], template.place[w]))
-        for a, b, _, w in group:
-            if w == rarest:
-                start = max(0, a)
-                pairs = align(words[start : max(0, b)], template.words)
-                coverage = len(pairs) / len(template.words)
-                if pairs and (best is None or coverage > best.coverage):
-                    best = Notice(template.name, coverage, start + pairs[0][0], start + pairs[-1][0])
-        i = j
+    for d in sorted({p - q for w in chosen for p in places.get(w, ()) for q in template.place[w]}):
+        start = max(0, d - room)
+        stretch = words[start : d + size + room]
+        held = Counter(stretch)
+        if sum(min(n, held[w]) for w, n in others.items()) < need:
+            continue
+        pairs = align(stretch, template.words)
+        if len(pairs) < need:
+            pairs = longest(stretch, template)
+        coverage = len(pairs) / size
+        if pairs and (best is None or coverage > best.coverage):
+            best = Notice(template.name, coverage, start + pairs[0][0], start + pairs[-1][0])
+        if best and best.coverage == 1:
+            break
     return best
 
 
 def notices(text: str, templates: list[Template], least: float = COVERAGE) -> list[Notice]:
     """Found notices, best first."""
     lowered = text.lower()
-    marks = {w for t in templates for w in t.telling}
+    marking_of = {t.name: marking(t, least) for t in templates}
+    marks = {w for held in marking_of.values() for w in held}
     present = {w for w in marks if w in lowered}
-    near = [t for t in templates if len(t.telling & present) >= least * len(t.telling) - (1 - least) * len(t.words)]
+    near = [t for t in templates if len(marking_of[t.name] - present) <= len(t.words) - needed(t, least)]
     if not near:
         return []
     words = _WORD.findall(lowered)
-    wanted = {w for t in near for w in t.telling}
+    wanted = {w for t in near for w in marking_of[t.name]}
     places: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         if w in wanted:
             places.setdefault(w, []).append(i)
-    found = [n for t in near if (n := best_notice(words, places, t)) and n.coverage >= least]
+    found = [n for t in near if (n := best_notice(words, places, t, least)) and n.coverage >= least]
     size = {t.name: len(t.words) for t in templates}
     return sorted(found, key=lambda n: (-n.coverage, -size[n.name], n.name))
 
