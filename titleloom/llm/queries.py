@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from titleloom.llm import chat, decontaminate, licenses, mixing, quality, sharding, simhash, tokencount, topk, toxicity
+from titleloom.llm import chat, decontaminate, licenses, merkle, mixing, quality, sharding, simhash, tokencount, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -56,4 +57,17 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_chat, op5_licenses, op6_sharding, op7_toxicity, op8_token_counts, op9_topk, op10_simhash)}
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    proved = merkle.manifest(_table(spark, sf, "documents"), claim=merkle.tampered())
+    return proved.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_chat, op5_licenses, op6_sharding, op7_toxicity, op8_token_counts, op9_topk, op10_simhash, op11_merkle)}

@@ -1,6 +1,6 @@
 """Reference SQL of the registered queries, where SQL can express them."""
 
-from titleloom.llm import chat, decontaminate, mixing, topk
+from titleloom.llm import chat, decontaminate, merkle, mixing, topk
 
 _RESERVED = "|".join(
     c[0].replace("[", "\\[") + "\\\\*" + "".join("\\" + x if x in "|[]/<>" else x for x in c[1:]) for c in chat.CONTROL_STRINGS
@@ -86,4 +86,50 @@ WITH ints AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk.K}
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_decontamination": OP3, "op4_chat": OP4, "op9_topk": OP9}
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in merkle.FIELDS) + ")"
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+_A = merkle.ARITY
+
+OP11 = f"""
+WITH RECURSIVE changed AS (
+  SELECT *, CASE WHEN doc_id IS NOT NULL AND {_CRC} % {merkle.TAMPER_EVERY} = 0 THEN n_chars::HUGEINT + 1 ELSE n_chars::HUGEINT END AS told FROM documents
+), digests AS (
+  SELECT doc_id, lang, {_LEAF} AS leaf, {_LEAF.replace("n_chars", "told")} AS claim, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM changed
+), leaves AS (
+  SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM digests
+), tree AS (
+  SELECT g, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT g, level + 1, pos // {_A}, sha256(string_agg(digest, '' ORDER BY pos)), (n + {_A - 1}) // {_A} FROM tree WHERE n > 1 GROUP BY g, level, pos // {_A}, n
+), subroots AS (
+  SELECT g, digest FROM tree WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, g AS pos, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // {_A}, sha256(string_agg(digest, '' ORDER BY pos)), (n + {_A - 1}) // {_A} FROM upper WHERE n > 1 GROUP BY level, pos // {_A}, n
+), steps AS (
+  SELECT row, level AS step, string_agg(digest, '' ORDER BY t.pos) FILTER (t.pos < own) AS before, string_agg(digest, '' ORDER BY t.pos) FILTER (t.pos > own) AS after
+  FROM (SELECT l.row, l.g, t.level, t.pos, t.digest, l.pos // pow({_A}, t.level)::BIGINT AS own FROM leaves l JOIN tree t ON l.g = t.g AND t.n > 1 AND l.pos // pow({_A}, t.level + 1)::BIGINT = t.pos // {_A}) t
+  GROUP BY row, level
+  UNION ALL
+  SELECT row, 1000 + level, string_agg(digest, '' ORDER BY t.pos) FILTER (t.pos < own), string_agg(digest, '' ORDER BY t.pos) FILTER (t.pos > own)
+  FROM (SELECT l.row, t.level, t.pos, t.digest, l.g // pow({_A}, t.level)::BIGINT AS own FROM leaves l JOIN upper t ON t.n > 1 AND l.g // pow({_A}, t.level + 1)::BIGINT = t.pos // {_A}) t
+  GROUP BY row, level
+), ordered AS (
+  SELECT row, coalesce(before, '') AS before, coalesce(after, '') AS after, row_number() OVER (PARTITION BY row ORDER BY step) AS k FROM steps
+), proofs AS (
+  SELECT row, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256, max(k) AS height FROM ordered GROUP BY row
+), folded AS (
+  SELECT row, 0 AS k, claim AS digest FROM leaves
+  UNION ALL
+  SELECT f.row, o.k, sha256(o.before || f.digest || o.after) FROM folded f JOIN ordered o ON f.row = o.row AND o.k = f.k + 1
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+  f.digest AS folded_root, f.digest = r.digest AS verified
+FROM leaves l JOIN subroots s ON l.g = s.g JOIN (SELECT digest FROM upper WHERE n = 1) r ON true
+LEFT JOIN proofs p ON l.row = p.row JOIN folded f ON f.row = l.row AND f.k = coalesce(p.height, 0)
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_decontamination": OP3, "op4_chat": OP4, "op9_topk": OP9, "op11_merkle": OP11}
