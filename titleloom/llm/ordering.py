@@ -17,12 +17,12 @@ def positions(df: DataFrame, group: str, order: list[str], label: str) -> DataFr
     rows apart, or these cannot be spread. ``group`` must not be NULL.
     """
     dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    dealt = store(dealt.withColumn("at", F.monotonically_increasing_id()), label)
-    part = F.shiftright("at", 33).alias("part")
-    runs = dealt.groupBy(F.col(group).alias("run"), part).agg(F.min("at").alias("first"), F.count("*").alias("rows"))
-    whole = Window.partitionBy("run")
-    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = store(dealt.withColumn("_at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("_at", 33)
+    runs = dealt.groupBy(F.col(group).alias("_run"), part.alias("_part")).agg(F.min("_at").alias("first"), F.count("*").alias("rows"))
+    whole = Window.partitionBy("_run")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")
-    runs = store(runs.select("run", "part", shift.alias("shift"), F.sum("rows").over(whole).alias("n")), f"{label}-runs")
-    met = dealt.join(runs, (F.col(group) == F.col("run")) & (F.shiftright("at", 33) == F.col("part")))
-    return met.withColumn("pos", F.col("at") + F.col("shift")).drop("at", "shift", "run", "part")
+    runs = store(runs.select("_run", "_part", shift.alias("_shift"), F.sum("rows").over(whole).alias("n")), f"{label}-runs")
+    met = dealt.join(runs, (F.col(group) == F.col("_run")) & (part == F.col("_part")))
+    return met.withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_shift", "_run", "_part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleloom.llm import chat, decontaminate, licenses, merkle, mixing, quality, sharding, simhash, tokencount, topk, toxicity
+from titleloom.llm import chat, collocations, decontaminate, licenses, merkle, mixing, neighbours, quality, sharding, simhash, tokencount, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -70,4 +70,12 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_chat, op5_licenses, op6_sharding, op7_toxicity, op8_token_counts, op9_topk, op10_simhash, op11_merkle)}
+def op12_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.near_duplicates(_table(spark, sf, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_chat, op5_licenses, op6_sharding, op7_toxicity, op8_token_counts, op9_topk, op10_simhash, op11_merkle, op12_embedding_near_dedup, op13_collocations)}

@@ -1,6 +1,6 @@
 """Reference SQL of the registered queries, where SQL can express them."""
 
-from titleloom.llm import chat, decontaminate, merkle, mixing, topk
+from titleloom.llm import chat, collocations, decontaminate, merkle, mixing, neighbours, topk
 
 _RESERVED = "|".join(
     c[0].replace("[", "\\[") + "\\\\*" + "".join("\\" + x if x in "|[]/<>" else x for x in c[1:]) for c in chat.CONTROL_STRINGS
@@ -132,4 +132,57 @@ FROM leaves l JOIN subroots s ON l.g = s.g JOIN (SELECT digest FROM upper WHERE
 LEFT JOIN proofs p ON l.row = p.row JOIN folded f ON f.row = l.row AND f.k = coalesce(p.height, 0)
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_decontamination": OP3, "op4_chat": OP4, "op9_topk": OP9, "op11_merkle": OP11}
+OP12 = f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+  SELECT row, vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.row AS one, b.row AS two FROM good a JOIN good b ON a.row <> b.row AND list_cosine_similarity(a.e, b.e) >= {neighbours.LEAST}
+), reach AS (
+  SELECT row, row AS other FROM v
+  UNION
+  SELECT reach.row, links.two FROM reach JOIN links ON reach.other = links.one
+), least AS (
+  SELECT reach.row, min(vec_id) AS component_id FROM reach JOIN v ON v.row = reach.other GROUP BY reach.row
+), counts AS (
+  SELECT one AS row, count(*) AS n_links FROM links GROUP BY one
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least USING (row) LEFT JOIN counts USING (row)
+"""
+
+_C = collocations
+OP13 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), counts AS (
+  SELECT lang, len, array_to_string(w[p:p + len - 1], ' ') AS phrase, count(*)::BIGINT AS f
+  FROM worded, unnest(range(1, {_C.LONGEST} + 1)) AS l(len), unnest(range(1, len(w) - len + 2)) AS t(p) GROUP BY lang, len, phrase
+), cand AS (
+  SELECT lang, len, phrase, f AS a FROM counts WHERE len > 1 AND f >= {_C.LEAST}
+), inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[p:p + k - 1], ' ') AS phrase, max(a) AS cover
+  FROM cand, unnest(range(2, len)) AS s(k), unnest(range(1, len - k + 2)) AS t(p) GROUP BY 1, 2
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM cand LEFT JOIN inside USING (lang, phrase), unnest(range(1, len)) AS s(k)
+  WHERE cover IS NULL OR 100 * cover::HUGEINT < {_C.NEARLY} * a
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, ({_C.SCALE}::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head JOIN counts y ON y.lang = c.lang AND y.phrase = tail
+), best AS (
+  SELECT lang, phrase, a, min(struct_pack(score := score, k := k, l := l, r := r)) AS b FROM scored GROUP BY lang, phrase, a
+), flat AS (
+  SELECT lang, phrase, a, b.l AS l, b.r AS r, b.score AS score FROM (SELECT lang, phrase, a, b FROM best)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM flat
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= {_C.TOP}
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_decontamination": OP3, "op4_chat": OP4, "op9_topk": OP9, "op11_merkle": OP11, "op12_embedding_near_dedup": OP12, "op13_collocations": OP13}
