@@ -30,6 +30,7 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -193,7 +194,7 @@ _SHIFTS = (0, 17, 34)
 def filter_of(hashes: DataFrame, size: int) -> np.ndarray:
     """A Bloom filter of ``size`` bits (a power of two) over the column hash; size / 8 bytes, in words of 64 bits."""
     bits = F.explode(F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(F.lit(size - 1)) for s in _SHIFTS])).alias("bit")
-    one = F.shiftleft(F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+    one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     held = hashes.select(bits).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[np.asarray(held.column("at"))] = np.asarray(held.column("bits"))
@@ -265,11 +266,12 @@ def collocations(
     cand = found.filter((F.col("length") > 1) & (F.col("f") >= least)).withColumn("words", F.split("phrase", " "))
 
     # Every longer candidate names the shorter phrases inside it.
-    starts = lambda k: F.sequence(F.lit(1), F.col("length") - k + 1)
-    inside = None
-    for k in range(2, longest):
-        held = cand.filter(F.col("length") > k).select("lang", "f", F.explode(F.transform(starts(k), lambda i, k=k: F.array_join(F.slice("words", i, F.lit(k)), " "))).alias("phrase"))
-        inside = held if inside is None else inside.unionAll(held)
+    def within(k: int) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.col("length") - k + 1)
+        names = F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(k)), " "))
+        return cand.filter(F.col("length") > k).select("lang", "f", F.explode(names).alias("phrase"))
+
+    inside = reduce(DataFrame.unionAll, map(within, range(2, longest))) if longest > 2 else None
     if inside is not None:
         cover = inside.groupBy("lang", "phrase").agg(F.max("f").alias("cover"))
         cand = cand.join(cover, ["lang", "phrase"], "left").filter((F.col("cover").isNull()) | (F.col("cover").cast("decimal(38,0)") * 100 < F.col("f").cast("decimal(38,0)") * nearly))
