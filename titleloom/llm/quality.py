@@ -32,6 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from titleloom.llm.common import id_crc, logistic, packed, slices, store, text_of
 
@@ -199,8 +200,7 @@ def scored(df: DataFrame, model: Model, text: str) -> DataFrame:
                 columns = [part.column(f.name) for f in keep] + [pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in keep), "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "score double"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([*keep, StructField("score", DoubleType())]))
 
 
 def quality(
