@@ -39,6 +39,12 @@ def unique_keys(keyed: DataFrame) -> DataFrame:
     )
 
 
+def keys_of(parsed_items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row per lookup key, the items with their keys)."""
+    keyed = link_keys(parsed_items)
+    return unique_keys(keyed), keyed
+
+
 def hashes_by_key(keyed: DataFrame) -> DataFrame:
     """Item hashes per lookup key, as one row per member with the group's size.
 

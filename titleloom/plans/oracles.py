@@ -536,3 +536,28 @@ ORACLES |= {
         *_ANY, _STATUS,
     ),
 }
+
+# --- streams with state -----------------------------------------------------------
+
+_CLOSED = """closed AS (SELECT p.*, date_trunc('minute', w) - INTERVAL 1 MINUTE AS as_of
+  FROM pts p, (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS w FROM events) WHERE minute + INTERVAL 1 MINUTE <= w)"""
+ORACLES |= {
+    "stream_claims": _sql(
+        f"""SELECT item_hash, cast(attempts AS int) AS attempts, {_fmt('due_at')} AS due_at FROM (
+          SELECT name AS item_hash, 1 AS attempts, last_processed AS due_at FROM src WHERE NOT completed AND attempts = 0
+          UNION ALL SELECT name, greatest(attempts, 1) + 1, last_processed + INTERVAL 1 DAY FROM src
+          WHERE NOT completed AND attempts < 3 AND last_processed + INTERVAL 1 DAY <= (SELECT max(last_processed) FROM src))"""
+    ),
+    "stream_relink": ORACLES["stream_link_retry"],
+    "stream_link_memo": _sql(f"""SELECT item_hash, catalog_id IS NOT NULL AS completed, cast(CASE WHEN catalog_id IS NULL THEN 2 ELSE 1 END AS int) AS attempts, catalog_id
+        FROM (SELECT item_hash, CASE length(lookup_key) % 4 WHEN 0 THEN 'tt0' WHEN 2 THEN NULL ELSE catalog_id END AS catalog_id FROM fanned)""", *_CASCADE),
+    "stream_names": f"SELECT * FROM ({ORACLES['stream_discover']}) WHERE name IS NOT NULL",
+    "stream_history": _sql(
+        f"""SELECT counter, {_fmt('as_of')} AS as_of, string_agg(cast(coalesce(n, 0) AS string), ',' ORDER BY slot) AS points, any_value(total) AS total, cast(coalesce(sum(n) FILTER (slot = 59), 0) AS bigint) AS last
+        FROM (SELECT c.counter, c.as_of, slot, cast(p.n AS bigint) AS n, total FROM
+          (SELECT counter, as_of, cast(sum(n) AS bigint) AS total FROM closed GROUP BY counter, as_of) c
+          CROSS JOIN (SELECT unnest(range(0, 60)) AS slot) s
+          LEFT JOIN closed p ON p.counter = c.counter AND p.minute = c.as_of - to_minutes(59 - slot)) GROUP BY counter, as_of""",
+        _POINTS, _CLOSED,
+    ),
+}

@@ -17,7 +17,7 @@ from titleloom.session import checkpoint_root
 from titleloom.sources import containers, documents, file_lists
 from titleloom.sources.listing import document_names
 from titleloom.sources.tables import append_changes, read_changes, read_table, write_snapshot
-from titleloom.streaming import stages as streaming
+from titleloom.streaming import stages as streaming, state as stateful
 from titleloom.streaming.counters import minute_counters as minute_counters_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -879,3 +879,73 @@ def stream_route_retry(spark, sf):
     paths, sizes = _routed_stream(spark, sf, won.limit(0))
     streaming.retry_routes(sizes, won, paths, _LATER, -1)
     return streaming.route_queue(spark, paths).drop("last_processed")
+
+
+def _marks(spark, sf):
+    """Orders as queue marks."""
+    return I.sources(spark, sf).selectExpr("name AS item_hash", "attempts AS cost", "completed AS done", "last_processed AS ts")
+
+
+@query
+def stream_claims(spark, sf):
+    """What a retry queue in the state store hands out up to the last mark: each claim with its attempts."""
+    paths = _new_paths(spark)
+    marks = _derived(_marks(spark, sf), paths, "marks")
+    stateful.claims(marks, paths, once=True, max_attempts=3, cooldown_minutes=1440, delay="0 seconds").awaitTermination()
+    due = spark.read.schema("item_hash string, attempts int, due_at timestamp").parquet(paths.log("claims"))
+    return _state(due)
+
+
+@query
+def stream_relink(spark, sf):
+    """Memo after a stream without candidates, and the queue of its marks: what is due is linked again by itself."""
+    paths = _new_paths(spark)
+    parsed = _parsed_log(spark, sf)
+    found = _candidate_table(spark, sf)
+    streaming.link(_derived(parsed, paths, "parsed"), found.limit(0), paths, once=True).awaitTermination()
+    ready = spark.read.schema(parsed.schema).parquet(f"{paths.root}/derived/parsed")
+    ready = ready.select("item_hash", "title", "year", "season", "episode")
+    stateful.relink(ready, found, paths, once=True, cooldown_minutes=0, delay="0 seconds").awaitTermination()
+    return streaming.known_links(read_changes(spark, paths.log("memo"), schemas.MEMO)).select("lookup_key", "catalog_id")
+
+
+@query
+def stream_link_memo(spark, sf):
+    """Links through a memo told beforehand: hits and young misses are not looked up, old misses are."""
+    paths = _new_paths(spark)
+    parsed = _parsed_log(spark, sf).withColumn("ingested_at", F.lit(I.AS_OF).cast("timestamp"))
+    keys = linkage.keys_of(parsed)[0].select("lookup_key", (F.length("lookup_key") % 4).alias("kind"))
+    told = keys.where("kind < 3").select(
+        "lookup_key",
+        F.when(F.col("kind") == 0, "tt0").alias("catalog_id"),
+        F.when(F.col("kind") == 0, "movie").alias("content_type"),
+        F.when(F.col("kind") == 1, F.lit("1999-05-01")).otherwise("1999-05-31").cast("timestamp").alias("ts"),
+    )
+    append_changes(told, paths.log("memo"), -(2**41))
+    stream = _derived(parsed, paths, "parsed")
+    stateful.link(stream, _candidate_table(spark, sf), paths, 7 * 1440, once=True).awaitTermination()
+    queue_ = streaming.link_queue(spark, paths).select("item_hash", "completed", "attempts")
+    return queue_.join(streaming.mappings(spark, paths).select("item_hash", "catalog_id"), "item_hash", "left")
+
+
+@query
+def stream_names(spark, sf):
+    """New names of a listing stream, by keys in the state store."""
+    listing = _stream(spark, sf, "pages").selectExpr(
+        "CASE WHEN page_id % 50 = 0 THEN 'index.html' ELSE url END AS path",
+        "CASE WHEN page_id % 5 = 1 THEN 'tree' ELSE 'blob' END AS type",
+    )
+    paths = _new_paths(spark)
+    stateful.discover(listing, paths, once=True).awaitTermination()
+    return spark.read.schema(schemas.SOURCES).parquet(paths.log("names")).select("name", "completed", "attempts")
+
+
+@query
+def stream_history(spark, sf):
+    """The last history of every counter after an event stream."""
+    events = _stream(spark, sf, "events").selectExpr("cast(ts AS timestamp) AS ts", "event_type AS counter", "cast(user_id AS bigint) AS n")
+    paths = _new_paths(spark)
+    stateful.history(events, paths, once=True).awaitTermination()
+    told = spark.read.schema("counter string, as_of timestamp, points array<bigint>, total bigint, last bigint").parquet(paths.log("history"))
+    last = upsert.latest_per_key(told, ["counter"], ["as_of"])
+    return last.select("counter", _text("as_of"), F.array_join("points", ",").alias("points"), "total", "last")

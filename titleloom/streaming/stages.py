@@ -176,8 +176,13 @@ def _log_links(
         return spark.read.schema(MEMO).parquet(logged).drop("ts")
 
     results, _ = linkage.link_items(parsed, candidates, memo, prune=True, keep=keep)
+    log_results(results, parsed.select("item_hash", "season", "episode"), paths, batch_id, ts)
+
+
+def log_results(results: DataFrame, own: DataFrame, paths: Paths, batch_id: int, ts: Column) -> None:
+    """Append the mappings and queue marks of link results under the batch id. ``own``: item_hash, season, episode."""
     hit = F.col("catalog_id").isNotNull()
-    own = parsed.select("item_hash", "season", "episode")
+    own = own.select("item_hash", "season", "episode")
     found = results.where(hit).join(own, "item_hash").withColumn("ts", ts)
     append_changes(found.select(*MAPPED.fieldNames()), paths.log("mappings"), batch_id)
     # The touch costs one attempt and a failed link another one.
