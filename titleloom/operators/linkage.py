@@ -9,12 +9,14 @@ candidate position is part of every struct, so ties always fall the same way.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as V
 from titleloom.functions import matching as M
+from titleloom.session import cut_lineage
 
 # Which search a candidate came from, and what stage of the cascade reads it.
 PROVIDER_A = ["a_movie", "a_series"]
@@ -123,6 +125,11 @@ def resolve(keys: DataFrame, candidates: DataFrame, prune: bool = False) -> Data
     """
     if prune:
         candidates = candidates.join(keys.select("lookup_key"), "lookup_key", "left_semi")
+    return _with_winners(keys, _staged(candidates))
+
+
+def _staged(candidates: DataFrame) -> DataFrame:
+    """lookup_key, stage, catalog_id, content_type: what each candidate list offers at its stages, NULL ids where nothing fits."""
     title, key_year, key_hint = M.key_parts(F.col("lookup_key"))
     year, hint = F.col("_year"), F.col("hint")
     parts = (
@@ -161,7 +168,11 @@ def resolve(keys: DataFrame, candidates: DataFrame, prune: bool = False) -> Data
         _choice("u_")["id"].alias("catalog_id"),
         hint.alias("content_type"),
     )
-    staged = picked.select("lookup_key", F.inline(F.array(typed_pick, untyped_pick)))
+    return picked.select("lookup_key", F.inline(F.array(typed_pick, untyped_pick)))
+
+
+def _with_winners(keys: DataFrame, staged: DataFrame) -> DataFrame:
+    """The keys with the offer of the lowest stage."""
     won = (
         staged.where(F.col("catalog_id").isNotNull())
         .groupBy("lookup_key")
@@ -173,6 +184,34 @@ def resolve(keys: DataFrame, candidates: DataFrame, prune: bool = False) -> Data
     )
 
 
+def resolve_in_tiers(keys: DataFrame, candidates: DataFrame, seen: list[int] | None = None) -> DataFrame:
+    """The results of ``resolve``, asking one list after the other and only for keys still without a match.
+
+    Each of the four lists is read for the open keys alone: the open keys are a small stored table, so its join
+    turns into a broadcast or a run-time filter on the candidates' scan, and candidates stored by list are
+    pruned to their folder. Offers under a dropped hint come from the same scans and wait until all
+    lists were asked. Pays off where most keys end early and candidates are many; ``resolve`` reads them in one pass.
+    ``seen`` receives the number of candidates scored per list.
+    """
+    series = F.coalesce(M.key_parts(F.col("lookup_key"))[2] == "series", F.lit(False))
+    is_a = F.col("list").isin(PROVIDER_A)
+    preferred = (F.col("list") == "a_series") == series
+    tiers = [is_a & preferred, is_a & ~preferred, F.col("list") == "b_year", F.col("list") == "b_plain"]
+    open_ = cut_lineage(keys.select("lookup_key"))
+    offers = []
+    for stage, mine in enumerate(tiers):
+        here = candidates.where(mine).join(open_, "lookup_key", "left_semi")
+        counted = Observation()
+        offers.append(cut_lineage(_staged(here.observe(counted, F.count(F.lit(1)).alias("n")))))
+        if seen is not None:
+            seen.append(counted.get["n"])
+        closed = offers[-1].where((F.col("stage") == stage) & F.col("catalog_id").isNotNull())
+        open_ = cut_lineage(open_.join(closed.select("lookup_key"), "lookup_key", "left_anti"))
+        if open_.isEmpty():
+            break
+    return _with_winners(keys, reduce(DataFrame.unionByName, offers))
+
+
 def fan_out(keyed: DataFrame, resolved: DataFrame) -> DataFrame:
     """Every item gets its key's result; the hint, if any, decides the type. Misses stay as NULLs.
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from titleloom import fixed_values as V
 from titleloom.session import cut_lineage
@@ -90,3 +91,51 @@ def page_after(
             same = same & F.col(k).eqNullSafe(F.lit(last[k]))
         table = table.where(behind)
     return page(table, keys, 1, per_page, order)
+
+
+def store_order(
+    table: DataFrame, keys: list[str], path: str, order: str = "last_processed", partition_rows: int = 100_000
+) -> None:
+    """Write the rows range-partitioned in page order, and how many rows lie before each partition.
+
+    Partitions hold about ``partition_rows`` rows whatever the table's size. ``keys`` must tell rows apart.
+    """
+    parts = max(1, -(-table.count() // partition_rows))
+    dealt = table.repartitionByRange(parts, *_wanted(keys, order)).withColumn("_part", F.spark_partition_id())
+    dealt.write.mode("errorifexists").partitionBy("_part").parquet(f"{path}/rows")
+    rows = _stored(table.sparkSession, path, table.schema).groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    behind = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    rows.withColumn("_before", F.coalesce(F.sum("_rows").over(behind), F.lit(0))).write.parquet(f"{path}/counts")
+
+
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType([*schema.fields, StructField("_part", IntegerType())])).parquet(f"{path}/rows")
+
+
+def _wanted(keys: list[str], order: str) -> list[Column]:
+    return [F.col(order).desc_nulls_last(), *[F.col(k).asc_nulls_first() for k in keys]]
+
+
+def reached(spark: SparkSession, path: str, number: int | None, per_page: int | None) -> tuple[list[int], int]:
+    """(partitions of a stored order that hold rows of the page, rows before the first of them)."""
+    number, size = clamp(number, per_page)
+    skip = (number - 1) * size
+    counts = spark.read.parquet(f"{path}/counts")
+    reach = counts.where((F.col("_before") < skip + size) & (F.col("_before") + F.col("_rows") > skip)).collect()
+    return sorted(r["_part"] for r in reach), min((r["_before"] for r in reach), default=0)
+
+
+def stored_page(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    keys: list[str],
+    number: int | None = None,
+    per_page: int | None = None,
+    order: str = "last_processed",
+) -> DataFrame:
+    """The rows of ``page`` from a stored order: only the partitions that hold the page are read, at any depth."""
+    parts, before = reached(spark, path, number, per_page)
+    number, size = clamp(number, per_page)
+    rows = _stored(spark, path, schema).where(F.col("_part").isin(parts)).drop("_part")
+    return rows.orderBy(*_wanted(keys, order)).offset((number - 1) * size - before).limit(size)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from titleloom import fixed_values as V
 from titleloom.functions import predicates as P
 from titleloom.functions.names import with_file_episode
 from titleloom.operators.queue import pending
+from titleloom.session import cut_lineage
 
 _OUTPUT = ["item_hash", "catalog_id", "output_type", "size_bytes", "file_index", "season", "episode"]
 
@@ -145,3 +147,20 @@ def outputs_with_names(outputs: DataFrame, items: DataFrame) -> DataFrame:
     return outputs.join(items.select("item_hash", "filename"), "item_hash", "left").withColumn(
         "filename", F.coalesce(F.col("filename"), F.lit(""))
     )
+
+
+def first_nonempty_in_tiers(keys: DataFrame, lists: Sequence[DataFrame], key: str = "key", seen: list[int] | None = None) -> DataFrame:
+    """Per key of ``keys``, the whole list of the first source that has any file, with the source's ``rank``.
+
+    A source is asked only for keys that all before it lacked. The open keys are a stored table, so that a
+    large source is filtered while it is read. ``seen`` receives the files read per source.
+    """
+    open_, found = cut_lineage(keys.select(key).distinct()), []
+    for rank, files in enumerate(lists):
+        found.append(cut_lineage(files.join(open_, key, "left_semi").withColumn("rank", F.lit(rank))))
+        if seen is not None:
+            seen.append(found[-1].count())
+        open_ = cut_lineage(open_.join(found[-1].select(key).distinct(), key, "left_anti"))
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)

@@ -561,3 +561,21 @@ ORACLES |= {
         _POINTS, _CLOSED,
     ),
 }
+
+
+# --- tables that cost what a batch or page touches ---------------------------------
+
+_DONE = "completed OR coalesce(c.good, false)"
+_TRIES = "CASE WHEN completed THEN attempts ELSE 0 END + CASE WHEN c.name IS NULL THEN 0 WHEN c.bad THEN 2 ELSE 1 END"
+ORACLES |= {
+    "link_tiers": ORACLES["link_cascade"],
+    "first_nonempty_tiers": ORACLES["first_nonempty_source"],
+    "upsert_touched": ORACLES["upsert_nullable_key"],
+    "stored_page": ORACLES["deep_page"],
+    "maintained_depths": _sql(
+        f"""SELECT 'sources' AS stage, count(*) FILTER (done) AS completed, count(*) FILTER (NOT done AND tries < 2) AS unresolved, count(*) FILTER (NOT done AND tries >= 2) AS exhausted
+        FROM (SELECT {_DONE} AS done, {_TRIES} AS tries FROM src LEFT JOIN c ON src.name = c.name)""",
+        _CLAIMED,
+        "c AS (SELECT name, bool_or(l_quantity > 25) AS good, bool_or(l_quantity <= 5) AS bad FROM cl GROUP BY name)",
+    ),
+}

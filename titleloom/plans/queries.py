@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from titleloom import schemas
 from titleloom.functions import display, matching as M, names as N, predicates as P
-from titleloom.operators import catalog, counters, linkage, pages, queue, routing, upsert
+from titleloom.operators import catalog, counters, depths, linkage, pages, queue, routing, upsert
 from titleloom.plans import inputs as I, stages
 from titleloom.plans.encode import encode_texts
 from titleloom.session import checkpoint_root
-from titleloom.sources import containers, documents, file_lists
+from titleloom.sources import buckets, containers, documents, file_lists
 from titleloom.sources.listing import document_names
 from titleloom.sources.tables import append_changes, read_changes, read_table, write_snapshot
 from titleloom.streaming import stages as streaming, state as stateful
@@ -949,3 +949,62 @@ def stream_history(spark, sf):
     told = spark.read.schema("counter string, as_of timestamp, points array<bigint>, total bigint, last bigint").parquet(paths.log("history"))
     last = upsert.latest_per_key(told, ["counter"], ["as_of"])
     return last.select("counter", _text("as_of"), F.array_join("points", ",").alias("points"), "total", "last")
+
+
+# --- tables that cost what a batch or page touches ---------------------------------
+
+
+@query
+def link_tiers(spark, sf):
+    return linkage.resolve_in_tiers(_keys(spark, sf), _candidate_table(spark, sf)).select("lookup_key", "stage", "catalog_id", "content_type")
+
+
+@query
+def first_nonempty_tiers(spark, sf):
+    files = I.files(spark, sf)
+    lists = [files.where(F.col("rank") == r).drop("rank") for r in range(3)]
+    return routing.first_nonempty_in_tiers(files.select("key"), lists)
+
+
+@query
+def upsert_touched(spark, sf):
+    """Outputs upserted in place, one batch twice, as after a crash."""
+    path = f"{_new_paths(spark).root}/outputs"
+    buckets.create(_outputs(spark, sf).where("cast(item_hash AS bigint) % 4 > 0"), path, "item_hash", 64)
+    fold = lambda target, changes: upsert.upsert_outputs(target, changes, I.AS_OF)
+    for _ in range(2):
+        buckets.apply(_new_outputs(spark, sf), path, schemas.OUTPUTS, "item_hash", 64, 0, fold)
+    return _state(buckets.read(spark, path, schemas.OUTPUTS))
+
+
+@query
+def stored_page(spark, sf):
+    path = f"{_new_paths(spark).root}/order"
+    pages.store_order(I.sources(spark, sf), ["name"], path, partition_rows=1000)
+    return _state(pages.stored_page(spark, path, schemas.SOURCES, ["name"], 6, 200))
+
+
+@query
+def maintained_depths(spark, sf):
+    """Source counts after inserts, a reset and marks, the marks applied twice; no count reads the table."""
+    paths = _new_paths(spark)
+    path, log, limit, n = f"{paths.root}/sources", paths.log("depths"), 2, 16
+    old = F.length("name") % 2 == 0
+    first = I.sources(spark, sf).where(old)
+    buckets.create(first, path, "name", n)
+    append_changes(depths.depth_changes(None, first, "sources", limit), log, 0)
+
+    def batch(number, changes, fold):
+        report = lambda before, after: append_changes(depths.depth_changes(before, after, "sources", limit), log, number)
+        buckets.apply(changes, path, schemas.SOURCES, "name", n, number, fold, report)
+
+    batch(1, I.sources(spark, sf).where(~old), lambda target, new: target.unionByName(new))
+    batch(2, buckets.read(spark, path, schemas.SOURCES).select("name"), lambda target, _: queue.reset_attempts(target, "sources", I.AS_OF))
+    claimed = _claimed(spark, sf)
+
+    def marked(target, marks):
+        return queue.apply_marks(target, "name", I.AS_OF, touched=marks, completed=marks.where("l_quantity > 25"), failed=marks.where("l_quantity <= 5"))
+
+    for _ in range(2):
+        batch(3, claimed, marked)
+    return depths.depths(read_changes(spark, log, depths.DEPTH_LOG))
