@@ -87,6 +87,39 @@ def test_empty_tables(spark):
     assert D.clean_documents(df, bench.limit(0)).count() == len(docs)
 
 
+def test_only_chosen_runs_are_joined(spark, monkeypatch):
+    """Without winnowing every run of words would be joined: far more rows, the same hits."""
+    docs, items = made(5, 300)
+    df, bench = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS), spark.createDataFrame([(*i, "x") for i in items], ITEMS)
+
+    def joined():
+        found = D.benchmark_prints(bench, 10, 5)
+        scanned = D.scan(df, found, 10, 5, 1 << 20).filter("print is not null and need = 10")
+        return found.filter("need = 10").count(), scanned.count()
+
+    few = joined()
+
+    def every_run(w, window, gram):
+        hashes, whole = D.runs(w, gram)
+        _, inside = D.runs(w, window)
+        first = D.np.flatnonzero(inside)
+        place = D.np.unique(first[:, None] + D.np.arange(window - gram + 1)) if len(first) else first
+        return place, place, hashes[place]
+
+    monkeypatch.setattr(D, "chosen", every_run)
+    many = joined()
+    assert all(0 < a < 0.6 * b for a, b in zip(few, many))
+    assert sorted(map(tuple, D.contamination(df, bench).collect()), key=str) == slow(docs, items)
+
+
+def test_a_passage_repeated_in_one_long_text(spark):
+    docs, items = made(6, 200)
+    passage = next(t for _, t in items if t and len(t.split()) > 20)
+    docs = [(1, " ".join([passage, "gap"] * 200)), (2, "clean words only")]
+    df, bench = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS), spark.createDataFrame([(*i, "x") for i in items], ITEMS)
+    assert sorted(map(tuple, D.contamination(df, bench).collect()), key=str) == slow(docs, items)
+
+
 def test_winnowing_guarantee():
     """Two texts with a shared span of a window choose the same fingerprint in it."""
     rng = random.Random(9)

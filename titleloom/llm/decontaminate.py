@@ -2,17 +2,20 @@
 
 Words are hashed, runs of ``gram`` words get a hash of their own, and of every
 ``window - gram + 1`` consecutive runs (together one window of ``window`` words) the smallest
-hash, rightmost on ties, is the window's fingerprint. Equal windows choose equal
-fingerprints at equal places, so every shared span of ``window`` words or more is
-found. A document fingerprint that the benchmark may hold is extended to the windows
-that chose it; these are joined with the benchmark's windows on hash and text, so what
-comes out is exact. Items shorter than a window count as one window of their own length.
-
-What tasks carry to tell which fingerprints may match is a Bloom filter of fixed
-size, whatever the benchmark's size; it only decides what takes part in the join.
-Everything after the scan of the texts moves hits only. Exact copies of a
-text are reduced to one before the join. Benchmark windows that occur in the same
-set of items form one class, so a passage shared by many items is not multiplied out.
+hash, rightmost on ties, is the window's fingerprint. Only these runs, about one in
+three, are kept of a text; each is kept with the words that a window around it can hold. Equal windows
+choose equal runs at equal places, so every shared span of ``window`` words or more has a
+fingerprint on both sides. Fingerprints of documents and benchmark are joined by hash; where the
+runs' words are equal too, the hit is extended to the left and to the right as far as the words agree.
+What is as long as a window then is a hit, word for word. Items shorter than a window
+count as one window of their own length, which is its own fingerprint.
+
+Tasks carry a Bloom filter of the benchmark's fingerprints, with 16 bits or more for each up to FILTER_BITS.
+It decides only what takes part in the join: with more than 60 million fingerprints it
+lets more of a text's fingerprints pass, and the join still drops them.
+Everything after the scan of the texts moves hits only, one row each. Exact copies of a
+text are reduced to one before the join. Benchmark fingerprints with the same words around them form one
+row with the set of their items, and equal sets one class, so a passage shared by many items is not multiplied out.
 
 Defined cases: NULL text has no words; a NULL item id counts as the empty id; repeated
 benchmark rows count once; repeated documents each get a row; with an empty benchmark
@@ -21,19 +24,20 @@ nothing is hit; an empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titleloom.llm.common import packed, slices, store, text_of
 
 WINDOW = 10
 GRAM = 5
-FILTER_BITS = 1 << 23  # per filter; a fixed size
+FILTER_BITS = 1 << 30  # at most
 
 _CODES = np.arange(256)
 _UPPER = (_CODES >= 65) & (_CODES <= 90)
@@ -51,10 +55,9 @@ class Words(NamedTuple):
     hash: np.ndarray
     text: np.ndarray
 
-    def span(self, word: int, length: int) -> str:
-        """The words from ``word`` on, joined by spaces."""
-        parts = [self.data[s:e].tobytes() for s, e in zip(self.start[word : word + length], self.end[word : word + length])]
-        return b" ".join(parts).decode("utf-8", "replace")
+    def held(self, first: int, end: int) -> list[str]:
+        """The words from ``first`` up to ``end``."""
+        return [self.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(self.start[first:end], self.end[first:end])]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -132,46 +135,56 @@ def maybe(hashes: np.ndarray, bitmap: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def windows_of(words: Words, window: int, gram: int, short: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, first word, hash, fingerprint) of all windows; short ones are their own fingerprint."""
-    first, _, prints = chosen(words, window, gram)
-    hashes, _ = runs(words, window)
-    yield window, first, hashes[first], prints
-    for length in short:
-        hashes, whole = runs(words, length)
-        first = np.flatnonzero(whole)
-        yield length, first, hashes[first], hashes[first]
+#: A fingerprint: its hash, words and place, the words around it, and the length a hit needs.
+PRINT_SCHEMA = "print bigint, place int, need int, run array<string>, left array<string>, right array<string>"
+_PRINT = ["print", "place", "need", "run", "left", "right"]
+_LIST = pa.list_(pa.string())
 
 
-WINDOW_SCHEMA = "item string, length int, hash bigint, fingerprint bigint, text string"
+def prints_of(words: Words, window: int, gram: int, short: list[int], wanted: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, tuple]]:
+    """(text, fingerprint) for all fingerprints whose hash is ``wanted``. The left side is given backwards."""
+    count = np.bincount(words.text, minlength=int(words.text.max(initial=-1)) + 1)
+    end = np.cumsum(count)
+    around = window - gram
+    _, place, hashes = chosen(words, window, gram)
+    place, first = np.unique(place, return_index=True)
+    for length, at, found, near in [(gram, place, hashes[first], around), *((n, *_short(words, n), 0) for n in short)]:
+        good = np.flatnonzero(wanted(found))
+        for w, h in zip(at[good].tolist(), found[good].view(np.int64).tolist()):
+            text = int(words.text[w])
+            begin, stop = int(end[text] - count[text]), int(end[text])
+            left = words.held(max(begin, w - near), w)[::-1]
+            right = words.held(w + length, min(stop, w + length + near))
+            yield text, (h, w - begin, window if near else length, words.held(w, w + length), left, right)
 
 
-def benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
-    """Windows of all items, repeated ones too."""
+def _short(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    hashes, whole = runs(words, length)
+    first = np.flatnonzero(whole)
+    return first, hashes[first]
+
+
+def _columns(found: list[tuple]) -> list[pa.Array]:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), _LIST, _LIST, _LIST]
+    return [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
+
+
+def benchmark_prints(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """item and fingerprint, repeated ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 words = split(part.column("text"))
                 count = np.bincount(words.text, minlength=part.num_rows)
-                items = part.column("item")
-                for length, first, hashes, prints in windows_of(words, window, gram, sorted(set(count[(count > 0) & (count < window)].tolist()))):
-                    if length < window:  # only items of exactly this many words
-                        fit = count[words.text[first]] == length
-                        first, hashes, prints = first[fit], hashes[fit], prints[fit]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            items.take(pa.array(words.text[first])),
-                            pa.array(np.full(len(first), length, np.int32)),
-                            pa.array(hashes.view(np.int64)),
-                            pa.array(prints.view(np.int64)),
-                            pa.array([words.span(w, length) for w in first.tolist()], pa.string()),
-                        ],
-                        ["item", "length", "hash", "fingerprint", "text"],
-                    )
+                short = sorted(set(count[(count > 0) & (count < window)].tolist()))
+                every = lambda hashes: np.ones(len(hashes), bool)
+                found = [(t, f) for t, f in prints_of(words, window, gram, short, every) if f[2] == window or f[2] == count[t]]
+                items = part.column("item").take(pa.array([t for t, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([items, *_columns([f for _, f in found])], ["item", *_PRINT])
 
     slim = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_of().alias("text"))
-    return slim.mapInArrow(run, WINDOW_SCHEMA)
+    return slim.mapInArrow(run, f"item string, {PRINT_SCHEMA}")
 
 
 def bitmap_of(hashes: DataFrame, column: str, size: int) -> np.ndarray:
@@ -195,56 +208,68 @@ def text_key() -> Column:
     return F.md5(text_of())
 
 
-def hits(
-    spark: SparkSession, docs: DataFrame, found: DataFrame, window: int, gram: int, filter_bits: int
-) -> DataFrame:
-    """doc_id, key (of the text, NULL without spans), n_words, spans (windows that may match)."""
-    short = sorted(r[0] for r in found.filter(F.col("length") < window).select("length").distinct().collect())  # under 10 rows
-    prints = spark.sparkContext.broadcast(bitmap_of(found, "fingerprint", filter_bits))
-    whole = spark.sparkContext.broadcast(bitmap_of(found, "hash", filter_bits))
-    span = pa.list_(pa.struct([("place", pa.int32()), ("length", pa.int32()), ("hash", pa.int64()), ("text", pa.string())]))
+def filter_size(n: int, most: int) -> int:
+    return min(most, max(1 << 16, 1 << (16 * n).bit_length()))
+
+
+def scan(docs: DataFrame, found: DataFrame, window: int, gram: int, filter_bits: int) -> DataFrame:
+    """Two kinds of rows: doc_id, key, n_words per document (print NULL), and key with a fingerprint the benchmark may hold."""
+    spark = docs.sparkSession
+    short = sorted(r[0] for r in found.filter(F.col("need") < window).select("need").distinct().collect())  # under 10 rows
+    size = filter_size(found.select("print").distinct().count(), filter_bits)
+    prints = spark.sparkContext.broadcast(bitmap_of(found, "print", size))
+    slim = docs.select("doc_id", text_key().alias("key"), text_of().alias("text"))
+    kind = slim.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "key", "n_words", *_PRINT]
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 words = split(part.column("text"))
-                count = np.bincount(words.text, minlength=part.num_rows)
-                begin = np.cumsum(count) - count
-                spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                for length, first, hashes, fingerprints in windows_of(words, window, gram, short):
-                    near = np.flatnonzero(maybe(fingerprints, prints.value, filter_bits))
-                    near = near[maybe(hashes[near], whole.value, filter_bits)]
-                    for w, h in zip(first[near].tolist(), hashes[near].view(np.int64).tolist()):
-                        owner = words.text[w]
-                        spans[owner].append({"place": w - begin[owner], "length": length, "hash": h, "text": words.span(w, length)})
-                keys = pa.array([k if s else None for k, s in zip(part.column("key").to_pylist(), spans)], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), keys, pa.array(count.astype(np.int64)), pa.array(spans, span)],
-                    ["doc_id", "key", "n_words", "spans"],
-                )
+                count = pa.array(np.bincount(words.text, minlength=part.num_rows).astype(np.int64))
+                empty = _columns([(None,) * len(_PRINT)] * part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), count, *empty], names)
+                hit = prints_of(words, window, gram, short, lambda hashes: maybe(hashes, prints.value, size))
+                while held := list(itertools.islice(hit, 1 << 14)):
+                    keys = part.column("key").take(pa.array([t for t, _ in held], pa.int64()))
+                    none = [pa.nulls(len(held), part.column("doc_id").type), keys, pa.nulls(len(held), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*none, *_columns([f for _, f in held])], names)
 
-    slim = docs.select("doc_id", text_key().alias("key"), text_of().alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, key string, n_words bigint, spans array<struct<place:int,length:int,hash:bigint,text:string>>")
+    return slim.mapInArrow(run, f"doc_id {kind.simpleString()}, key string, n_words bigint, {PRINT_SCHEMA}")
+
+
+def extended(scanned: DataFrame, held: DataFrame) -> DataFrame:
+    """key, place, length and the columns of ``held`` for every hit: fingerprints joined and grown word by word.
+
+    ``held`` has one row per fingerprint and words around it. Exact copies of a text bring each fingerprint once.
+    """
+    mine = scanned.filter("print IS NOT NULL").dropDuplicates(["key", "place", "need"]).select("key", *_PRINT)
+    theirs = held.withColumnsRenamed({c: f"its_{c}" for c in _PRINT if c != "place"})
+    same = (F.col("print") == F.col("its_print")) & (F.col("need") == F.col("its_need")) & (F.col("run") == F.col("its_run"))
+
+    def agreeing(side: str) -> Column:
+        differ = F.array_position(F.zip_with(side, f"its_{side}", lambda x, y: x.eqNullSafe(y)), False)
+        return F.when(differ == 0, F.size(side)).otherwise(differ - 1).cast("int")
+
+    met = mine.join(theirs, same).withColumns({"before": agreeing("left"), "behind": agreeing("right")})
+    met = met.withColumn("length", F.col("before") + F.size("run") + F.col("behind")).filter("length >= need")
+    return met.select("key", (F.col("place") - F.col("before")).alias("place"), "length", *[c for c in held.columns if c not in _PRINT])
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; a row per document."""
-    spark = docs.sparkSession
-    found = store(benchmark_windows(benchmark, window, gram), "bench-windows")
-    scanned = store(hits(spark, docs, found, window, gram, filter_bits), "decontaminate-hits")
+    found = store(benchmark_prints(benchmark, window, gram), "bench-prints")
+    scanned = store(scan(docs, found, window, gram, filter_bits), "decontaminate-scan")
 
-    # A class of windows: those with the same set of items, known by order-free hashes of it.
-    owned = found.select("hash", "text", "item").distinct()
+    # A class of fingerprints: those with the same set of items, known by order-free hashes of it.
+    words = ["print", "need", "run", "left", "right"]
+    owned = found.select(*words, "item").distinct()
     marks = [F.bit_xor(F.xxhash64("item")), F.bit_xor(F.xxhash64(F.lit(7), "item")), F.count("*")]
-    kinds = store(owned.groupBy("hash", "text").agg(F.struct(*[m.alias(f"m{i}") for i, m in enumerate(marks)]).alias("kind")), "bench-kinds")
-    items = store(owned.join(kinds, ["hash", "text"]).select("kind", "item").distinct(), "bench-items")
-
-    spans = scanned.filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
-    spans = spans.select("key", F.inline("spans"))
-    matched = store(spans.join(kinds, ["hash", "text"]).select("key", "place", "length", "kind"), "decontaminate-matched")
+    kinds = store(owned.groupBy(*words).agg(F.struct(*[m.alias(f"m{i}") for i, m in enumerate(marks)]).alias("kind")), "bench-kinds")
+    items = store(owned.join(kinds, words).select("kind", "item").distinct(), "bench-items")
+    matched = store(extended(scanned, kinds).distinct(), "decontaminate-matched")
 
     ordered = Window.partitionBy("key").orderBy("place", "length")
     end = F.col("place") + F.col("length")
@@ -255,11 +280,10 @@ def contamination(
     named = named.groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
     per_text = store(covered.join(named, "key"), "decontaminate-texts")
 
-    hit = scanned.filter("key IS NOT NULL").select("doc_id", "key", "n_words").join(per_text, "key", "left")
-    clean = scanned.filter("key IS NULL").select("doc_id", "n_words")
-    hit = hit.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"))
-    clean = clean.select("*", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"))
-    both = hit.unionByName(clean)
+    rows = scanned.filter("print IS NULL").select("doc_id", "key", "n_words")
+    both = rows.join(per_text, "key", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.lit("")).alias("items")
+    )
     return both.select(
         "doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.col("n_items").cast("long").alias("n_items"),
         F.sha2("items", 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
@@ -268,11 +292,9 @@ def contamination(
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The documents in which no benchmark window occurs, all columns kept."""
-    spark = docs.sparkSession
-    found = store(benchmark_windows(benchmark, window, gram), "bench-windows")
-    scanned = store(hits(spark, docs, found, window, gram, filter_bits).filter("key IS NOT NULL"), "decontaminate-hits")
-    held = store(found.select("hash", "text").distinct(), "bench-distinct")
-    spans = scanned.groupBy("key").agg(F.first("spans").alias("spans")).select("key", F.inline("spans"))
-    dirty = store(spans.join(held, ["hash", "text"], "left_semi").select("key").distinct(), "decontaminate-dirty")
+    found = store(benchmark_prints(benchmark, window, gram), "bench-prints")
+    scanned = store(scan(docs, found, window, gram, filter_bits).filter("print IS NOT NULL"), "decontaminate-scan")
+    held = store(found.drop("item", "place").distinct(), "bench-distinct")
+    dirty = store(extended(scanned, held).select("key").distinct(), "decontaminate-dirty")
     rows = docs.select(packed(docs).alias("row"), text_key().alias("of_text"))
     return rows.join(dirty, F.col("of_text") == F.col("key"), "left_anti").select("row.*")
