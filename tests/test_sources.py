@@ -230,3 +230,100 @@ def test_json_file_lists(spark):
     got = sorted(tuple(r) for r in file_lists.file_rows(listed).collect())
     assert got == [("a", "/z", 7, 2, 2), ("a", "d/x.mkv", 5, 0, 0), ("a", "y", 6, 0, 1)]
     assert sorted(r.key for r in file_lists.list_errors(listed).collect()) == ["c", "d"]
+
+
+def _bencode(value):
+    if isinstance(value, int):
+        return b"i%de" % value
+    if isinstance(value, (bytes, str)):
+        raw = value.encode() if isinstance(value, str) else value
+        return b"%d:%s" % (len(raw), raw)
+    if isinstance(value, dict):
+        return b"d" + b"".join(_bencode(k) + _bencode(v) for k, v in value.items()) + b"e"
+    return b"l" + b"".join(map(_bencode, value)) + b"e"
+
+
+def _slow_files(content, wrapped):
+    """What the whole value says, built at once."""
+    top, _ = containers._parse(content)
+    info = top.get(b"info") if wrapped and isinstance(top, dict) else top
+    if not isinstance(info, dict):
+        raise ValueError
+    if b"files" not in info:
+        name, size = info.get(b"name"), info.get(b"length")
+        if containers._text(name) is None or not isinstance(size, int):
+            raise ValueError
+        return [(name.decode(), size, 0)]
+    if not isinstance(info[b"files"], list):
+        raise ValueError
+    out = []
+    for i, e in enumerate(info[b"files"]):
+        if isinstance(e, dict):
+            parts = [containers._text(p) for p in e[b"path"]] if isinstance(e.get(b"path"), list) else []
+            path = "/".join(p for p in parts if p is not None)
+            if path:
+                out.append((path, e[b"length"] if isinstance(e.get(b"length"), int) else 0, i))
+    return out
+
+
+_LEAF = st.one_of(st.integers(-5, 2**63), st.sampled_from(["files", "info", "name", "length", "path", "x", b"\xff"]))
+_KEYS = st.sampled_from(["info", "files", "name", "length", "path", "other"])
+_VALUE = st.recursive(_LEAF, lambda inner: st.one_of(st.lists(inner, max_size=3), st.dictionaries(_KEYS, inner, max_size=4)), max_leaves=25)
+
+
+@settings(max_examples=400, deadline=None)
+@given(_VALUE, _KEYS, _VALUE, st.binary(max_size=3), st.integers(0, 60))
+def test_containers_read_step_by_step_as_at_once(value, key, more, tail, cut):
+    # A dictionary with a key twice, a broken end, bytes behind the value.
+    data = b"d" + _bencode(key) + _bencode(more) + _bencode("info") + _bencode(value) + _bencode(key) + _bencode(value) + b"e" + tail
+    for content in (data, data[:cut], _bencode(value), _bencode({"info": {"files": [{"path": ["a", key], "length": 3}, value]}})):
+        for wrapped in (True, False):
+            results = []
+            for read in (lambda: list(containers._files(content, wrapped)), lambda: _slow_files(content, wrapped)):
+                try:
+                    results.append(read())
+                except ValueError:
+                    results.append("broken")
+            assert results[0] == results[1]
+
+
+def test_a_container_of_many_files_needs_little_memory():
+    import tracemalloc
+
+    entry = _bencode({"length": 7, "path": ["folder", "a name of a file.mkv"]})
+    content = b"d4:infod5:filesl" + entry * 20_000 + b"eee"
+    tracemalloc.start()
+    assert sum(size for _, size, _ in containers._files(content, True)) == 140_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 17
+
+
+def test_polled_listing(spark, tmp_path):
+    """Manifests of several row groups, polls between batches, a restart."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from titleloom.sources import polled
+
+    folder = str(tmp_path / "polls")
+    (tmp_path / "polls").mkdir()
+    put = lambda name, paths: pq.write_table(pa.table({"type": ["blob"] * len(paths), "path": paths, "more": paths}), f"{folder}/{name}.parquet", row_group_size=2)
+    polled.register(spark)
+    load = lambda: spark.read.format(polled.NAME).load(folder)
+    assert load().collect() == []
+    put("2024-05-01", ["a", "b", "c", "d", "e"])
+    assert sorted(r.path for r in load().collect()) == list("abcde") and load().rdd.getNumPartitions() == 3
+
+    def run():
+        stream = spark.readStream.format(polled.NAME).option("per_batch", 1).load(folder)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted(r.path for r in spark.read.schema("path string, type string").parquet(str(tmp_path / "out")).collect())
+
+    assert run() == list("abcde")
+    put("2024-05-02", ["f"])
+    put("2024-05-03", ["g", "a"])
+    assert run() == sorted("abcdefga")
+    assert run() == sorted("abcdefga")

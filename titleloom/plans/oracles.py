@@ -579,3 +579,4 @@ ORACLES |= {
         "c AS (SELECT name, bool_or(l_quantity > 25) AS good, bool_or(l_quantity <= 5) AS bad FROM cl GROUP BY name)",
     ),
 }
+ORACLES |= {"polled_listing": ORACLES["listing_filter"], "stream_polled_listing": ORACLES["listing_filter"]}

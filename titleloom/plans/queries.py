@@ -14,7 +14,7 @@ from titleloom.operators import catalog, counters, depths, linkage, pages, queue
 from titleloom.plans import inputs as I, stages
 from titleloom.plans.encode import encode_texts
 from titleloom.session import checkpoint_root
-from titleloom.sources import buckets, containers, documents, file_lists
+from titleloom.sources import buckets, containers, documents, file_lists, polled
 from titleloom.sources.listing import document_names
 from titleloom.sources.tables import append_changes, read_changes, read_table, write_snapshot
 from titleloom.streaming import stages as streaming, state as stateful
@@ -1008,3 +1008,35 @@ def maintained_depths(spark, sf):
     for _ in range(2):
         batch(3, claimed, marked)
     return depths.depths(read_changes(spark, log, depths.DEPTH_LOG))
+
+
+# --- the polled listing -----------------------------------------------------------
+
+
+def _manifests(spark, sf):
+    """The listing's entries as manifests of several polls."""
+    folder = f"{_new_paths(spark).root}/manifests"
+    entries = I.table(spark, sf, "pages").selectExpr(
+        "CASE WHEN page_id % 50 = 0 THEN 'index.html' ELSE url END AS path",
+        "CASE WHEN page_id % 5 = 1 THEN 'tree' ELSE 'blob' END AS type",
+    )
+    entries.repartition(4).write.parquet(folder)
+    polled.register(spark)
+    return folder
+
+
+@query
+def polled_listing(spark, sf):
+    return document_names(spark.read.format(polled.NAME).load(_manifests(spark, sf)))
+
+
+@query
+def stream_polled_listing(spark, sf):
+    """The listing as a stream of polls, one manifest a batch."""
+    folder, paths = _manifests(spark, sf), _new_paths(spark)
+    entries = spark.readStream.format(polled.NAME).option("per_batch", 1).load(folder)
+    writer = document_names(entries).writeStream.format("parquet").option("path", paths.log("names"))
+    polls = writer.option("checkpointLocation", paths.checkpoint("polled")).start()
+    polls.processAllAvailable()
+    polls.stop()
+    return spark.read.schema("name string").parquet(paths.log("names"))

@@ -59,6 +59,58 @@ def _parse(data: bytes, at: int = 0) -> tuple[Any, int]:
         open_values[-1][1].append(value)
 
 
+def _places(data: bytes, wrapped: bool) -> dict[bytes, int]:
+    """Where the values of the file dictionary begin, of repeated keys the last.
+
+    Walks the whole top value and builds nothing: open lists and dictionaries are marks on a stack, so
+    memory follows the depth, not the number of values. What is not well-formed raises ValueError.
+    """
+    stack: list[list] = []  # kind, values so far, last key, whether it is the file dictionary
+    found: dict[bytes, int] | None = None
+    at = 0
+    while True:
+        head = data[at : at + 1]
+        top = stack[-1] if stack else None
+        wanted = False
+        if top and top[0] == b"d" and head != b"e":
+            if top[1] % 2 == 0:
+                if not head.isdigit():
+                    raise ValueError("bad dictionary")
+                if len(stack) <= 2:  # deeper keys are not looked at
+                    top[2] = _parse(data, at)[0]
+            elif top[3]:
+                found[top[2]] = at
+            wanted = wrapped and len(stack) == 1 and top[1] % 2 == 1 and top[2] == b"info"
+        if wanted or not (wrapped or stack):
+            wanted, found = head == b"d", {} if head == b"d" else None
+        if head in (b"l", b"d"):
+            stack.append([head, 0, None, wanted])
+            at += 1
+            continue
+        if head == b"i":
+            end = data.index(b"e", at)
+            if not _LEAST <= _number(data[at + 1 : end], True) <= _MOST:
+                raise ValueError("number out of range")
+            at = end + 1
+        elif head.isdigit():
+            colon = data.index(b":", at)
+            at = colon + 1 + _number(data[at:colon], False)
+            if at > len(data):
+                raise ValueError("text cut short")
+        elif head == b"e" and stack:
+            if top[0] == b"d" and top[1] % 2:
+                raise ValueError("bad dictionary")
+            stack.pop()
+            at += 1
+        else:
+            raise ValueError("unknown value")
+        if not stack:
+            if found is None:
+                raise ValueError("no file dictionary")
+            return found
+        stack[-1][1] += 1
+
+
 def _text(value: Any) -> str | None:
     try:
         return value.decode() if isinstance(value, bytes) else None
@@ -67,27 +119,30 @@ def _text(value: Any) -> str | None:
 
 
 def _files(content: bytes, wrapped: bool) -> Iterator[tuple[str, int, int]]:
-    """(path, size, position). Entries without a path are dropped but keep their position."""
-    top, _ = _parse(content)
-    info = top.get(b"info") if wrapped and isinstance(top, dict) else top
-    if not isinstance(info, dict):
-        raise ValueError("no file dictionary")
-    if b"files" not in info:
-        name, size = _text(info.get(b"name")), info.get(b"length")
-        if name is None or not isinstance(size, int):
+    """(path, size, position). Entries without a path are dropped but keep their position.
+
+    The container is checked as a whole first; then one entry after the other is read and given out.
+    """
+    places = _places(content, wrapped)
+    if b"files" not in places:
+        name, size = (_parse(content, places[k])[0] if k in places else None for k in (b"name", b"length"))
+        if _text(name) is None or not isinstance(size, int):
             raise ValueError("name or length missing")
-        yield name, size, 0
+        yield _text(name), size, 0
         return
-    if not isinstance(info[b"files"], list):
+    at = places[b"files"]
+    if content[at : at + 1] != b"l":
         raise ValueError("files is not a list")
-    for position, entry in enumerate(info[b"files"]):
-        if not isinstance(entry, dict):
-            continue
-        size, parts = entry.get(b"length"), entry.get(b"path")
-        texts = [_text(p) for p in parts] if isinstance(parts, list) else []
-        path = "/".join(t for t in texts if t is not None)
-        if path:
-            yield path, size if isinstance(size, int) else 0, position
+    at, position = at + 1, 0
+    while content[at : at + 1] != b"e":
+        entry, at = _parse(content, at)
+        if isinstance(entry, dict):
+            size, parts = entry.get(b"length"), entry.get(b"path")
+            texts = [_text(p) for p in parts] if isinstance(parts, list) else []
+            path = "/".join(t for t in texts if t is not None)
+            if path:
+                yield path, size if isinstance(size, int) else 0, position
+        position += 1
 
 
 def container_files(containers: DataFrame, wrapped: bool = True) -> DataFrame:
