@@ -85,6 +85,7 @@ def test_document_shapes(spark):
         '{"title":null,"list":[]}': (None, []),
         "[]": (None, []),
         '{"list":[%s],"extra":{"a":1}}' % E1: (None, [("f", "h", 1)]),
+        r'{"list":[{"filename":"\ud83c\udfac \\ud800","hash":"h","size":1}]}': (None, [("🎬 \\ud800", "h", 1)]),
         '{"list":[{"filename":"f","hash":"h","size":9223372036854775807}]}': (None, [("f", "h", 2**63 - 1)]),
     }
     for (title, rows), got in zip(good.values(), entries(spark, list(good))):
@@ -113,6 +114,13 @@ def test_broken_documents_fail_as_a_whole(spark):
         '{"list":[]},"more":{"a":1',
         '{"list":[]},"more":1',
         "[%s" % E1,
+        "[%s],7" % E1,
+        '{"list":[]},{"list":[]}',
+        '{"list":[],"x":NaN}',
+        "{'list':[]}",
+        '{"list":[{"filename":"\\ud800","hash":"h","size":1}]}',
+        '{"list":[{"filename":"\\udfac","hash":"h","size":1}]}',
+        "null",
         "nonsense",
         '"text"',
         "",

@@ -95,7 +95,8 @@ def _queue() -> list[str]:
 
 
 def _order_rows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", *columns)
+    """The narrow base columns, spread by key: a table of one row group would feed a single task with all that is derived."""
+    return table(spark, sf, "orders").select("o_orderkey", *columns).repartition("o_orderkey")
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +144,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"
     )
-    return lines.selectExpr(
+    return lines.repartition("l_orderkey", "l_linenumber").selectExpr(
         f"{FILE_KEY} AS key",
         f"{FILE_PATH} AS path",
         f"{FILE_SIZE} AS size",

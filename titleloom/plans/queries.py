@@ -93,8 +93,22 @@ def json_shapes(spark, sf):
     ).select("event_id", "valid", "title", "e.filename", "e.item_hash", "e.size_bytes")
 
 
-def _documents(spark, sf):
+_ENCODED: dict[tuple[str, str], str] = {}
+
+
+def _encoded(spark, sf):
+    """Encoded documents, written once per session and folder: queries start from stored payloads."""
+    key = spark.sparkContext.applicationId, sf
     coded = encode_texts(I.json_documents(spark, sf), "json")
+    if key not in _ENCODED:
+        path = f"{checkpoint_root(spark)}/encoded-{uuid.uuid4().hex}"
+        coded.write.parquet(path)
+        _ENCODED[key] = path
+    return spark.read.schema(coded.schema).parquet(_ENCODED[key])
+
+
+def _documents(spark, sf):
+    coded = _encoded(spark, sf)
     html = F.concat(
         F.lit('<html><iframe src="https://'), F.lit(I.DOCUMENT_MARKER), "payload", F.lit('"></iframe>')
     )

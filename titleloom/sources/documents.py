@@ -1,22 +1,20 @@
 """HTML documents with an encoded fragment to item rows.
 
-Fragments are cut in Catalyst. The payload codec and the JSON parser run over
-Arrow batches inside the tasks that hold the documents; Catalyst's own JSON
-parsers limit the size of a value and would file large documents as broken.
+Fragments are cut and JSON is read in Catalyst. Only the payload codec runs over
+Arrow batches, inside the tasks that hold the documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as V
-from titleloom.sources import strict_json
+from titleloom.functions.barrier import pinned
+from titleloom.sources import strict_json as J
 from titleloom.sources.payload import decode_text
 
 
@@ -50,35 +48,12 @@ def decode_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-_ENTRY = "struct<filename:string,item_hash:string,size_bytes:bigint>"
-
-
-def _entry(value: Any) -> tuple[str, str, int] | None:
-    """One list entry, None when any field is missing, given under both names, or mistyped."""
-    if not isinstance(value, dict):
-        return None
-    sizes = [value[k] for k in V.SIZE_KEYS if k in value]
-    name, item = strict_json.text_of(value.get("filename")), strict_json.text_of(value.get("hash"))
-    size = strict_json.whole_of(sizes[0]) if len(sizes) == 1 else None
-    return None if name is None or item is None or size is None else (name, item, size)
-
-
-def read_entries(text: str | None) -> tuple[str | None, list[tuple[str, str, int]]] | None:
-    """(title, entries) of a document, None when it is invalid as a whole."""
-    try:
-        value = strict_json.parse(text)
-    except ValueError:
-        return None
-    title, rows = None, value
-    if isinstance(value, dict):
-        lists = [value[k] for k in V.LIST_KEYS if k in value]
-        title, rows = value.get("title"), lists[0] if len(lists) == 1 else None
-        if title is not None and strict_json.text_of(title) is None:
-            return None
-    if not isinstance(rows, list):
-        return None
-    entries = [_entry(r) for r in rows]
-    return None if None in entries else (title, entries)
+def _entry(value: Column) -> Column:
+    """One list entry; NULL when any field is missing, given under both names, or mistyped."""
+    name, item = (J.text_of(J.field(value, k)) for k in ("filename", "hash"))
+    size = J.whole_of(J.only(value, V.SIZE_KEYS))
+    fields = F.struct(name.alias("filename"), item.alias("item_hash"), size.alias("size_bytes"))
+    return F.when(name.isNotNull() & item.isNotNull() & size.isNotNull(), fields)
 
 
 def with_entries(df: DataFrame, json: str = "json") -> DataFrame:
@@ -86,27 +61,17 @@ def with_entries(df: DataFrame, json: str = "json") -> DataFrame:
 
     Shapes: an object with one of the list keys and an optional title, or a bare
     array. Unknown fields are ignored, an empty list is valid, a key that repeats
-    in an object is not. Documents and strings may have any length.
+    in an object is not. Everything is an expression over a variant; see ``strict_json``.
     """
-    names = df.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"title string, entries array<{_ENTRY}>"])
-    fields = [("filename", pa.string()), ("item_hash", pa.string()), ("size_bytes", pa.int64())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = [read_entries(t) for t in batch.column(json).to_pylist()]
-            rows = [e for r in read if r for e in r[1]]
-            columns = [pa.array([e[i] for e in rows], t) for i, (_, t) in enumerate(fields)]
-            counts = np.cumsum([0, *(len(r[1]) if r else 0 for r in read)])
-            lists = pa.ListArray.from_arrays(
-                pa.array(counts, pa.int32()),
-                pa.StructArray.from_arrays(columns, [n for n, _ in fields]),
-                mask=pa.array([r is None for r in read], pa.bool_()),
-            )
-            titles = pa.array([r[0] if r else None for r in read], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, titles, lists], [*names, "title", "entries"])
-
-    return df.mapInArrow(run, schema)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    parsed = df.select("*", pinned(J.parse(F.col(f"`{json}`"))).alias("_doc"))
+    doc = F.col("_doc")
+    title = J.field(doc, "title")
+    listed = F.coalesce(J.items(doc), F.when(J.is_null(title) | J.text_of(title).isNotNull(), J.items(J.only(doc, V.LIST_KEYS))))
+    read = parsed.select(*names, J.text_of(title).alias("title"), pinned(F.transform(listed, _entry)).alias("_read"))
+    whole = F.when(F.forall("_read", lambda e: e.isNotNull()), F.col("_read"))
+    read = read.select(*names, pinned(F.struct(F.when(whole.isNotNull(), F.col("title")).alias("title"), whole.alias("entries"))).alias("_whole"))
+    return read.select(*names, "_whole.title", "_whole.entries")
 
 
 def explode_entries(df: DataFrame, *keep: str) -> DataFrame:

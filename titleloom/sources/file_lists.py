@@ -2,54 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleloom.sources import strict_json
+from titleloom.functions.barrier import pinned
+from titleloom.sources import strict_json as J
 
 
-def read_files(text: str | None) -> list[tuple[str, int, int, int]] | None:
-    """(path, size, id, place in the list) of well-formed entries; None without a ``files`` array."""
-    try:
-        value = strict_json.parse(text)
-    except ValueError:
-        return None
-    listed = value.get("files") if isinstance(value, dict) else None
-    if not isinstance(listed, list):
-        return None
-    out = []
-    for place, entry in enumerate(listed):
-        if isinstance(entry, dict):
-            path, size, number = strict_json.text_of(entry.get("path")), strict_json.whole_of(entry.get("bytes")), strict_json.whole_of(entry.get("id"))
-            if path is not None and size is not None and number is not None:
-                out.append((path.removeprefix("/"), size, number, place))
-    return out
+def _file(entry: Column, place: Column) -> Column:
+    """(path, size, id, place in the list) of a well-formed entry, else NULL."""
+    path, size, number = J.text_of(J.field(entry, "path")), J.whole_of(J.field(entry, "bytes")), J.whole_of(J.field(entry, "id"))
+    plain = F.regexp_replace(path, "^/", "")
+    row = F.struct(plain.alias("path"), size.alias("size"), number.alias("id"), place.alias("pos"))
+    return F.when(path.isNotNull() & size.isNotNull() & number.isNotNull(), row)
 
 
 def with_files(df: DataFrame, json: str = "json") -> DataFrame:
     """Add ``files``: well-formed entries of ``$.files``; NULL without such an array."""
-    names = df.columns
-    fields = [("path", pa.string()), ("size", pa.int64()), ("id", pa.int64()), ("pos", pa.int32())]
-    entry = "struct<path:string,size:bigint,id:bigint,pos:int>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"files array<{entry}>"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = [read_files(t) for t in batch.column(json).to_pylist()]
-            rows = [e for r in read if r for e in r]
-            columns = [pa.array([e[i] for e in rows], t) for i, (_, t) in enumerate(fields)]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *(len(r or ()) for r in read)]), pa.int32()),
-                pa.StructArray.from_arrays(columns, [n for n, _ in fields]),
-                mask=pa.array([r is None for r in read], pa.bool_()),
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, "files"])
-
-    return df.mapInArrow(run, schema)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    listed = J.items(J.field(J.parse(F.col(f"`{json}`")), "files"))
+    files = F.filter(F.transform(listed, _file), lambda f: f.isNotNull())
+    return df.select(*names, pinned(files).alias("files"))
 
 
 def file_rows(listed: DataFrame, key: str = "key") -> DataFrame:

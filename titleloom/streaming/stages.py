@@ -5,7 +5,7 @@ exactly-once by itself. Stages that look at other tables (discover, link,
 route) use ``foreachBatch`` and append to change logs under the batch id, so a
 replayed batch replaces its own rows and nothing else.
 
-The time of a batch is a column of the stream, set before ``foreachBatch``: the offset
+A batch is stored once before its results are taken from it. Its time is a column of the stream, set before ``foreachBatch``: the offset
 log keeps it, so a replay writes the same times. Queue states are folded from
 what the stages logged, by sums and maxima; a retry is a batch pass over the
 rows that are due. Passes take negative ids, which keep clear of the stream's own, and a
@@ -28,6 +28,7 @@ from titleloom import schemas
 from titleloom.functions.names import with_parsed_name
 from titleloom.functions.predicates import at, is_pack, is_single
 from titleloom.operators import linkage, queue, routing, upsert
+from titleloom.session import cut_lineage
 from titleloom.sources import documents as D
 from titleloom.sources.listing import document_names
 from titleloom.sources.tables import append_changes, read_changes
@@ -75,6 +76,7 @@ def discover(listing: DataFrame, paths: Paths, once: bool = False) -> StreamingQ
     """Listing entries to new source names; a name already logged by an earlier batch is skipped."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = cut_lineage(batch)
         known = read_changes(batch.sparkSession, paths.log("sources"), schemas.SOURCES)
         found = document_names(batch.drop(TIME)).distinct()
         new = found.where(F.col("name").isNotNull()).join(
@@ -202,6 +204,7 @@ def link(parsed: DataFrame, candidates: DataFrame, paths: Paths, once: bool = Fa
     """Parsed rows to mappings. ``candidates`` is a static table; a batch reads the lists of its own keys."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = cut_lineage(batch)
         ready = upsert.latest_per_key(
             batch.where(F.col("title").isNotNull()).select(
                 "item_hash", "ingested_at", TIME, "title", "year", "season", "episode"
@@ -276,6 +279,13 @@ def _log_routes(
     arrived yet stays pending without one. Mappings neither branch takes get no mark.
     """
     kind, season, episode = F.col("content_type"), F.col("season"), F.col("episode")
+    # What the batch needs of items and files is read once; the bounds of its keys reach their scans, so
+    # that of sorted tables only some row groups are read.
+    mapped = cut_lineage(mapped)
+    low, high = mapped.agg(F.min("item_hash"), F.max("item_hash")).first()
+    mine = mapped.select("item_hash").distinct()
+    items = cut_lineage(items.where(F.col("item_hash").between(low, high)).join(mine, "item_hash", "left_semi"))
+    files = cut_lineage(files.where(F.col("key").between(low, high)).join(mine.withColumnRenamed("item_hash", "key"), "key", "left_semi"))
     linked = mapped.join(items.select("item_hash", "size_bytes"), "item_hash")
     single, pack = is_single(kind, season, episode), is_pack(kind, season, episode)
     packs = linked.where(pack)
@@ -304,6 +314,7 @@ def route(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = cut_lineage(batch)
         stamp = batch.agg(F.max(TIME)).first()[0]
         if stamp is not None:
             last = upsert.latest_per_key(batch.drop(TIME, "batch_id"), ["item_hash"], ["ts"]).drop("ts")
