@@ -85,3 +85,16 @@ def test_read_back(spark):
         assert r.formatted_chars == sum(len(chat.render(*m)[0]) for m in mine)
     empty = chat.read_back(chat.format_turns(chat.events_of(df.limit(0))))
     assert empty.collect() == []
+
+
+def test_the_log_holds_edits_and_regenerations(spark):
+    """Drafts, edits and discarded answers are in the log and nowhere behind the fold."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} " * 3) for c in range(20) for t in range(6)]
+    talks = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    log = chat.events_of(talks)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds[chat.EDIT] > 10 and kinds[chat.REGENERATE] > 10 and kinds[chat.OPEN] > len(rows)
+    formatted = chat.format_turns(log).collect()
+    assert not any("draft" in str(r) or "say it again" in str(r) for r in formatted)
+    back = {r.conv_id: r for r in chat.read_back(chat.format_turns(log)).collect()}
+    assert len(back) == 20 and all(r.n_turns == 6 for r in back.values())

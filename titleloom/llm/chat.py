@@ -27,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The template's control strings, and those of other public chat templates.
@@ -84,18 +84,28 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of finished conversations: each row opens a turn and delivers its text in two deltas."""
+    """A log that ends in these conversations, as a chat would have written it.
+
+    Each row opens a turn. By hash, a quarter of the turns delivers a draft that an edit replaces, a quarter a draft
+    and an answer to it that a regeneration discards; all others deliver their text in two deltas.
+    """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     rows = conversations.select("conv_id", turn.alias("turn"), role.alias("role"), text.alias("text"))
+    rows = rows.withColumn("way", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)))
     half = F.floor(F.length("text") / 2).cast("int")
-    event = lambda place, kind, text: F.struct((F.col("turn") * 3 + place).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-    parts = F.array(
-        event(0, OPEN, F.col("role")),
-        event(1, DELTA, F.substring(F.col("text"), F.lit(1), half)),
-        event(2, DELTA, F.substring(F.col("text"), half + 1, F.length("text"))),
-    )
-    return rows.select("conv_id", "turn", F.inline(parts)).select("conv_id", "seq", "turn", "kind", "text")
+    draft = F.concat(F.lit("draft: "), F.substring(F.col("text"), F.lit(1), half))
+
+    def event(place: int, kind: str, text: Column, later: int = 0) -> Column:
+        return F.struct((F.col("turn") * 10 + place).alias("seq"), (F.col("turn") + later).alias("turn"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    opened = event(0, OPEN, F.col("role"))
+    halves = [event(6, DELTA, F.substring(F.col("text"), F.lit(1), half)), event(7, DELTA, F.substring(F.col("text"), half + 1, F.length("text")))]
+    edited = [event(1, DELTA, draft), event(2, EDIT, F.col("text"))]
+    answer = [event(2, OPEN, F.lit("user"), 1), event(3, DELTA, F.lit("say it again"), 1)]
+    again = [event(1, DELTA, draft), *answer, event(4, REGENERATE, F.lit("")), *halves]
+    parts = F.when(F.col("way") == 0, F.array(opened, *edited)).when(F.col("way") == 1, F.array(opened, *again)).otherwise(F.array(opened, *halves))
+    return rows.select("conv_id", F.inline(parts)).select("conv_id", "seq", "turn", "kind", "text")
 
 
 def live(events: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ def fit(
     x[:, -1] = 1
     for i, r in enumerate(rows):
         x[i, r["on"]] = 1
-    pairs = _pairs(texts, names, terms).distinct().orderBy("gone", "come").limit(PAIRS).collect()
+    pairs = _pairs(texts, names, terms).distinct().orderBy(F.xxhash64("gone", "come"), "gone", "come").limit(PAIRS).collect()
     swaps = np.zeros((len(pairs), len(names)))
     for i, r in enumerate(pairs):
         swaps[i, r["gone"]] = 1
