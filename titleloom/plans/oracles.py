@@ -176,14 +176,14 @@ _OLD_OUT = "od AS (SELECT * FROM out WHERE cast(item_hash AS bigint) % 4 > 0)"
 _OUT_COLS = ["catalog_id", "output_type", "size_bytes", "season", "episode"]
 
 
-def _upsert_outputs(same: str) -> str:
+def _upsert_outputs(same: str, new: str = _NEW_OUT, old: str = _OLD_OUT) -> str:
     cells = ", ".join(f"CASE WHEN n.item_hash IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in _OUT_COLS)
     return _sql(
         f"""SELECT coalesce(o.item_hash, n.item_hash) AS item_hash, {cells},
           CASE WHEN o.item_hash IS NOT NULL THEN o.file_index ELSE n.file_index END AS file_index,
           {_fmt(f"CASE WHEN o.item_hash IS NOT NULL THEN o.created_at ELSE {AS_OF} END")} AS created_at
         FROM od o FULL JOIN nw n ON o.item_hash = n.item_hash AND {same}""",
-        _OUT, _NEW_OUT, _OLD_OUT,
+        _OUT, new, old,
     )
 
 
@@ -296,9 +296,11 @@ ORACLES: dict[str, str] = {
     ),
     "upsert_nullable_key": _upsert_outputs("o.file_index IS NOT DISTINCT FROM n.file_index"),
     "upsert_nulls_distinct": _upsert_outputs("o.file_index = n.file_index"),
-    "upsert_repeated_key": _sql(
-        f"""SELECT key AS item_hash, 'tt1' AS catalog_id, 'series' AS output_type, size AS size_bytes, cast(file_index % 2 AS int) AS file_index, 1 AS season,
-          cast(NULL AS int) AS episode, {_fmt(AS_OF)} AS created_at FROM fi QUALIFY row_number() OVER (PARTITION BY key, file_index % 2 ORDER BY file_index DESC, size DESC) = 1"""
+    "upsert_repeated_key": _upsert_outputs(
+        "o.file_index IS NOT DISTINCT FROM n.file_index",
+        """nw AS (SELECT key AS item_hash, 'tt1' AS catalog_id, 'series' AS output_type, size AS size_bytes, cast(file_index % 2 AS int) AS file_index, 1 AS season,
+          cast(NULL AS int) AS episode FROM fi QUALIFY row_number() OVER (PARTITION BY key, file_index % 2 ORDER BY file_index DESC, size DESC) = 1)""",
+        "od AS (SELECT * FROM out)",
     ),
     "stage_extract": _sql(
         f"""SELECT name, completed OR ({_ELIGIBLE} AND NOT bad) AS completed, attempts + cast({_ELIGIBLE} AS int) AS attempts,

@@ -237,12 +237,12 @@ def upsert_nulls_distinct(spark, sf):
 
 @query
 def upsert_repeated_key(spark, sf):
-    """Line items as outputs of a pack whose list numbers files twice: the later place wins."""
+    """Line items merged into the stored outputs, as a pack whose list numbers files twice: the later place wins."""
     rows = I.files(spark, sf).selectExpr(
         "key AS item_hash", "'tt1' AS catalog_id", "'series' AS output_type", "size AS size_bytes",
         "cast(file_index % 2 AS int) AS file_index", "1 AS season", "cast(NULL AS int) AS episode", "file_index AS pos",
     )
-    return _state(upsert.upsert_outputs(_outputs(spark, sf).limit(0), rows, I.AS_OF))
+    return _state(upsert.upsert_outputs(_outputs(spark, sf), rows, I.AS_OF))
 
 
 # --- queue -------------------------------------------------------------------
@@ -466,9 +466,9 @@ def stage_link(spark, sf):
 def stage_route(spark, sf):
     """Mapping queue after singles and packs."""
     m, i, p = _tables(spark, sf)
-    none = _outputs(spark, sf).limit(0)
-    first = stages.route_singles(m, i, p, none, I.AS_OF, _retry())["mappings"]
-    second = stages.route_packs(first, i, p, none, _won(spark, sf), I.AS_OF, _retry())["mappings"]
+    stored = _outputs(spark, sf)
+    first = stages.route_singles(m, i, p, stored, I.AS_OF, _retry())["mappings"]
+    second = stages.route_packs(first, i, p, stored, _won(spark, sf), I.AS_OF, _retry())["mappings"]
     return _state(second)
 
 
@@ -478,7 +478,7 @@ def stage_counters(spark, sf):
     m, i, p = _tables(spark, sf)
     parsed = stages.parse(i, p, I.AS_OF, _retry())["counters"]
     linked = stages.link(p, _candidate_table(spark, sf), m, I.AS_OF, retry=_retry())["counters"]
-    packed = stages.route_packs(m, i, p, _outputs(spark, sf).limit(0), _won(spark, sf), I.AS_OF, _retry())["counters"]
+    packed = stages.route_packs(m, i, p, _outputs(spark, sf), _won(spark, sf), I.AS_OF, _retry())["counters"]
     return counters.counter_totals(parsed.unionByName(linked).unionByName(packed))
 
 
