@@ -92,3 +92,16 @@ def test_random_sizes(spark):
     rng = random.Random(5)
     rows = made(9, 150, rng.choice([1, 2, 9]))
     assert run(spark, rows, every=10, block=32, queries=4, k=3) == slow(rows, 3, 10)
+
+
+def test_queries_go_to_the_blocks_they_need_only(spark):
+    """One row per needed block: as many as the bound allows, none dropped after listing."""
+    rng = random.Random(5)
+    longest = sorted((rng.uniform(0, 50) for _ in range(40)), reverse=True)
+    reach = spark.createDataFrame([(b, x) for b, x in enumerate(longest) if b % 7], "block int, longest double")
+    asked = [(i, rng.choice([0.0, rng.uniform(0, 9)]), rng.choice([float("-inf"), 0.0, rng.uniform(-5, 400)])) for i in range(200)]
+    floors = spark.createDataFrame(asked, "id bigint, length double, floor double")
+    ends = {r.id: r.end for r in topk._needed(floors, reach, 40).collect()}
+    for i, length, floor in asked:
+        needed = [b for b, x in enumerate(longest) if b % 7 and b > 0 and length * x * (1 + 1e-9) + 1e-9 >= floor]
+        assert max(needed, default=0) < ends.get(i, 1) <= max(needed, default=0) + 2 + (max(needed, default=0) + 1) % 7

@@ -39,6 +39,8 @@ K = 10
 QUERY_EVERY = 100
 BLOCK = 4096  # candidate vectors of one block
 QUERIES = 1024  # queries of one block
+SAMPLE = 100_000  # vectors the rotation is fitted on, about
+MOST_BLOCKS = 1_000_000  # block lengths carried by tasks, 8 bytes each
 
 
 def integers(embedding: Column, scale: int = SCALE) -> Column:
@@ -60,8 +62,8 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def rotation(vectors: DataFrame, width: int) -> np.ndarray:
-    """Eigenvectors of the second-moment matrix, largest first; width squared numbers reach the driver."""
+def rotation(vectors: DataFrame, width: int, parts: int = 8) -> np.ndarray:
+    """Eigenvectors of the second-moment matrix, largest first; width squared numbers reach the driver, ``parts`` times as many are summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
@@ -70,8 +72,8 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.reshape(-1))], ["at", "x"])
 
-    parts = vectors.select("v").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x"))
-    held = parts.toArrow()
+    sums = vectors.select("v").coalesce(parts).mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x"))
+    held = sums.toArrow()
     total = np.zeros(width * width)
     total[np.asarray(held.column("at"))] = np.asarray(held.column("x"))
     _, axes = np.linalg.eigh(total.reshape(width, width))
@@ -150,7 +152,8 @@ def top_k(
     taken = store(taken.withColumn("length", length), "topk-integers")
     rows, width = taken.agg(F.count("*"), F.max(F.size("v"))).first()
     width = max(1, width or 0)
-    axes = rotation(taken, width)
+    # Any rotation is exact, so a sample by hash decides it.
+    axes = rotation(taken.filter(F.pmod(F.xxhash64("id"), F.lit(-(-rows // SAMPLE) or 1)) == 0), width)
     steps = tuple(sorted({width // 8, width // 4, width // 2} - {0}))
 
     # Candidates by descending length: range partitions are cut into blocks where they lie.
@@ -170,10 +173,14 @@ def top_k(
     floors = asked.join(lows.withColumnRenamed("query_id", "id"), "id", "left")
     floors = store(floors.withColumn("floor", F.coalesce("low", nothing)).drop("low"), "topk-floors")
 
-    # A query goes on to a block only if the block's longest vector can reach the query's floor.
-    going = floors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).filter("block > 0").join(reach, "block")
-    bound = F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-9
-    going = store(going.filter(bound >= F.col("floor")).drop("longest"), "topk-going")
+    # A query goes on to a block only if the block's longest vector can reach the query's floor. Blocks
+    # descend in length, so the blocks it needs are the first ones.
+    if count <= MOST_BLOCKS:
+        going = _needed(floors, reach, count).withColumn("block", F.explode(F.sequence(F.lit(1), F.col("end") - 1))).drop("end")
+    else:
+        every = floors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).filter("block > 0").join(reach, "block")
+        going = every.filter(F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("floor")).drop("longest")
+    going = store(going.select("group", "id", "v", "length", "block", "floor"), "topk-going")
     closing = _scored(dealt, going, axes, width, k, steps)
 
     every_best = opening.unionAll(closing)
@@ -182,6 +189,28 @@ def top_k(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _needed(floors: DataFrame, reach: DataFrame, count: int) -> DataFrame:
+    """The queries that need more than the opening block, with ``end``: the number of blocks they need, from the first on."""
+    held = reach.toArrow()
+    longest = np.full(count, np.inf)
+    longest[np.asarray(held.column("block"))] = np.asarray(held.column("longest"))
+    falling = np.minimum.accumulate(longest)  # an empty block counts like the one before it
+    shared = floors.sparkSession.sparkContext.broadcast(-falling)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, floor = (np.asarray(batch.column(c)) for c in ("length", "floor"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = np.where(length > 0, (floor - 1e-9) / (length * (1 + 1e-9)), np.where(floor <= 1e-9, -np.inf, np.inf))
+            # A little more than exact: the division rounds too.
+            end = np.searchsorted(shared.value, -(least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0))), side="right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(end.astype(np.int32))], [*batch.schema.names, "end"])
+
+    slim = floors.select("id", "length", "floor")
+    ends = store(slim.mapInArrow(run, "id bigint, length double, floor double, end int").filter("end > 1").select("id", "end"), "topk-ends")
+    return floors.join(ends, "id")
+
+
 def _scored(dealt: DataFrame, asked: DataFrame, axes: np.ndarray, width: int, k: int, steps: tuple[int, ...], chunk: int = 128) -> DataFrame:
     """The k best of each block for each query sent to it; a task holds one block and one group of queries."""
     needed = asked.select(F.col("block").alias("to_block"), F.col("group").alias("to_group")).distinct()
