@@ -12,6 +12,7 @@ from tests_support import CHAIN_MARKER, chain_documents
 from titleloom import schemas
 from titleloom.functions.names import with_parsed_name
 from titleloom.operators import counters
+from titleloom.plans.queries import QUERIES
 from titleloom.sources import documents as D
 from titleloom.sources import tables
 from titleloom.streaming import stages as S
@@ -211,3 +212,16 @@ def test_binary_and_html_readers(spark, paths):
     os.remove(f"{paths.root}/files/k1.bin")
     docs = tables.read_documents(spark, f"{paths.root}/files").collect()
     assert [tuple(r) for r in docs] == [("sub/a+b c.html", "<p>\nx</p>")]
+
+
+@pytest.mark.parametrize("name", ["stream_discover", "stream_names"])
+def test_streams_read_tables_stored_as_folders(spark, tmp_path, name):
+    rows = [(i, f"p{i % 9}.html") for i in range(1, 40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    pages.repartition(3).write.parquet(f"{tmp_path}/folder/pages.parquet")
+    (tmp_path / "file").mkdir()
+    pages.toPandas().to_parquet(tmp_path / "file" / "pages.parquet")
+    want = sorted({u for i, u in rows if i % 5 != 1 and i % 50})
+    for kind in ("folder", "file"):
+        got = QUERIES[name](spark, f"{tmp_path}/{kind}").collect()
+        assert sorted(r.name for r in got) == want

@@ -771,9 +771,10 @@ def zero_filled_history(spark, sf):
 
 
 def _stream(spark, sf, name, *columns):
-    """One of the given tables as a file stream."""
+    """One of the given tables, a file or a folder of files, as a file stream."""
     schema = I.table(spark, sf, name).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # As a glob the path may be a single file, too.
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
     return stream.select(*columns) if columns else stream
 
 
