@@ -118,3 +118,29 @@ def test_history_holds_zeros_for_silence(spark, paths):
     more = [(at(90, 5), "a", 7), (at(99, 59), "a", 8)]
     put(spark, more, schema, src)
     assert run() == want(events + more, at(98))
+
+
+def test_queue_state_is_held_by_bucket(spark, paths):
+    """A call of the store for each item took the time of the whole query."""
+    at = datetime(2024, 1, 1)
+    rows = [(f"i{n}", 0, n % 7 == 0, at + timedelta(minutes=n % 3)) for n in range(300)] + [("late", 0, False, at + timedelta(hours=2))]
+    path = f"{paths.root}/many-marks"
+    spark.createDataFrame(rows, "item_hash string, cost int, done boolean, ts timestamp").coalesce(1).write.parquet(path)
+    marks = spark.readStream.schema("item_hash string, cost int, done boolean, ts timestamp").parquet(path)
+    query = state.claims(marks, paths, once=True, max_attempts=3, cooldown_minutes=20, delay="0 seconds", buckets=4)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 4 * 4  # the value, its timer and the timer's indexes
+    got = sorted((r.item_hash, r.attempts) for r in spark.read.parquet(paths.log("claims")).collect())
+    open_ = [r[0] for r in rows if not r[2]]
+    assert got == sorted([(i, 1) for i in open_] + [(i, 2) for i in open_ if i != "late"])
+
+
+def test_relink_stores_what_is_due_once(spark, paths):
+    at = datetime(2024, 1, 1)
+    tables.append_changes(spark.createDataFrame([("a", 2, False, at), ("b", 2, False, at)], schemas.MARKS), paths.log("link_marks"), 0)
+    parsed = spark.createDataFrame([("a", "Some 1", 2001, None, None), ("b", "Other 2", None, None, None)], "item_hash string, title string, year int, season int, episode int")
+    none = spark.createDataFrame([], "lookup_key string, list string, pos bigint, id string, name string, year int, qid string")
+    state.relink(parsed, none, paths, once=True, cooldown_minutes=0, delay="0 seconds").awaitTermination()
+    assert sorted(r.item_hash for r in spark.read.parquet(paths.log("due")).collect()) == ["a", "b"]
+    again = tables.read_changes(spark, paths.log("link_marks"), schemas.MARKS).where("batch_id < 0")
+    assert sorted((r.item_hash, r.cost, r.done) for r in again.collect()) == [("a", 2, False), ("b", 2, False)]

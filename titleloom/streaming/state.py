@@ -6,7 +6,8 @@
 * ``minute_history``: the last points of every counter, zeros for silence.
 
 State is kept by the RocksDB provider, one version per batch in the query's checkpoint, so a restart or a lost executor
-goes on from the last batch. The processors run once per key and batch. What a hot key brings is
+goes on from the last batch. The processors of the queue and the memo run once per bucket of keys (by hash) and batch, as each
+call costs milliseconds: a batch reads and writes the buckets it hits. ``minute_history`` has a state per counter. What a hot key brings is
 reduced in Catalyst first (marks and minutes are sums, names are dropped where they repeat).
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from titleloom import fixed_values as V
 from titleloom import schemas
 from titleloom.operators import linkage
+from titleloom.session import cut_lineage
 from titleloom.sources.listing import document_names
 from titleloom.sources.tables import append_changes
 from titleloom.streaming.counters import minute_counters
@@ -29,6 +31,7 @@ from titleloom.streaming.stages import MAPPED, MEMO, Paths, append_sink, log_res
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MINUTE = 60_000
+BUCKETS = 1 << 12  # keys of a state; fixed for the life of a checkpoint
 
 
 def _started(writer: DataStreamWriter, once: bool, clock: bool) -> StreamingQuery:
@@ -49,19 +52,30 @@ def _with_store(spark: SparkSession, start: Callable[[], StreamingQuery]) -> Str
         spark.conf.set(name, before)
 
 
+def _held(batch: DataFrame, paths: Paths, name: str, batch_id: int) -> DataFrame:
+    """The batch as a stored table; a replay writes it again."""
+    path = f"{paths.log(name)}/batch_id={int(batch_id)}"
+    batch.write.mode("overwrite").parquet(path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
+def _bucket(name: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int").alias("bucket")
+
+
 # --- the retry queue ------------------------------------------------------------
 
 _DUE = "item_hash string, attempts int, due_at bigint"
 
 
 class RetryQueue(StatefulProcessor):
-    """(completed, attempts, last_processed) per key and a timer for the end of its cooldown.
+    """(completed, attempts, last_processed) per item of a bucket, and a timer for the first cooldown to end.
 
-    Marks (cost, done, ts) raise the attempts, complete the key and restart its cooldown. A key
-    without attempts is due at once; any other open one when its timer runs out. What is due is claimed:
+    Marks (cost, done, ts) raise the attempts, complete the item and restart its cooldown. An item
+    without attempts is due at once; any other open one when its cooldown is over. What is due is claimed:
     the claim costs ``claim_cost`` attempts (0 where the work's own marks count the touch) and
     starts the cooldown anew, so work that never reports is handed out again.
-    A completed or exhausted key has no timer.
+    A completed or exhausted item is never due. A bucket costs a few calls of the store, whatever it holds.
     """
 
     def __init__(self, max_attempts: int, cooldown_minutes: int, claim_cost: int, event_time: bool) -> None:
@@ -69,36 +83,51 @@ class RetryQueue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.queue = handle.getValueState("queue", "completed boolean, attempts int, last bigint")
-
-    def _claim(self, key: Any, attempts: int, due: int, now: int) -> Row:
-        attempts += self.cost
-        self.queue.update((False, attempts, now))
-        if attempts < self.limit:
-            self.handle.registerTimer(now + self.cooldown)
-        return Row(item_hash=key[0], attempts=attempts, due_at=due)
+        self.queue = handle.getValueState("queue", "items array<string>, completed array<boolean>, attempts array<int>, last array<bigint>, timer bigint")
+
+    def _read(self) -> tuple[dict[str, list], int | None]:
+        held = self.queue.get()
+        return ({i: list(v) for i, *v in zip(*held[:4])}, held[4]) if held else ({}, None)
+
+    def _keep(self, items: dict[str, list], timer: int | None) -> None:
+        """Store the bucket; ``timer``: the one that is set."""
+        ends = [last + self.cooldown for done, attempts, last in items.values() if not done and attempts < self.limit]
+        first = min(ends, default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        done, attempts, last = map(list, zip(*items.values()))
+        self.queue.update((list(items), done, attempts, last, first))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        done, attempts, last = self.queue.get() if self.queue.exists() else (False, 0, 0)
+        items, timer = self._read()
+        touched = {}
         for r in rows:
-            done, attempts, last = done or r.done, attempts + r.cost, max(last, r.at)
-        self.queue.update((done, attempts, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if done or attempts >= self.limit:
-            return
-        if attempts == 0:
-            now = last if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-            yield self._claim(key, attempts, now, now)
-        else:
-            self.handle.registerTimer(last + self.cooldown)
+            own = touched[r.item_hash] = items.setdefault(r.item_hash, [False, 0, 0])
+            own[:] = own[0] or r.done, own[1] + r.cost, max(own[2], r.at)
+        claimed = []
+        for item, own in touched.items():
+            if not own[0] and own[1] == 0 < self.limit:
+                own[1:] = self.cost, own[2] if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+                claimed.append(Row(item_hash=item, attempts=own[1], due_at=own[2]))
+        self._keep(items, timer)
+        yield from claimed
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        done, attempts, _ = self.queue.get()
-        due = expiredTimerInfo.getExpiryTimeInMs()
+        items, timer = self._read()
         now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-        if not done and attempts < self.limit:
-            yield self._claim(key, attempts, due, max(now, due))
+        now = max(now, expiredTimerInfo.getExpiryTimeInMs())
+        claimed = []
+        for item, own in items.items():
+            done, attempts, last = own
+            if not done and attempts < self.limit and last + self.cooldown <= now:
+                own[1:] = attempts + self.cost, now
+                claimed.append(Row(item_hash=item, attempts=own[1], due_at=last + self.cooldown))
+        # The store drops the timer that ran out by itself.
+        self._keep(items, None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
+        yield from claimed
 
     def close(self) -> None:
         pass
@@ -110,18 +139,19 @@ def due_items(
     cooldown_minutes: int = V.COOLDOWN_MINUTES,
     claim_cost: int = 1,
     delay: str | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """A stream of marks (item_hash, cost, done, ts) to a stream of claims (item_hash, attempts, due_at).
 
     A new key enters with a mark of cost 0. With ``delay`` time is the marks' own (late by at most the delay),
     else the clock's; timers then also run out while no marks arrive.
     """
-    slim = marks.select("item_hash", "cost", "done", "ts", F.unix_millis("ts").alias("at"))
+    slim = marks.select(_bucket("item_hash", buckets), "item_hash", "cost", "done", "ts", F.unix_millis("ts").alias("at"))
     if delay is not None:
         slim = slim.withWatermark("ts", delay)
     processor = RetryQueue(max_attempts, cooldown_minutes, claim_cost, delay is not None)
     mode = "ProcessingTime" if delay is None else "EventTime"
-    due = slim.groupBy("item_hash").transformWithState(processor, _DUE, "append", mode)
+    due = slim.groupBy("bucket").transformWithState(processor, _DUE, "append", mode)
     return due.withColumn("due_at", F.timestamp_millis("due_at"))
 
 
@@ -143,9 +173,11 @@ def relink(parsed: DataFrame, candidates: DataFrame, paths: Paths, once: bool =
     timed = due_items(marks, claim_cost=0, **queue).withColumn("_now", F.current_timestamp())
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stamp = batch.agg(F.max("_now")).first()[0]
+        # The state's answers are stored once: a second reading would run the queue again.
+        due = _held(batch, paths, "due", batch_id)
+        stamp = due.agg(F.max("_now")).first()[0]
         if stamp is not None:
-            again = parsed.join(batch.select("item_hash").distinct(), "item_hash", "left_semi")
+            again = cut_lineage(parsed.join(due.select("item_hash").distinct(), "item_hash", "left_semi"))
             keys, keyed = linkage.keys_of(again)
             found = _looked_up(keys, candidates, paths, -1 - batch_id, F.lit(stamp))
             log_results(linkage.fan_out(keyed, found), again, paths, -1 - batch_id, F.lit(stamp))
@@ -160,35 +192,45 @@ _ASKED = "lookup_key string, item_hash string, season int, episode int, known bo
 
 
 class LinkMemo(StatefulProcessor):
-    """What is known of a lookup key. A hit stays; a miss is forgotten ``keep`` milliseconds after it was told.
+    """What is known of the lookup keys of a bucket. A hit stays; a miss is forgotten ``keep`` milliseconds after it was told.
 
-    A miss also has the store's own time to live, which frees its space when nothing asks for the key any more.
+    A miss also leaves the store ``keep`` milliseconds after it came in, by the batch's time, when the bucket is next asked.
     """
 
     def __init__(self, keep: int) -> None:
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hit = handle.getValueState("hit", "catalog_id string, content_type string, ts bigint")
-        self.miss = handle.getValueState("miss", "ts bigint", self.keep)
+        names = "keys array<string>, ids array<string>, types array<string>, hits array<bigint>, misses array<bigint>, until array<bigint>"
+        self.memo = handle.getValueState("memo", names)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        asks = []
+        # Per lookup key: id, type and time of the hit, time of the miss and how long the store keeps it.
+        now = timerValues.getCurrentProcessingTimeInMs()
+        memo = {k: list(v) for k, *v in zip(*(self.memo.get() or [[]]))}
+        asks, changed = [], False
+        for own in memo.values():
+            if own[4] is not None and own[4] <= now:
+                own[3:], changed = (None, None), True
         for r in rows:
             if r.item_hash is not None:
                 asks.append(r)
-            elif r.catalog_id is not None:
-                if not self.hit.exists() or self.hit.get()[2] <= r.at:
-                    self.hit.update((r.catalog_id, r.content_type, r.at))
-            elif not self.miss.exists() or self.miss.get()[0] < r.at:
-                self.miss.update((r.at,))
-        hit = self.hit.get() if self.hit.exists() else None
-        miss = self.miss.get()[0] if hit is None and self.miss.exists() else None
+                continue
+            own = memo.setdefault(r.lookup_key, [None] * 5)
+            if r.catalog_id is not None:
+                if own[2] is None or own[2] <= r.at:
+                    own[:3], changed = (r.catalog_id, r.content_type, r.at), True
+            elif own[3] is None or own[3] < r.at:
+                own[3:], changed = (r.at, now + self.keep), True
+        if changed:
+            kept = {k: v for k, v in memo.items() if v[2] is not None or v[3] is not None}
+            self.memo.update((list(kept), *map(list, zip(*kept.values())))) if kept else self.memo.clear()
         for r in asks:
+            id_, type_, hit, miss, _ = memo.get(r.lookup_key, [None] * 5)
             known = hit is not None or miss is not None and r.at - miss <= self.keep
             yield Row(
-                lookup_key=key[0], item_hash=r.item_hash, season=r.season, episode=r.episode,
-                known=known, catalog_id=hit[0] if hit else None, content_type=hit[1] if hit else None,
+                lookup_key=r.lookup_key, item_hash=r.item_hash, season=r.season, episode=r.episode,
+                known=known, catalog_id=id_, content_type=type_,
             )
 
     def close(self) -> None:
@@ -218,14 +260,12 @@ def link(parsed: DataFrame, candidates: DataFrame, paths: Paths, miss_minutes: i
     told = stream_changes(spark, paths.log("memo"), MEMO)
     number = F.lit(None).cast("int")
     told = told.select("lookup_key", none.alias("item_hash"), number.alias("season"), number.alias("episode"), "catalog_id", "content_type", F.unix_millis("ts").alias("at"))
-    known = asks.unionByName(told).groupBy("lookup_key").transformWithState(LinkMemo(miss_minutes * MINUTE), _ASKED, "append", "ProcessingTime")
+    known = asks.unionByName(told).withColumn("bucket", _bucket("lookup_key", BUCKETS)).groupBy("bucket").transformWithState(LinkMemo(miss_minutes * MINUTE), _ASKED, "append", "ProcessingTime")
     timed = known.withColumn("_now", F.current_timestamp())
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # The state's answers are stored once: three results are taken from them.
-        held = f"{paths.log('asked')}/batch_id={int(batch_id)}"
-        batch.write.mode("overwrite").parquet(held)
-        asked = batch.sparkSession.read.schema(batch.schema).parquet(held)
+        asked = _held(batch, paths, "asked", batch_id)
         stamp = asked.agg(F.max("_now")).first()[0]
         if stamp is None:
             return
