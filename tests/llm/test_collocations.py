@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from titleloom.llm import collocations
+from titleloom.llm.common import store
 
 SCHEMA = "doc_id bigint, text string, lang string, phrase string, n bigint"
 
@@ -98,3 +99,19 @@ def test_large_counts_are_exact(spark):
 
 def test_no_rows(spark):
     assert got(collocations.collocations(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_shards_reach_python_one_by_one(spark, monkeypatch):
+    """Batches of many shards took an executor's memory; the session's setting stays as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), {}
+
+    def noted(df, label):
+        seen[label] = spark.conf.get(name)
+        return store(df, label)
+
+    monkeypatch.setattr(collocations, "store", noted)
+    docs = spark.createDataFrame([("en", "a b c. " * 20)] * 9, "lang string, text string")
+    assert collocations.counts(docs, shard_words=64).count() > 0
+    assert seen == {"collocation-index": before, "collocation-pairs": "1", "collocation-counts": "1"}
+    assert spark.conf.get(name) == before

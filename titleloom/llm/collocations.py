@@ -1,6 +1,6 @@
 """Phrase collocations from an FM-index per shard.
 
-Texts become word ids, and each shard of about a million words of one language an index: its
+Texts become word ids, and each shard of about half a million words of one language an index: its
 vocabulary and the Burrows-Wheeler transform of its ids, with rotations sorted by as many first
 symbols as phrases may have words. A row of the sorted rotations stands for a place in the text. The
 word before it is the transform's symbol, the word it starts with follows from the symbol
@@ -27,6 +27,7 @@ language with fewer words than a shard shares no index with others. Other column
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from titleloom.llm.common import store, text_of
@@ -46,7 +47,7 @@ LEAST = 10  # occurrences of a candidate
 NEARLY = 50  # percent of a phrase's occurrences that a longer one needs to take its place
 SCALE = 1_000_000
 TOP = 2000
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 PART_BYTES = 1 << 20
 FILTER_BITS = 1 << 30  # at most
 
@@ -176,6 +177,18 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes],
             yield batch.column("lang")[i].as_py(), words, Index(np.asarray(batch.column("bwt")[i].values), len(words))
 
 
+@contextlib.contextmanager
+def one_row_batches(spark: SparkSession) -> Iterator[None]:
+    """Python gets one shard at a time; batches of all shards of a task are held by Spark and by Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hashed_pairs(index: DataFrame) -> DataFrame:
     """hash, f: pairs of words of each shard."""
 
@@ -244,11 +257,13 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard_wo
     """lang, phrase, length, f: all words, and phrases that occur ``least`` times. A stored table."""
     index = store(build(docs, longest, shard_words), "collocation-index")
     sums = hashed_pairs(index).groupBy("hash").agg(F.sum("f").alias("f"))
-    frequent = store(sums.filter(F.col("f") >= least).select("hash"), "collocation-pairs")
+    with one_row_batches(index.sparkSession):
+        frequent = store(sums.filter(F.col("f") >= least).select("hash"), "collocation-pairs")
     size = 1 << max(16, (16 * frequent.count()).bit_length())
     held = filter_of(frequent, min(size, filter_bits))
     total = phrases(index, held, longest).groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f"))
-    return store(total.filter((F.col("length") == 1) | (F.col("f") >= least)), "collocation-counts")
+    with one_row_batches(index.sparkSession):
+        return store(total.filter((F.col("length") == 1) | (F.col("f") >= least)), "collocation-counts")
 
 
 def collocations(
