@@ -4,6 +4,7 @@ import os
 import random
 import shutil
 import tempfile
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,13 @@ def test_sources_in_tiers(spark):
     found = routing.first_nonempty_in_tiers(frame([(k, "") for k in "aabcd"]), lists, seen=seen)
     assert rows(found.select("key", "path", "rank")) == [("a", "1", 0), ("a", "2", 0), ("b", "3", 1), ("c", "4", 2)]
     assert seen == [2, 1, 1]
+
+
+def test_a_stored_order_has_a_bounded_number_of_partitions(spark, tmp_path):
+    rows = [(f"n{i:03d}", False, 0, datetime(2024, 1, 1) + timedelta(minutes=i % 50)) for i in range(200)]
+    table = spark.createDataFrame(rows, schemas.SOURCES)
+    pages.store_order(table, ["name"], f"{tmp_path}/order", partition_rows=10, most_parts=4)
+    assert spark.read.parquet(f"{tmp_path}/order/counts").count() <= 4
+    for number in (1, 3, 10):
+        got = pages.stored_page(spark, f"{tmp_path}/order", schemas.SOURCES, ["name"], number, 20).collect()
+        assert got == pages.page(table, ["name"], number, 20).collect()

@@ -9,6 +9,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from titleloom import fixed_values as V
 from titleloom.session import cut_lineage
 
+MOST_PARTS = 1000  # partitions of a stored order
+
 
 def clamp(page: int | None, per_page: int | None) -> tuple[int, int]:
     number = max(1 if page is None else page, 1)
@@ -94,13 +96,14 @@ def page_after(
 
 
 def store_order(
-    table: DataFrame, keys: list[str], path: str, order: str = "last_processed", partition_rows: int = 100_000
+    table: DataFrame, keys: list[str], path: str, order: str = "last_processed", partition_rows: int = 100_000, most_parts: int = MOST_PARTS
 ) -> None:
     """Write the rows range-partitioned in page order, and how many rows lie before each partition.
 
-    Partitions hold about ``partition_rows`` rows whatever the table's size. ``keys`` must tell rows apart.
+    Partitions hold about ``partition_rows`` rows, more where there would be over ``most_parts`` of them: the driver
+    holds a sample for each. ``keys`` must tell rows apart.
     """
-    parts = max(1, -(-table.count() // partition_rows))
+    parts = max(1, min(most_parts, -(-table.count() // partition_rows)))
     dealt = table.repartitionByRange(parts, *_wanted(keys, order)).withColumn("_part", F.spark_partition_id())
     dealt.write.mode("errorifexists").partitionBy("_part").parquet(f"{path}/rows")
     rows = _stored(table.sparkSession, path, table.schema).groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
