@@ -23,6 +23,9 @@ Three observations keep it scalable:
 
 Years are part of the join key (a catalog row is filed under every year it may be
 asked for), so blocks stay small. A hot piece is a hot join key; AQE splits it on either side.
+Affixes and pieces are many times the tables they come from, which Spark does not see when it
+plans; their joins ask for a merge, so that none of them is broadcast. Names are dealt over
+tasks before they are cut.
 """
 
 from __future__ import annotations
@@ -32,12 +35,14 @@ from pyspark.sql import functions as F
 
 from titleloom import fixed_values as V
 from titleloom.functions import matching as M
-from titleloom.session import cut_lineage
+from titleloom.session import cut_lineage, spread
 
 # Edit-distance share of the longer name per tier; the last one is the goal itself.
 TIERS = (0.0, 0.08, 0.2, 1 - V.SIMILARITY_GOAL)
 # Year cells: four times the year, so that the two special cells are no year's.
 _ANY_YEAR, _NO_YEAR = 1, 2
+# Names of one task, each of which becomes hundreds of affixes or pieces.
+NAMES_OF_TASK = 2_000
 
 
 def _cell(year: Column) -> Column:
@@ -106,13 +111,13 @@ def first_almost_similar(queries: DataFrame, reduced: DataFrame) -> DataFrame:
         .withColumnRenamed("part", "q")
     )
     near = lambda short, long: (F.lit(1.0) - (long - short) / F.greatest(long, F.lit(1))).alias("near")
-    by_catalog = wanted.join(longer, ["q", "cell"]).select("q", "qy", "low", near(F.length("q"), F.col("n")))
+    by_catalog = wanted.join(longer.hint("merge"), ["q", "cell"]).select("q", "qy", "low", near(F.length("q"), F.col("n")))
     # Catalog names the query starts or ends with: affixes of queries, one row per
     # distinct affix on the catalog side. The empty affix finds names that simplify to
     # nothing, which are almost similar to everything.
     shorter = (
         wanted.select("q", "qy", "cell", F.explode(F.array_distinct(_affixes(F.col("q"))["part"])).alias("c"))
-        .join(reduced, ["c", "cell"])
+        .join(reduced.hint("merge"), ["c", "cell"])
         .select("q", "qy", "low", near(F.length("c"), F.length("q")))
     )
     return (
@@ -152,10 +157,15 @@ def _catalog_pieces(reduced: DataFrame, share: float) -> DataFrame:
     )
     start, size = _piece(F.col("n"), F.col("d"), F.col("i"))
     return out.withColumn("piece", F.substring(F.col("c"), start, size)).select(
-        "c", "cell", "low", "n", "d", "i", "piece"
+        "c", F.col("cell").alias("_cell"), "low", F.col("d").alias("_d"), _piece_key()
     )
 
 
+def _piece_key() -> Column:
+    """One number for all a piece has to agree in, which sorts faster than its parts."""
+    return F.xxhash64("cell", "n", "d", "i", "piece").alias("key")
+
+
 def _query_pieces(queries: DataFrame, share: float) -> DataFrame:
     """Substrings of queries that could be piece i of a catalog name of length n."""
     m = F.length("q")
@@ -185,7 +195,7 @@ def _query_pieces(queries: DataFrame, share: float) -> DataFrame:
                 F.sequence("_lo", "_hi"), lambda at: F.substring(F.col("q"), at, F.col("_size"))
             ))),
         )
-        .select("q", "qy", "cell", "n", "d", "i", "piece")
+        .select("q", "qy", "cell", "n", "d", _piece_key())
     )
 
 
@@ -211,17 +221,20 @@ def _tier(queries: DataFrame, reduced: DataFrame, share: float) -> DataFrame:
             (F.col("q") == F.col("c")) & (F.col("cell") == F.col("_cell")),
         )
         return _best(same.withColumn("dist", F.lit(0)))
-    keys = ["cell", "n", "d", "i", "piece"]
-    pairs = _query_pieces(queries, share).join(_catalog_pieces(reduced, share), keys)
+    pairs = _query_pieces(queries, share).join(_catalog_pieces(reduced, share).hint("merge"), "key")
+    # Other pieces may have the same key; written as no equality, so that they do not become further join keys.
+    same = (F.abs(F.col("cell") - F.col("_cell")) + F.abs(F.col("n") - F.length("c")) + F.abs(F.col("d") - F.col("_d"))) < 1
     # The threshold form of the distance gives up early and returns -1.
-    checked = pairs.withColumn("dist", F.expr("levenshtein(q, c, d)")).where(F.col("dist") >= 0)
-    return _best(checked)
+    checked = pairs.withColumn("dist", F.when(same, F.expr("levenshtein(q, c, d)")).otherwise(-1))
+    return _best(checked.where(F.col("dist") >= 0))
 
 
 def best_similar(queries: DataFrame, reduced: DataFrame, tiers=TIERS) -> DataFrame:
     """Best similarity above the goal per query, as (q, qy, best). Tier results are one row per query."""
     open_queries, found = queries, None
     for share in tiers:
+        if share:
+            open_queries = spread(cut_lineage(open_queries), NAMES_OF_TASK, "q")
         hit = _tier(open_queries, reduced, share)
         if share != tiers[-1]:
             hit = cut_lineage(hit)
@@ -236,8 +249,8 @@ def best_similar(queries: DataFrame, reduced: DataFrame, tiers=TIERS) -> DataFra
 
 def link_catalog(queries: DataFrame, catalog: DataFrame, tiers=TIERS) -> DataFrame:
     """``queries`` (title, year, any other columns) with ``catalog_id``, NULL on a miss."""
-    reduced = cut_lineage(reduce_catalog(catalog))
-    distinct = cut_lineage(reduce_queries(queries))
+    reduced = spread(cut_lineage(reduce_catalog(catalog)), NAMES_OF_TASK, "c")
+    distinct = spread(cut_lineage(reduce_queries(queries)), NAMES_OF_TASK, "q")
     second = cut_lineage(first_almost_similar(distinct, reduced))
     # With an almost similar name none of which is above the goal, that name wins whatever else
     # is found: such queries need no search.

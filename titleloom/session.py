@@ -53,3 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(stored: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """A stored table dealt by keys in partitions of about ``rows`` rows, for work that makes much of each.
+
+    A partition count that is asked for is kept, whereas adaptive execution joins small partitions by their
+    size before such work and so lets tasks grow with the table.
+    """
+    return stored.repartition(max(1, -(-stored.count() // rows)), *keys)
