@@ -2,10 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from titleloom.operators import catalog
 from titleloom.plans import inputs as I
+from titleloom.plans.queries import QUERIES
 from titleloom.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +24,11 @@ def test_names_cut_into_pieces_are_never_broadcast(spark):
     for df in (catalog._tier(asked, names, catalog.TIERS[-1]), catalog.first_almost_similar(asked, names)):
         text = plan(df)
         assert "SortMergeJoin" in text and not re.search(r"BroadcastHashJoin|BroadcastExchange", text)
+
+
+@pytest.mark.parametrize("name", ["link_provider_a", "link_provider_b", "link_text_years", "link_cascade", "link_fan_out", "link_with_memo", "link_tally"])
+def test_tasks_with_candidates_follow_the_keys(spark, monkeypatch, name):
+    """Candidates are sorted where they are derived, so a task holds a bounded number of keys, not of bytes."""
+    monkeypatch.setattr(I, "KEYS_OF_TASK", 100)
+    text = plan(QUERIES[name](spark, SF))
+    assert re.search(r"hashpartitioning\(lookup_key#\d+, 15\), REPARTITION_BY_NUM", text)

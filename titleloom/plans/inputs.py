@@ -171,6 +171,21 @@ SELECT lookup_key, lookup_title, lookup_year, hint, j AS pos,
 FROM spread"""
 
 
+# Lookup keys of one task, each of which has eight wide candidates that are sorted there.
+KEYS_OF_TASK = 20_000
+
+
+def spread_keys(spark: SparkSession, sf: str, keys: DataFrame) -> DataFrame:
+    """The lookup keys in partitions whose number follows the orders, of which there are never fewer than keys.
+
+    The planner drops a repartition to as many partitions as a shuffle has, and adaptive execution then joins
+    them by the size of the keys alone. A join deals anew what has fewer; it keeps more.
+    """
+    tasks = max(1, -(-table(spark, sf, "orders").count() // KEYS_OF_TASK))
+    tasks += tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(tasks, "lookup_key")
+
+
 def candidates(keys: DataFrame) -> DataFrame:
     """Candidate rows with their key's columns beside them."""
     k = F.length("lookup_title") + F.coalesce(F.col("lookup_year"), F.lit(7)) + F.substring_index(

@@ -490,7 +490,7 @@ def _keys(spark, sf):
 
 
 def linkage_rows(spark, sf):
-    return I.candidates(_keys(spark, sf))
+    return I.candidates(I.spread_keys(spark, sf, _keys(spark, sf)))
 
 
 @query
