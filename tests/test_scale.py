@@ -9,6 +9,7 @@ from titleloom.operators import catalog
 from titleloom.plans import inputs as I
 from titleloom.plans.queries import QUERIES
 from titleloom.session import cut_lineage
+from titleloom.sources import documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,10 @@ def test_tasks_with_candidates_follow_the_keys(spark, monkeypatch, name):
     monkeypatch.setattr(I, "KEYS_OF_TASK", 100)
     text = plan(QUERIES[name](spark, SF))
     assert re.search(r"hashpartitioning\(lookup_key#\d+, 15\), REPARTITION_BY_NUM", text)
+
+
+def test_entry_fields_are_taken_once(spark):
+    """Inside ``transform`` an expression runs as often as it is written."""
+    df = documents.with_entries(spark.createDataFrame([("[]",)], "json string"))
+    text = df._jdf.queryExecution().analyzed().toString()
+    assert text.count("$.filename") == 1 and text.count("$.hash") == 1

@@ -48,12 +48,29 @@ def decode_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _entry(value: Column) -> Column:
-    """One list entry; NULL when any field is missing, given under both names, or mistyped."""
-    name, item = (J.text_of(J.field(value, k)) for k in ("filename", "hash"))
-    size = J.whole_of(J.only(value, V.SIZE_KEYS))
-    fields = F.struct(name.alias("filename"), item.alias("item_hash"), size.alias("size_bytes"))
-    return F.when(name.isNotNull() & item.isNotNull() & size.isNotNull(), fields)
+def _entries(listed: Column) -> Column:
+    """The list's entries; NULL for one when any field is missing, given under both names, or mistyped.
+
+    An expression inside ``transform`` is evaluated as often as it is written, so each step names what
+    the next one uses more than once.
+    """
+    sizes = [f"_size{i}" for i in range(len(V.SIZE_KEYS))]
+    found = F.transform(listed, lambda v: F.struct(
+        J.field(v, "filename").alias("name"),
+        J.field(v, "hash").alias("item"),
+        *[J.field(v, k).alias(c) for k, c in zip(V.SIZE_KEYS, sizes)],
+    ))
+    typed = F.transform(found, lambda e: F.struct(
+        J.text_of(e["name"]).alias("filename"),
+        J.text_of(e["item"]).alias("item_hash"),
+        J.single([e[c] for c in sizes]).alias("_size"),
+    ))
+    whole = F.transform(typed, lambda e: F.struct(
+        e["filename"].alias("filename"), e["item_hash"].alias("item_hash"), J.whole_of(e["_size"]).alias("size_bytes")
+    ))
+    return F.transform(whole, lambda e: F.when(
+        e["filename"].isNotNull() & e["item_hash"].isNotNull() & e["size_bytes"].isNotNull(), e
+    ))
 
 
 def with_entries(df: DataFrame, json: str = "json") -> DataFrame:
@@ -68,7 +85,7 @@ def with_entries(df: DataFrame, json: str = "json") -> DataFrame:
     doc = F.col("_doc")
     title = J.field(doc, "title")
     listed = F.coalesce(J.items(doc), F.when(J.is_null(title) | J.text_of(title).isNotNull(), J.items(J.only(doc, V.LIST_KEYS))))
-    read = parsed.select(*names, J.text_of(title).alias("title"), pinned(F.transform(listed, _entry)).alias("_read"))
+    read = parsed.select(*names, J.text_of(title).alias("title"), pinned(_entries(listed)).alias("_read"))
     whole = F.when(F.forall("_read", lambda e: e.isNotNull()), F.col("_read"))
     read = read.select(*names, pinned(F.struct(F.when(whole.isNotNull(), F.col("title")).alias("title"), whole.alias("entries"))).alias("_whole"))
     return read.select(*names, "_whole.title", "_whole.entries")

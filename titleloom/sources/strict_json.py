@@ -52,6 +52,10 @@ def whole_of(value: Column) -> Column:
 
 def only(value: Column, keys: list[str]) -> Column:
     """The field named by one of the keys; NULL if the object has none or several of them."""
-    fields = [field(value, k) for k in keys]
+    return single([field(value, k) for k in keys])
+
+
+def single(fields: list[Column]) -> Column:
+    """The one value that is there; NULL for none or several."""
     present = sum((f.isNotNull().cast("int") for f in fields[1:]), fields[0].isNotNull().cast("int"))
     return F.when(present == 1, F.coalesce(*fields))
