@@ -109,6 +109,19 @@ def test_route_expands_packs(spark, paths):
     assert rows(S.outputs(spark, paths), "item_hash", "file_index", "season", "episode") == [("p", 0, 2, 3)]
 
 
+def test_route_stores_lists_of_packs_only(spark, paths, monkeypatch):
+    t = datetime(2024, 1, 1)
+    put(spark.createDataFrame([("p", "tt1", "series", 2, None, t), ("s", "tt2", "movie", None, None, t)], schemas.MAPPED_LOG), f"{paths.log('mappings')}/batch_id=0")
+    files = spark.createDataFrame([("p", "E03.mkv", 9, 0), ("s", "film.mkv", 9, 0)], schemas.ITEM_FILES)
+    sizes = spark.createDataFrame([("p", 1), ("s", 2)], "item_hash string, size_bytes bigint")
+    stored = []
+    monkeypatch.setattr(S, "cut_lineage", lambda df, cut=S.cut_lineage: stored.append(cut(df)) or stored[-1])
+    S.route(S.stream_changes(spark, paths.log("mappings"), schemas.MAPPED_LOG), sizes, files, paths, once=True).awaitTermination()
+    assert [rows(df, "key") for df in stored if "path" in df.columns] == [[("p",)]]
+    assert rows(S.outputs(spark, paths), "item_hash", "file_index", "size_bytes") == [("p", 0, 9), ("s", None, 2)]
+    assert rows(S.route_queue(spark, paths), "item_hash", "completed", "attempts") == [("p", True, 1), ("s", True, 1)]
+
+
 def test_route_retry_waits_for_lists_and_items(spark, paths):
     """A pack whose list, and a single whose item, arrive after its batch end in outputs."""
     t = datetime(2024, 1, 1)

@@ -273,22 +273,22 @@ def retry_links(
 def _log_routes(
     mapped: DataFrame, items: DataFrame, files: DataFrame, paths: Paths, batch_id: int, ts: Column
 ) -> None:
-    """Route mapped items; append outputs and queue marks under the batch id.
+    """Route mapped items, a stored table; append outputs and queue marks under the batch id.
 
     A pack without a file list costs an attempt and stays pending. An item that has not
     arrived yet stays pending without one. Mappings neither branch takes get no mark.
     """
     kind, season, episode = F.col("content_type"), F.col("season"), F.col("episode")
+    single, pack = is_single(kind, season, episode), is_pack(kind, season, episode)
     # What the batch needs of items and files is read once; the bounds of its keys reach their scans, so
-    # that of sorted tables only some row groups are read.
-    mapped = cut_lineage(mapped)
+    # that of sorted tables only some row groups are read. Items are joined once, lists are taken for packs only.
     low, high = mapped.agg(F.min("item_hash"), F.max("item_hash")).first()
-    mine = mapped.select("item_hash").distinct()
-    items = cut_lineage(items.where(F.col("item_hash").between(low, high)).join(mine, "item_hash", "left_semi"))
-    files = cut_lineage(files.where(F.col("key").between(low, high)).join(mine.withColumnRenamed("item_hash", "key"), "key", "left_semi"))
-    linked = mapped.join(items.select("item_hash", "size_bytes"), "item_hash")
-    single, pack = is_single(kind, season, episode), is_pack(kind, season, episode)
+    sizes = items.where(F.col("item_hash").between(low, high)).select("item_hash", "size_bytes", F.lit(True).alias("_here"))
+    joined = cut_lineage(mapped.where(single | pack).join(sizes, "item_hash", "left"))
+    linked = joined.where("_here").drop("_here")
     packs = linked.where(pack)
+    mine = packs.select(F.col("item_hash").alias("key")).distinct()
+    files = cut_lineage(files.where(F.col("key").between(low, high)).join(mine, "key", "left_semi"))
     names = [c for c in OUTPUT_LOG.fieldNames() if c != "ts"]
     one = routing.emit_singles(linked.where(single)).withColumn("pos", F.lit(0))
     many = routing.expand_packs(packs, files)
@@ -298,8 +298,7 @@ def _log_routes(
     append_changes(rows, paths.log("outputs"), batch_id)
     routed = linked.where(single).select("item_hash", F.lit(1).alias("cost"), F.lit(True).alias("done"))
     status = routing.pack_status(packs, files).select("item_hash", F.lit(1).alias("cost"), F.col("completed").alias("done"))
-    late = mapped.where(single | pack).join(items.select("item_hash"), "item_hash", "left_anti")
-    waiting = late.select("item_hash", F.lit(0).alias("cost"), F.lit(False).alias("done"))
+    waiting = joined.where("_here IS NULL").select("item_hash", F.lit(0).alias("cost"), F.lit(False).alias("done"))
     marks = routed.unionByName(status).unionByName(waiting).withColumn("ts", ts)
     append_changes(marks, paths.log("route_marks"), batch_id)
 
@@ -314,11 +313,11 @@ def route(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = cut_lineage(batch)
-        stamp = batch.agg(F.max(TIME)).first()[0]
+        # The batch's one time stays beside its rows, so that they are stored once.
+        last = cut_lineage(upsert.latest_per_key(batch.drop("batch_id"), ["item_hash"], ["ts", TIME]).drop("ts"))
+        stamp = last.agg(F.max(TIME)).first()[0]
         if stamp is not None:
-            last = upsert.latest_per_key(batch.drop(TIME, "batch_id"), ["item_hash"], ["ts"]).drop("ts")
-            _log_routes(last, items, files, paths, batch_id, F.lit(stamp))
+            _log_routes(last.drop(TIME), items, files, paths, batch_id, F.lit(stamp))
 
     return _start(mapped, paths, "route", handle, once)
 
@@ -343,7 +342,7 @@ def retry_routes(
     state = _fold(marks.where(F.col("batch_id") != pass_id))
     due = queue.pending(state, as_of, max_attempts, cooldown_minutes).select("item_hash")
     again = mappings(spark, paths).join(due, "item_hash", "left_semi")
-    _log_routes(again, items, files, paths, pass_id, at(as_of))
+    _log_routes(cut_lineage(again), items, files, paths, pass_id, at(as_of))
 
 
 def outputs(spark: SparkSession, paths: Paths) -> DataFrame:
