@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from titleloom.llm import collocations
 from titleloom.llm.common import store
@@ -115,3 +116,26 @@ def test_shards_reach_python_one_by_one(spark, monkeypatch):
     assert collocations.counts(docs, shard_words=64).count() > 0
     assert seen == {"collocation-index": before, "collocation-pairs": "1", "collocation-counts": "1"}
     assert spark.conf.get(name) == before
+
+
+def test_files_of_shards_are_small(spark):
+    """Spark's reader holds all shards of a file, so a file has few however many a task makes."""
+    name = "spark.sql.files.maxRecordsPerFile"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([("en", "a b c. " * 20)] * 40, "lang string, text string").coalesce(1)
+    seen = {}
+
+    def noted(df, label):
+        seen[label] = store(df, label)
+        return seen[label]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(collocations, "store", noted)
+        assert {tuple(r) for r in collocations.counts(docs, shard_words=64).filter("length > 1").collect()} == {
+            ("en", "a b", 2, 800),
+            ("en", "b c", 2, 800),
+            ("en", "a b c", 3, 800),
+        }
+    rows = [r["count"] for r in seen["collocation-index"].groupBy(F.input_file_name()).count().collect()]
+    assert sum(rows) > 16 and max(rows) <= 4
+    assert spark.conf.get(name) == before

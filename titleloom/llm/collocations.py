@@ -48,6 +48,7 @@ NEARLY = 50  # percent of a phrase's occurrences that a longer one needs to take
 SCALE = 1_000_000
 TOP = 2000
 SHARD_WORDS = 1 << 19
+SHARDS_OF_FILE = 4
 PART_BYTES = 1 << 20
 FILTER_BITS = 1 << 30  # at most
 
@@ -178,15 +179,28 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes],
 
 
 @contextlib.contextmanager
-def one_row_batches(spark: SparkSession) -> Iterator[None]:
-    """Python gets one shard at a time; batches of all shards of a task are held by Spark and by Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "1")
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name) for name in values}
     try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def small_files(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """A file gets SHARDS_OF_FILE shards; Spark's reader holds up to 4,096 rows of a file, which are all shards of a larger one."""
+    return _settings(spark, {"spark.sql.files.maxRecordsPerFile": str(SHARDS_OF_FILE)})
+
+
+def one_row_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Python gets one shard at a time; batches of all shards of a task are held by Spark and by Python.
+
+    A small file counts little, so that a task reads several and sums them before the shuffle.
+    """
+    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.files.openCostInBytes": str(1 << 20)})
 
 
 def hashed_pairs(index: DataFrame) -> DataFrame:
@@ -255,7 +269,8 @@ def phrases(index: DataFrame, frequent: np.ndarray, longest: int = LONGEST) -> D
 
 def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard_words: int = SHARD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """lang, phrase, length, f: all words, and phrases that occur ``least`` times. A stored table."""
-    index = store(build(docs, longest, shard_words), "collocation-index")
+    with small_files(docs.sparkSession):
+        index = store(build(docs, longest, shard_words), "collocation-index")
     sums = hashed_pairs(index).groupBy("hash").agg(F.sum("f").alias("f"))
     with one_row_batches(index.sparkSession):
         frequent = store(sums.filter(F.col("f") >= least).select("hash"), "collocation-pairs")
