@@ -111,3 +111,43 @@ def test_any_close_fingerprints_share_a_key(n):
 def test_long_text_counts_all_shingles():
     text = " ".join(f"w{i % 977}" for i in range(70_000))
     assert simhash.fingerprint(text) == slow_fingerprint(text)
+
+
+def test_rounds_go_on_while_edges_move(spark):
+    """A chain amid stars still open, chosen so that the first round changes neither the number of edges nor the XOR of their hashes."""
+    chain = [(i + 1, i) for i in range(1, 40)]
+    moved = [(2, 1)] + [(i + 1, i - 1) for i in range(2, 40)]
+    small = [(a, a + 1, a + 2) for a in range(100, 500, 4)]  # a - b - c turns into b - a - c
+    asked = [*chain, *moved, *[(c, x) for a, b, c in small for x in (a, b)]]
+    hashed = {(r.u, r.v): r.h & (2**64 - 1) for r in spark.createDataFrame(asked, "u bigint, v bigint").selectExpr("u", "v", "xxhash64(u, v) as h").collect()}
+    change = 0
+    for e in [*chain, *moved]:
+        change ^= hashed[e]
+    held = {}  # by highest bit: a change and the open stars that make it
+    for at, (a, b, c) in enumerate(small):
+        x, stars = hashed[c, a] ^ hashed[c, b], 1 << at
+        while x and x.bit_length() in held:
+            x, stars = x ^ held[x.bit_length()][0], stars ^ held[x.bit_length()][1]
+        if x:
+            held[x.bit_length()] = x, stars
+    chosen = 0
+    while change:
+        x, stars = held[change.bit_length()]
+        change, chosen = change ^ x, chosen ^ stars
+    stars = [s for at, s in enumerate(small) if chosen >> at & 1]
+    edges = chain + [e for a, b, c in stars for e in ((b, a), (c, b))]
+    got = {tuple(r) for r in simhash.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {(i, 1) for i in range(2, 41)} | {(x, a) for a, b, c in stars for x in (b, c)}
+
+
+def test_components_of_any_graph(spark):
+    rng = random.Random(9)
+    for nodes, links in ((60, 45), (300, 280), (30, 200), (5, 0)):
+        names = [rng.randrange(-(2**63), 2**63) for _ in range(nodes)]
+        edges = [(rng.choice(names), rng.choice(names)) for _ in range(links)]
+        label = {n: n for e in edges for n in e}
+        for _ in label:
+            for u, v in edges:
+                label[u] = label[v] = min(label[u], label[v])
+        got = [tuple(r) for r in simhash.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()]
+        assert sorted(got) == sorted((n, low) for n, low in label.items() if n != low)

@@ -227,26 +227,21 @@ def _whole_units(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.nd
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """u, v: every linked node with the smallest node of its component, that node left out."""
-
-    def signed(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    """u, v: every linked node with the smallest node of its component, that node left out.
 
+    Rounds end with one that changes no edge: no node with larger neighbours has a smaller one, and none has two smaller ones.
+    """
     current = store(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
-    before = signed(current)
-    while before[0]:
+    while True:
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = store(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low")), "least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = store(large.distinct(), "large-star")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"), (F.col("low") < F.col("u")).alias("moved"))
+        large = store(large.groupBy("u", "v").agg(F.max("moved").alias("moved")), "large-star")
         least = store(large.groupBy("u").agg(F.min("v").alias("low")), "least")
+        if large.count() == least.count() and large.filter("moved").isEmpty():
+            return large.select("u", "v")
         small = large.join(least, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         current = store(small.unionAll(least.select("u", F.col("low").alias("v"))).distinct(), "small-star")
-        after = signed(current)
-        if after == before:
-            break
-        before = after
-    return current
 
 
 def hex_of(fp: Column) -> Column:
